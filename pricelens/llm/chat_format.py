@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import query, table
 
 OPEN, SHUT, TURN, END = "<|", "|>", "<|turn|>", "<|end|>"
 LEARNED = "assistant"
@@ -71,6 +71,7 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     return formatted.select("*", F.flatten(F.transform(blocks, turns)).alias("turns"))
 
 
+@query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))

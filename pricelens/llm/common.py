@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +51,29 @@ def crc_mod(col: str, n: int):
 
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pricelens_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    to = os.path.join(tempfile.mkdtemp(prefix="pricelens-"), "pricelens.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "pricelens")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(to)
+    sc._pricelens_shipped = True
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run

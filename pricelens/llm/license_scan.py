@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import query, table
 
 #: Fixed values of the result's contract: phrases that count where their words stand consecutively.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -124,5 +124,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
+@query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
+from .language_id import op3_language_id
 from .license_scan import op10_license_scan
+from .ngram_lm import op4_ngram_lm
 
-QUERIES = {
-    "op9_chat_format": op9_chat_format,
-    "op10_license_scan": op10_license_scan,
-}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_ngram_lm, op9_chat_format, op10_license_scan)}
 SQL = {"op9_chat_format": OP9_SQL}
