@@ -25,47 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, query, saved, shared_dir, table
+from .words import Hashes, chunks, hash63
 
 MIN_COUNT = 2
-#: Bytes of text that a worker handles at once.
-CHUNK = 4_000_000
-#: Most words a worker remembers the hash of.
-REMEMBERED = 500_000
 ODD, LOW63 = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**63 - 1)
 
 
-def hash63(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word) >> 1
-
-
 #: No word holds a space.
 BEGIN, END = hash63(b" begin"), hash63(b" end")
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = hash63(word)
-        return h
-
-
-def chunks(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first row, words of each text) for runs of rows of about CHUNK bytes. Bytes' lower() and split() know ASCII only."""
-    rows, size, first = [], 0, 0
-    for i, raw in enumerate(column):
-        raw = raw.as_py() or b""
-        rows.append(raw.lower().split())
-        size += len(raw)
-        if size >= CHUNK:
-            yield first, rows
-            rows, size, first = [], 0, i + 1
-    if rows:
-        yield first, rows
-
-
 def hashed(rows: list[list[bytes]], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, ends included, and each text's number of tokens."""
     n = np.fromiter((len(x) + 1 for x in rows), np.int64, len(rows))
