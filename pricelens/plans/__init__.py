@@ -1 +1 @@
-"""Part of the deal-price engine."""
+"""Queries over the driver's tables, with their SQL."""
