@@ -3,8 +3,8 @@
     <|user|>first turn<|turn|>next turn of the same role<|end|><|assistant|>...<|end|>
 
 Adjacent turns of one role share a block. In texts and roles "\\" becomes "\\s"
-and "<" becomes "\\l", so no control string can stand in them, and the way back
-is exact. The loss mask covers the texts of assistant turns, not their marks.
+and "<" becomes "\\l", in roles "|" becomes "\\p", so no control string can stand
+in them, and the way back is exact. The loss mask covers the texts of assistant turns, not their marks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
 
 
+def escape_role(c: Column) -> Column:
+    """As escape, and "|" as "\\p": the first "|>" ends a role's mark."""
+    return F.replace(escape(c), F.lit("|"), F.lit("\\p"))
+
+
 def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
     """conv_id, formatted, loss_spans: one row per conversation.
 
@@ -44,10 +49,10 @@ def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
     df = df.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: (i == 0) | (F.get("roles", i) != F.get("roles", i - 1))))
     last = lambda k: F.coalesce(F.get("starts", k + 1), F.size("xs"))
     body = lambda s, k: F.array_join(F.slice("texts", s + 1, last(k) - s), TURN)
-    block = lambda s, k: F.concat(F.lit(OPEN), escape(F.get("roles", s)), F.lit(SHUT), body(s, k), F.lit(END))
+    block = lambda s, k: F.concat(F.lit(OPEN), escape_role(F.get("roles", s)), F.lit(SHUT), body(s, k), F.lit(END))
     df = df.withColumn("blocks", F.transform("starts", block)).withColumn("formatted", F.array_join("blocks", ""))
     # a turn's mark: the block's opening at its first turn, else TURN, preceded by END where a block ended
-    mark = lambda i: F.when(i == 0, F.length(escape(F.get("roles", i))) + 4).when(F.get("roles", i) != F.get("roles", i - 1), F.length(escape(F.get("roles", i))) + 4 + len(END)).otherwise(len(TURN))
+    mark = lambda i: F.when(i == 0, F.length(escape_role(F.get("roles", i))) + 4).when(F.get("roles", i) != F.get("roles", i - 1), F.length(escape_role(F.get("roles", i))) + 4 + len(END)).otherwise(len(TURN))
     step = F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: F.struct(mark(i).cast("long").alias("mark"), F.length(F.get("texts", i)).cast("long").alias("n"), (F.get("roles", i) == LEARNED).alias("learned")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
     walk = F.aggregate(step, zero, lambda acc, x: F.struct(
@@ -64,8 +69,8 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", r"\Q<|end|>\E", -1), lambda b: b != "")
 
     def turns(b: Column) -> Column:
-        shut = F.instr(b, SHUT)  # no role holds "|>" after "<|" was cut: "<" is escaped, and the first "|>" ends the mark
-        role = unescape(F.substring(b, 3, shut - 3))
+        shut = F.instr(b, SHUT)
+        role = unescape(F.replace(F.substring(b, 3, shut - 3), F.lit("\\p"), F.lit("|")))
         return F.transform(F.split(F.substring(b, shut + 2, F.length(b)), r"\Q<|turn|>\E", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text"), (role == LEARNED).alias("learned")))
 
     return formatted.select("*", F.flatten(F.transform(blocks, turns)).alias("turns"))
@@ -90,7 +95,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), w AS (
-  SELECT *, row_number() OVER o AS n, lag(role) OVER o AS was, replace(replace(text, '\', '\s'), '<', '\l') AS e, replace(replace(role, '\', '\s'), '<', '\l') AS r
+  SELECT *, row_number() OVER o AS n, lag(role) OVER o AS was, replace(replace(text, '\', '\s'), '<', '\l') AS e, replace(replace(replace(role, '\', '\s'), '<', '\l'), '|', '\p') AS r
   FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,

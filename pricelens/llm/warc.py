@@ -123,9 +123,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         schema = pa.schema([(n, pa.string()) for n in ("record_id", "type", "concurrent_to", "refers_to", "uri", "date", "digest")] + [("block_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fields", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("payload", pa.binary())])
         for batch in batches:
             for content in batch.column("content"):
-                raw = content.as_buffer()
-                stream = pa.BufferReader(raw)
-                if raw.slice(0, 2).to_pybytes() == b"\x1f\x8b":
+                raw = content.as_py()
+                stream = io.BytesIO(raw)
+                if raw[:2] == b"\x1f\x8b":
                     stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
                 rows, size = [], 0
                 for row in records(stream):
