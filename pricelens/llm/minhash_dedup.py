@@ -8,10 +8,12 @@ first in an order common to all, rare values before frequent ones (prefix). The
 other lists are skipped: their collisions are counted from the two signatures.
 
 Whole lists are never paired off. Each member first meets two hubs of its
-list; confirmed links make components; only lists whose members are still in
-several components are joined again, those outside a list's largest component
-against all, for pairs across components. Every link thus lies within a
-component or has been confirmed or refuted on the full sets.
+list; links confirmed on the full sets make components. Members that still
+match one of another component are then found by a semi-join, and among their
+full sets alone the pairs across components that can be links: an exact prefix
+and position filter over rare shingles, set against a list's members outside
+its largest component. Every link thus lies within a component or has been
+confirmed or refuted on the full sets.
 """
 
 from __future__ import annotations
@@ -120,41 +122,74 @@ def posts(classes: DataFrame, prefix: int) -> DataFrame:
     return classes.mapInArrow(run, "id long, n long, first array<long>, sig array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have den * intersection >= num * union.
-
-    Sets are made again from the texts of the ids in pairs; each set goes to
-    its pair's group: members of a first end, MEMBERS_A_GROUP or so together.
-    """
-    wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_GROUP).alias("groups"))
-    pairs = pairs.join(wide, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
-    ends = pairs.select("a", "g", F.col("b").alias("id")).unionByName(pairs.select("a", "g", F.col("a").alias("id"))).distinct()
-    ends = saved(ends, "ends")
-    ids = ends.select(F.col("id").alias("doc_id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, s (the sorted full set as bytes) of the documents in ids (column id), made from their texts."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
             for first, rows in chunks(batch.column("raw")):
                 made = pa.array([shingles(w, known, size).tobytes() for w in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), made], names=["id", "s"])
 
+    return texts.mapInArrow(run, "id long, s binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets have den * intersection >= num * union.
+
+    Each set goes to its pair's group: members that meet one a, MEMBERS_A_GROUP
+    or so together, so a's set travels once for all of them.
+    """
+    wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_GROUP).alias("groups"))
+    pairs = pairs.join(wide, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
+    ends = pairs.select("a", "g", F.col("b").alias("id")).unionByName(pairs.select("a", "g", F.col("a").alias("id")).distinct())
+
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(s=[np.frombuffer(x, U) for x in frame["s"]])
         own, out = frame.loc[frame["id"] == key[0], "s"].tolist(), set()
         for i, s in zip(frame["id"], frame["s"]):
             for o in own if i != key[0] else ():
-                at = np.minimum(np.searchsorted(o, s), len(o) - 1) if len(o) else s[:0]
-                both = int((o[at] == s).sum()) if len(o) else 0
+                both = int((o[np.minimum(np.searchsorted(o, s), len(o) - 1)] == s).sum()) if len(o) else 0
                 if both and den * both >= num * (len(o) + len(s) - both):
                     out.add(i)
         return pd.DataFrame({"a": [key[0]] * len(out), "b": sorted(out)}).astype("int64")
 
-    made = ends.join(texts.mapInArrow(sets, "id long, s binary"), "id")
-    return made.groupBy("a", "g").applyInPandas(compare, "a long, b long")
+    return ends.join(sets, "id").groupBy("a", "g").applyInPandas(compare, "a long, b long")
+
+
+def rare_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """id, n, x, at: of each set the rarest shingles x, at their places, of which linked sets share one.
+
+    Sets whose overlap must reach o = num/den of their size share one of the
+    first n - o + 1 in any common order; here rare buckets come first.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = np.frombuffer(b"".join(b.column("s").to_pylist()), U)
+            bucket, n = np.unique(every & U(BUCKETS - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n)], names=["b", "n"])
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in sets.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        counts[r.b] = r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, raw = b.column("id").to_numpy(), b.column("s").to_pylist()
+            firsts = []
+            for x in raw:
+                s = np.frombuffer(x, U)
+                firsts.append(s[np.lexsort((s, counts[s & U(BUCKETS - 1)]))][: len(s) - -(-num * len(s) // den) + 1])
+            n = [len(x) for x in firsts]
+            cols = [np.repeat(ids, n), np.repeat([len(x) // 8 for x in raw], n), np.concatenate([*firsts, np.empty(0, U)]).view(np.int64), np.concatenate([np.arange(k) for k in n] + [np.empty(0, np.int64)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "n", "x", "at"])
+
+    return sets.mapInArrow(run, "id long, n long, x long, at long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,21 +225,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     best = Window.partitionBy("id").orderBy(F.desc("m"), "hub")
     pairs = pairs.select("id", "hub", matches(F.col("x.sig"), F.col("y.sig")).alias("m")).withColumn("r", F.row_number().over(best)).filter("r <= 2")
     tried = saved(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")), "tried")
-    links = saved(confirmed(tried, docs, size, num, den), "links")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = saved(confirmed(tried, full_sets(docs, ends, size), num, den), "links")
 
-    # round 2: what lists still hold across components
+    # round 2: members that still match another component's in a list; each is told once, however many it matches
     parts = components(links)
-    parts = saved(parts, "parts")
-    listed = listed.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    sizes = listed.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_lists = saved(listed.join(sizes.select("key", F.col("most.c").alias("major")), "key").join(post.select("id", F.struct("n", "sig").alias("x")), "id"), "open")
-    left = open_lists.filter("c <> major").select("key", F.col("id").alias("i"), F.col("c").alias("ci"), F.col("x").alias("xi"))
-    right = open_lists.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), F.col("x").alias("xj"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("ci") != F.col("cj")) & near(F.col("xi"), F.col("xj")))
-    met = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    own = lambda df: df.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    listed = own(listed.select("key", "id"))
+    mixed_lists = listed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
+    open_lists = saved(listed.join(mixed_lists, "key", "left_semi").join(post.select("id", F.struct("n", "sig").alias("x")), "id"), "open")
+    mine, other = open_lists.alias("i"), open_lists.alias("j")
+    apart = (F.col("i.key") == F.col("j.key")) & (F.col("i.c") != F.col("j.c")) & near(F.col("i.x"), F.col("j.x"))
+    left = mine.join(other, apart, "left_semi").select("id").distinct()
+    # of these the full sets decide: pairs that share a rare shingle early enough for the overlap they need
+    sets = saved(full_sets(docs, saved(left, "left"), size), "sets")
+    rare = saved(own(rare_shingles(sets, num, den)), "rare")
+    major = rare.groupBy("x", "c").agg(F.count("*").alias("size")).groupBy("x").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    outer = rare.join(major.select("x", F.col("top.c").alias("major")), "x").filter("c <> major").alias("i")
+    overlap = F.least(F.col("i.n") - F.col("i.at"), F.col("j.n") - F.col("j.at"))  # at most, if this is the first they share
+    enough = overlap * (num + den) >= num * (F.col("i.n") + F.col("j.n"))
+    met = outer.join(rare.alias("j"), (F.col("i.x") == F.col("j.x")) & (F.col("i.c") != F.col("j.c")) & enough)
+    met = met.select(F.least("i.id", "j.id").alias("a"), F.greatest("i.id", "j.id").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(met.join(done, ["a", "b"], "left_anti"), "tried")
-    parts = components(links.unionByName(confirmed(more, docs, size, num, den)))
+    parts = components(links.unionByName(confirmed(more, sets, num, den)))
 
     named = classes.select("seq", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("seq", F.coalesce("component", "id").alias("component"))
     out = base.select("doc_id", "seq", "n").join(named, "seq", "left")
