@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.numbers import months_before, percentile_won
@@ -58,13 +58,11 @@ def enqueue(items: DataFrame) -> DataFrame:
 
 
 def prioritized(products: DataFrame, purchases: DataFrame) -> DataFrame:
-    """product, waiting, position: products not archived; those without a purchase and not done first, then by rank, nulls last, then id."""
+    """product, waiting, rank of products not archived, in order: those without a purchase and not done first, then by rank, nulls last, then by id."""
     bought = purchases.select("product").distinct().withColumn("bought", F.lit(True))
     df = products.filter(~F.coalesce("archived", F.lit(False))).join(bought, "product", "left")
     waiting = F.col("bought").isNull() & ~F.coalesce("manually_completed", F.lit(False))
-    df = df.select("product", waiting.alias("waiting"), "rank")
-    # a screen's list: positions are asked of a catalogue, whose size a person keeps up
-    return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc("waiting"), F.asc_nulls_last("rank"), "product"))).drop("rank")
+    return df.select("product", waiting.alias("waiting"), "rank").orderBy(F.desc("waiting"), F.asc_nulls_last("rank"), "product")
 
 
 def comparison(listings: DataFrame, axes: DataFrame) -> DataFrame:

@@ -46,9 +46,10 @@ def exclude_keywords(deals: DataFrame, posts: DataFrame, keywords: DataFrame) ->
     """Deals none of whose posts' titles holds a keyword of the deal's variant or of all (a null variant). Keywords are trimmed, empty ones dropped."""
     words = keywords.select("variant_id", F.trim("keyword").alias("k")).filter("k <> ''")
     own = words.filter("variant_id IS NOT NULL").groupBy("variant_id").agg(F.collect_set("k").alias("own"))
-    common = words.filter("variant_id IS NULL").agg(F.collect_set("k").alias("common"))
-    linked = deals.select("deal_id", "variant_id").join(posts.select("deal_id", "title"), "deal_id").join(own, "variant_id", "left").join(F.broadcast(common))  # one row of settings
-    bad = linked.filter(F.exists(F.concat(F.coalesce("own", F.array().cast("array<string>")), "common"), lambda k: F.col("title").contains(k))).select("deal_id").distinct()
+    common = [r.k for r in words.filter("variant_id IS NULL").select("k").distinct().collect()]  # one setting, kept by hand
+    linked = deals.select("deal_id", "variant_id").join(posts.select("deal_id", "title"), "deal_id").join(own, "variant_id", "left")
+    every = F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(*map(F.lit, common)).cast("array<string>"))
+    bad = linked.filter(F.exists(every, lambda k: F.col("title").contains(k))).select("deal_id").distinct()
     return deals.join(bad, "deal_id", "left_anti")
 
 

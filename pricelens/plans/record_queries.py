@@ -54,8 +54,7 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(f"""{WITH}, b AS (SELECT DISTINCT variant_id FROM purchases WHERE state = 'CLOSED')
-SELECT p_partkey AS product, b.variant_id IS NULL AND p_size % 9 <> 0 AS waiting, CAST(row_number() OVER (ORDER BY b.variant_id IS NULL AND p_size % 9 <> 0 DESC, CASE WHEN p_size % 4 = 0 THEN p_size END NULLS LAST, p_partkey) AS INTEGER) AS position
-FROM part LEFT JOIN b ON p_partkey = b.variant_id WHERE p_size % 11 <> 0""")
+SELECT p_partkey AS product, b.variant_id IS NULL AND p_size % 9 <> 0 AS waiting, CASE WHEN p_size % 4 = 0 THEN p_size END AS rank FROM part LEFT JOIN b ON p_partkey = b.variant_id WHERE p_size % 11 <> 0""")
 def prioritized_products(spark: SparkSession, sf: str) -> DataFrame:
     products = relation(spark, sf, "SELECT p_partkey AS product, p_size % 11 = 0 AS archived, p_size % 9 = 0 AS manually_completed, CASE WHEN p_size % 4 = 0 THEN p_size END AS rank FROM part")
     return records.prioritized(products, relation(spark, sf, PURCHASES).filter("state = 'CLOSED'").select(F.col("variant_id").alias("product")))
