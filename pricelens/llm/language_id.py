@@ -29,7 +29,7 @@ SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGS = 600, 1500, 64
 DIMS = 1 << 15
 SEQUENCES, PIECES, PIECE_WORDS, ROUNDS, RATE, SHRINK = 1200, 4, (3, 25), 60, 0.15, 1e-4
 #: Bytes of text and distinct words that a worker holds at once.
-CHUNK, REMEMBERED = 6_000_000, 200_000
+CHUNK, REMEMBERED = 3_000_000, 150_000
 
 
 def features(word: str, lexicon: set[str] | frozenset[str]) -> list[int]:
@@ -62,15 +62,16 @@ class Crf:
         return np.add.reduceat(self.weights[flat], np.cumsum(n) - n) * (8 / n)[:, None]
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word distributions of sequences laid end to end; also expected transitions and each sequence's first row.
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np.ndarray, steps: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word distributions of sequences laid end to end; also, with steps, expected transitions, and each sequence's first row.
 
     Time step t handles all sequences longer than t at once.
     """
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
     n = lengths[order]
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    e = scores - scores.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
     a = np.exp(step - step.max())
     alpha, beta = np.empty_like(e), np.empty_like(e)
     longest = int(n[0]) if len(n) else 0
@@ -94,6 +95,10 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray,
         beta[rows] = now
         y = (now * e[rows]) @ a.T
         y /= y.sum(axis=1, keepdims=True)
+    if not steps:
+        alpha *= beta
+        alpha /= alpha.sum(axis=1, keepdims=True)
+        return alpha, expected, first
     out = alpha * beta
     out /= out.sum(axis=1, keepdims=True)
     inner = np.ones(len(e), bool)
@@ -193,7 +198,7 @@ class Tagger(dict):
         if not labels or not len(full):
             return out
         n = lengths[full]
-        p, _, _ = forward_backward(self.rows([x for i in full for x in words[i]]), n, self.crf.start, self.crf.step)
+        p, _, _ = forward_backward(self.rows([x for i in full for x in words[i]]), n, self.crf.start, self.crf.step, steps=False)
         first = np.cumsum(n) - n
         share = np.add.reduceat(p, first) / n[:, None]
         best = p.argmax(1)
@@ -222,7 +227,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where) ->
 
 def tag_languages(docs: DataFrame, crf: Crf, text_col: str, keep: list[str]) -> DataFrame:
     """Columns keep of docs, and lang_pred, score, n_words, n_switches."""
-    df = docs.select(*keep, F.col(text_col).alias("__text"))
+    df = docs.select(*dict.fromkeys([*keep, text_col]))
     # weights, lexicon and transitions travel once to each executor
     model = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -231,7 +236,7 @@ def tag_languages(docs: DataFrame, crf: Crf, text_col: str, keep: list[str]) ->
         for batch in batches:
             texts: list[str | None] = []
             first = size = 0
-            column, rest = batch.column("__text"), batch.select(keep)
+            column, rest = batch.column(text_col), batch.select(keep)
             for i in range(len(batch)):
                 texts.append(column[i].as_py())
                 size += len(texts[-1] or "")
