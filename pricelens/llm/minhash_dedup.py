@@ -33,6 +33,8 @@ from .words import Hashes, chunks
 
 KEYS, MISS = 64, 4.5
 BUCKETS = 1 << 16
+#: For shingles; their counts come to the driver as 16 bytes each.
+RARE_BUCKETS = 1 << 20
 #: Below so many ids a filter on ids is broadcast (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Members that meet one hub in one group, so that no task gets all of a hub's.
@@ -162,7 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def rare_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """id, n, x, at: of each set the rarest shingles x, at their places, of which linked sets share one.
+    """id, n, x, at, before: of each set the rarest shingles x, at their places, of which linked sets share one; before is the one before.
 
     Sets whose overlap must reach o = num/den of their size share one of the
     first n - o + 1 in any common order; here rare buckets come first.
@@ -171,25 +173,29 @@ def rare_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = np.frombuffer(b"".join(b.column("s").to_pylist()), U)
-            bucket, n = np.unique(every & U(BUCKETS - 1), return_counts=True)
+            bucket, n = np.unique(every & U(RARE_BUCKETS - 1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n)], names=["b", "n"])
 
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in sets.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        counts[r.b] = r.n
+    counts = np.zeros(RARE_BUCKETS, np.int64)
+    told = sets.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    counts[told.column("b").to_numpy()] = told.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for b in batches:
             ids, raw = b.column("id").to_numpy(), b.column("s").to_pylist()
             firsts = []
             for x in raw:
                 s = np.frombuffer(x, U)
-                firsts.append(s[np.lexsort((s, counts[s & U(BUCKETS - 1)]))][: len(s) - -(-num * len(s) // den) + 1])
+                firsts.append(s[np.lexsort((s, counts[s & U(RARE_BUCKETS - 1)]))][: len(s) - -(-num * len(s) // den) + 1])
             n = [len(x) for x in firsts]
-            cols = [np.repeat(ids, n), np.repeat([len(x) // 8 for x in raw], n), np.concatenate([*firsts, np.empty(0, U)]).view(np.int64), np.concatenate([np.arange(k) for k in n] + [np.empty(0, np.int64)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "n", "x", "at"])
+            x, at = np.concatenate([*firsts, np.empty(0, U)]).view(np.int64), np.concatenate([np.arange(k) for k in n] + [np.empty(0, np.int64)])
+            before = pa.array(np.concatenate([x[:1], x[:-1]]), mask=at == 0)
+            cols = [np.repeat(ids, n), np.repeat([len(x) // 8 for x in raw], n), x, at]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols), before], names=["id", "n", "x", "at", "before"])
 
-    return sets.mapInArrow(run, "id long, n long, x long, at long")
+    return sets.mapInArrow(run, "id long, n long, x long, at long, before long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     outer = rare.join(major.select("x", F.col("top.c").alias("major")), "x").filter("c <> major").alias("i")
     overlap = F.least(F.col("i.n") - F.col("i.at"), F.col("j.n") - F.col("j.at"))  # at most, if this is the first they share
     enough = overlap * (num + den) >= num * (F.col("i.n") + F.col("j.n"))
-    met = outer.join(rare.alias("j"), (F.col("i.x") == F.col("j.x")) & (F.col("i.c") != F.col("j.c")) & enough)
+    fresh = ~F.coalesce(F.col("i.before") == F.col("j.before"), F.lit(False))  # else x isn't the first they share
+    met = outer.join(rare.alias("j"), (F.col("i.x") == F.col("j.x")) & (F.col("i.c") != F.col("j.c")) & enough & fresh)
     met = met.select(F.least("i.id", "j.id").alias("a"), F.greatest("i.id", "j.id").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(met.join(done, ["a", "b"], "left_anti"), "tried")
