@@ -6,7 +6,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import saved, ship, table
@@ -28,19 +28,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tagged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
+def row_key() -> Column:
+    """A hash of id and text, never null: ids may be absent, or stand on several texts. The flags tell a null from a value of the same bytes."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of least id; documents without an id are kept. Rows of one id become one."""
+    """Keeps one document of each group of near-duplicates: that of least id, one without an id only if none has an id.
+
+    A document is an id (or none) with a text: rows alike in both become one,
+    several texts of one id are judged each by itself.
+    """
     ship(spark)
-    kept = near_duplicates(docs, size=5, num=80, den=100).filter("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    keyed = docs.withColumn("row_key", row_key())
+    groups = near_duplicates(keyed, size=5, num=80, den=100, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    kept = groups.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
+    """Drops documents that hold a passage of a benchmark item, with or without an id; other texts of the same id stay."""
     ship(spark)
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("row_key", row_key())
+    found = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(found, "row_key", "left_anti").select(*docs.columns)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

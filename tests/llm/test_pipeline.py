@@ -45,3 +45,21 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_without_an_id_and_ids_on_several_texts(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices([f"k{a}{b}m" for a in "aeiou" for b in "rstlnd"], k=n))
+    item, a, b, c, d, e = text(30), text(40), text(50), text(60), text(70), text(45)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def decided(stage, rows):
+        docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        docs = corpus_pipeline.saved(docs.repartition(3), "rows")
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    # an id on two texts, copies among rows without an id, and one of a row with an id
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, c), (None, c + " more"), (None, d), (9, d), (9, d), (11, e), (11, e + " more")]
+    assert decided(corpus_pipeline.deduplicate, rows) in [sorted([(3, a), (7, b), (None, x), (9, d), (11, y)], key=str) for x in (c, c + " more") for y in (e, e + " more")]
+    rows = [(None, a + " " + item), (None, b), (7, c + " " + item), (7, d), (8, e), (8, e)]
+    assert decided(corpus_pipeline.decontaminate, rows) == sorted([(None, b), (7, d), (8, e), (8, e)], key=str)
