@@ -2,12 +2,14 @@
 
 A notice of n characters may differ in k edits. Cut into k + 1 pieces, at least
 one piece of every such match stands unchanged (pigeonhole), so an exact search
-for the pieces finds all candidates; the regex library then looks for the
-notice with at most k errors in the window around each and counts its edits.
+for the pieces finds all candidates; the regex library then holds every run of
+whole words around each against the notice, with at most k errors, and counts
+its edits. Of runs that overlap the best is reported.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,32 +59,39 @@ class Scanner:
         for text, label, needed in notices:
             raw = text.encode()
             k = max(1, min(MOST_EDITS, len(raw) // CHARS_PER_EDIT))
-            # (?b): the match with the fewest errors in its window
-            pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(raw, special_only=True) + rb"){e<=%d}(?= )" % k)
+            # (?b): the fewest errors that make the two alike
+            pattern = regex.compile(rb"(?b)(?:" + regex.escape(raw, special_only=True) + rb"){e<=%d}" % k)
             self.notices.append((raw, label, {x.encode() for x in needed}, k, pattern, pieces(raw, k)))
 
-    def windows(self, text: bytes, notice: bytes, k: int, seeds) -> list[list[int]]:
-        """Where the notice may stand, overlapping places as one."""
-        starts = sorted(at - off for off, seed in seeds for at in places(text, seed))
-        out: list[list[int]] = []
-        for s in starts:
-            a, b = max(0, s - k - 1), s + len(notice) + k + 1
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return out
+    def verified(self, text: bytes, notice: bytes, needed: set[bytes], k: int, pattern, seeds) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of every run of whole words around a seed that is the notice in at most k edits and has the words needed."""
+        starts = set()
+        for off, seed in seeds:
+            for at in places(text, seed):
+                before, last = max(0, at - off - k - 1), max(0, at - off + k)
+                while (before := text.find(b" ", before, last)) >= 0:
+                    before += 1
+                    starts.add(before)
+        found = []
+        for a in starts:
+            end, last = a + max(1, len(notice) - k) - 1, a + len(notice) + k
+            while (end := text.find(b" ", end + 1, last + 1)) >= 0:
+                if needed <= set(text[a:end].split()) and (m := pattern.fullmatch(text, a, end, concurrent=False)):
+                    found.append((sum(m.fuzzy_counts), a, end))
+        return found
 
     def fuzzy(self, text: bytes) -> list[tuple[str, int, int, int]]:
-        """(label, first word, last word, edits) of every verified notice in a folded text."""
+        """(label, first word, last word, edits) of the notices in a folded text: of verified runs that overlap, the one of fewest edits (the first of several) stands."""
         found = []
         for notice, label, needed, k, pattern, seeds in self.notices:
-            for a, b in self.windows(text, notice, k, seeds):
-                for m in pattern.finditer(text, a, b + 1, concurrent=False):
-                    words = m.group().split()
-                    if needed <= set(words):
-                        first = text.count(b" ", 0, m.start()) - 1
-                        found.append((label, first, first + len(words) - 1, sum(m.fuzzy_counts)))
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(self.verified(text, notice, needed, k, pattern, seeds)):
+                i = bisect.bisect(taken, (a, b))
+                if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
+                    continue
+                taken.insert(i, (a, b))
+                first = text.count(b" ", 0, a) - 1
+                found.append((label, first, first + text.count(b" ", a, b), edits))
         return found
 
     def scan(self, raw: bytes | None) -> dict:

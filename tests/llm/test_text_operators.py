@@ -134,6 +134,48 @@ def test_license_labels(text, labels):
     assert license_scan.Scanner().scan(None if text is None else text.encode())["labels"] == labels
 
 
+def brute_notices(text):
+    """What fuzzy() finds, by edit distances of all runs of words."""
+    def distances(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i, *row[1:]] if (old := row) else []
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    words, out = text.split(), []
+    for notice, label, needed in license_scan.NOTICES:
+        k = max(1, min(license_scan.MOST_EDITS, len(notice) // license_scan.CHARS_PER_EDIT))
+        runs = [(i, j, " ".join(words[i:j])) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+        runs = [(distances(notice, run), i, j) for i, j, run in runs if abs(len(run) - len(notice)) <= k and set(needed) <= set(words[i:j])]
+        taken = []
+        for edits, i, j in sorted(r for r in runs if r[0] <= k):
+            if all(j <= a or b <= i for a, b in taken):
+                taken.append((i, j))
+                out.append((label, i, j - 1, edits))
+    return sorted(out)
+
+
+def test_license_notices_that_adjoin():
+    scanner = license_scan.Scanner()
+    found = lambda text: sorted(scanner.fuzzy(b" " + text.encode() + b" "))
+    assert scanner.scan(b"undr the apache licence version 2 under the apache license version 3")["labels"] == "apache-2"
+    assert found("undr the mit license under the mit license under the mit licence") == [("mit", 0, 3, 1), ("mit", 4, 7, 0), ("mit", 8, 11, 1)]
+    rng = random.Random(21)
+    notices = [n for n, _, _ in license_scan.NOTICES if len(n) < 45]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            x = list(rng.choice(notices))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "2", " ", "x "])
+            parts += ["".join(x), *rng.choices(["the", "2", "mit"], k=rng.randint(0, 1))]
+        text = " ".join(" ".join(parts).split())
+        assert found(text) == brute_notices(text), text
+
+
 def test_license_base_against_words(spark):
     rng = random.Random(3)
     bits = ["under", "the", "MIT", "license", "cc", "by", "nc", "é", "x", ",", "-", "\n", "under the mit license", "cc by nc cc by nc"]
