@@ -8,10 +8,11 @@ shards by hash, which workers map into memory to score texts:
     pairs   (context id, word id) -> count
 
 Spark does the counting: tasks send what they have summed over a batch, and
-each shard is summed, sorted and written by one task. Words seen once share the
-class UNSEEN with words never seen, which spreads its probability evenly over
-the words seen once and one more outcome, so that the model, like the base
-score, is a distribution over the training words and one outcome besides.
+each shard is summed, sorted and written by one task. Every training word seen
+often enough (by default twice, in op4 once) has its own id. The others share
+the class UNSEEN with words never seen, which spreads its probability evenly
+over them and one more outcome, so that the model, like the base score, is a
+distribution over the training words and one outcome besides.
 """
 
 from __future__ import annotations
@@ -121,8 +122,8 @@ def summed(rows: DataFrame, shards: int, key: str, *values: str) -> DataFrame:
 class Model:
     """Where the arrays are and the few numbers that go with them (a few for each shard)."""
 
-    def __init__(self, uri: str, bits: int):
-        self.uri, self.bits, self.shards = uri, bits, 1 << bits
+    def __init__(self, uri: str, bits: int, least: int = MIN_COUNT):
+        self.uri, self.bits, self.shards, self.least = uri, bits, 1 << bits, least
         self.words = dict.fromkeys(range(self.shards), 0)  # shard -> number of words
         self.pairs: dict[int, int] = {}
         self.tokens = self.types = self.once = self.texts = 0
@@ -166,7 +167,7 @@ class Lookup:
                 yield s, slice(cuts[s], cuts[s + 1])
 
     def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """id of each token (unseen for words seen less than MIN_COUNT times), count of each."""
+        """id of each token (unseen for words seen less than the model's least times), count of each."""
         keys, back = np.unique(tokens, return_inverse=True)
         ids, counts = np.full(len(keys), self.m.unseen, np.int64), np.zeros(len(keys), np.int64)
         for s, part in self.each(keys >> (63 - self.m.bits), lambda s: self.m.words[s]):
@@ -174,7 +175,7 @@ class Lookup:
             i = np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)
             hit = have[i] == keys[part]
             counts[part] = np.where(hit, n[i], 0)
-            ids[part] = np.where(hit & (n[i] >= MIN_COUNT), self.at[s] + i, self.m.unseen)
+            ids[part] = np.where(hit & (n[i] >= self.m.least), self.at[s] + i, self.m.unseen)
         return ids[back], counts[back]
 
     def context_counts(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -243,15 +244,15 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.01), float(k)) for k in (1, 2, 3))
 
 
-def train(texts: DataFrame, uri: str | None = None) -> Model:
-    """The model of column raw (UTF-8 bytes) of all rows of texts; null counts as empty.
+def train(texts: DataFrame, uri: str | None = None, least: int = MIN_COUNT) -> Model:
+    """The model of column raw (UTF-8 bytes) of all rows of texts; null counts as empty. Words seen less than least times share a class.
 
     Shards: the session's number of shuffle partitions, rounded up to a power of
     two. What comes to the driver is a few numbers for each shard.
     """
     spark = texts.sparkSession
     wanted = max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    model = Model(uri or shared_dir(spark, "lm"), math.ceil(math.log2(wanted)))
+    model = Model(uri or shared_dir(spark, "lm"), math.ceil(math.log2(wanted)), least)
     bits, uri, shards = model.bits, model.uri, model.shards
 
     def count_words(batches):
@@ -266,7 +267,7 @@ def train(texts: DataFrame, uri: str | None = None) -> Model:
             put(f"{uri}/words-{s}-key", h)
             put(f"{uri}/words-{s}-n", n)
             ends = n[h == END].sum()
-            yield pa.RecordBatch.from_pydict({k: pa.array([int(v)], pa.int64()) for k, v in (("shard", s), ("rows", len(h)), ("total", n.sum()), ("once", (n < MIN_COUNT).sum()), ("once_total", n[n < MIN_COUNT].sum()), ("ends", ends))})
+            yield pa.RecordBatch.from_pydict({k: pa.array([int(v)], pa.int64()) for k, v in (("shard", s), ("rows", len(h)), ("total", n.sum()), ("once", (n < least).sum()), ("once_total", n[n < least].sum()), ("ends", ends))})
 
     words = summed(texts.select("raw").mapInArrow(count_words, "shard long, h long, n long"), shards, "h", "n")
     for r in words.mapInArrow(write_words, "shard long, rows long, total long, once long, once_total long, ends long").collect():
@@ -340,7 +341,7 @@ def lm_score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, least: int = MIN_COUNT) -> DataFrame:
     """Scores every row of docs by the model of those whose crc32(id) mod folds is not held.
 
     Null texts are empty: one token, the end. A null id counts as remainder 0,
@@ -349,9 +350,9 @@ def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     one outcome there is. Other columns, whatever their names, play no part.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, folds) == held).alias("held_out"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    return lm_score(df, train(df.filter(~F.col("held_out"))))
+    return lm_score(df, train(df.filter(~F.col("held_out")), least=least))
 
 
 @query
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm(table(spark, sf_dir, "documents"))
+    return ngram_lm(table(spark, sf_dir, "documents"), least=1)

@@ -130,6 +130,33 @@ def test_language_model_against_plain_counts(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
+def test_words_seen_once_have_their_own_pairs(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(12)], k=6) + [f"once{i}", "after", f"once{i}x"])) for i in range(60)] + [(500, "once3 after never w1"), (501, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: (t or "").encode().split() + [" end"] for i, t in rows}
+    train = [i for i in words if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = collections.Counter(p for i in train for p in zip(["begin"] + words[i], words[i]))
+    cont = collections.Counter(w for _, w in pairs)
+    high, low = ((0, *ngram_lm.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])) for c in (pairs, cont))
+    n, tot, back = sum(cont.values()), collections.Counter(), collections.Counter()
+    rest = sum(low[min(c, 3)] for c in cont.values()) / n / (len(cont) + 1)
+    for (a, _), c in pairs.items():
+        tot[a] += c
+        back[a] += high[min(c, 3)]
+
+    def p(a, w):
+        lower = max(cont[w] - low[min(cont[w], 3)], 0) / n + rest
+        return max(pairs[a, w] - high[min(pairs[a, w], 3)], 0) / tot[a] + back[a] / tot[a] * lower if tot[a] else lower
+
+    seen = next(w for w in cont if str(w).startswith("b'once"))
+    for a in ("begin", b"after", seen, b"never"):
+        assert math.isclose(sum(p(a, w) for w in [*cont, b"unknown"]), 1)  # one outcome besides the training words
+    got = {r.doc_id: r.score for r in ngram_lm.op4_ngram_lm(spark, str(tmp_path)).collect()}
+    for i, ws in words.items():
+        assert math.isclose(got[i], sum(math.log10(p(a, w)) for a, w in zip(["begin"] + ws, ws)), abs_tol=1e-8), i
+
+
 def test_language_model_without_training_rows(spark):
     df = spark.createDataFrame([(5, "a b")], "doc_id long, text string")  # held out
     held = zlib.crc32(b"5") % 5
