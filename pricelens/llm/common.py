@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which every executor sees.
 
-    Where the setting is absent (local tests), a temporary folder of this
-    machine takes its place, as driver and executors are one process there.
+    Where the setting is absent, a temporary folder of this machine takes its
+    place if driver and executors are one process (local tests); on a cluster
+    its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = os.path.dirname(known) if known else f"file://{tempfile.mkdtemp(prefix='pricelens-')}"
         if not known:
             spark.sparkContext.setCheckpointDir(root)
@@ -49,6 +53,18 @@ def crc_mod(col: str, n: int):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(0))
 
 
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores in front as make it differ from all names (Spark's don't differ by case)."""
+    taken = {n.lower() for n in names}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -1,6 +1,6 @@
 """Language ID by a linear-chain conditional random field over words.
 
-A word's features are hashed affixes, character n-grams and, where the training
+A word's features are hashed affixes, all its character n-grams and, where the training
 sample has it more than once, the word itself (the lexicon). Emission weights
 and transitions are learned together by gradient descent on the likelihood of
 code-switched sequences put together from pieces of the sample. Forward-backward
@@ -10,56 +10,88 @@ text's language is the one with the largest sum.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, query, table
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
-#: The classifier's sample: so many labelled texts of each language, a window of so many characters of each, of so many languages (the most frequent).
-SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGS = 600, 1500, 64
+#: The classifier's sample: so many labelled texts of all languages together, shared out evenly, but at most and at least so many of each; a window of so many characters of each text.
+SAMPLE, MOST_TEXTS, LEAST_TEXTS, SAMPLE_CHARS = 40_000, 600, 30, 1500
 DIMS = 1 << 15
-SEQUENCES, PIECES, PIECE_WORDS, ROUNDS, RATE, SHRINK = 1200, 4, (3, 25), 60, 0.15, 1e-4
-#: Bytes of text and distinct words that a worker holds at once.
-CHUNK, REMEMBERED = 3_000_000, 150_000
+#: Training sequences: so many of each language, and in all at least.
+SEQUENCES_A_LANG, SEQUENCES, PIECES, PIECE_WORDS, ROUNDS, RATE, SHRINK = 300, 1200, 4, (3, 25), 60, 0.15, 1e-4
+#: Scores (a word's, one for each language), characters of new words, and distinct words that a worker holds at once.
+CHUNK, SLICE, REMEMBERED = 1_500_000, 100_000, 100_000
+#: Steps of forward-backward between two that keep numbers in range.
+EVEN = 8
+ODDS = np.random.default_rng(20240301).integers(1, 2**63, 4, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def features(word: str, lexicon: set[str] | frozenset[str]) -> list[int]:
-    """Hashed features; a word of any length gives at most 3 + 4 + 2 * 24 + 1."""
-    w = f"<{word[:24]}>"
-    names = [f"p{w[:k]}" for k in (2, 3, 4)] + [f"s{word[-k:]}>" for k in (1, 2, 3, 4)]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    if word in lexicon:
-        names.append(f"w{word}")
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMS for x in names]
+def hashed(runs: list[np.ndarray], salt: int) -> np.ndarray:
+    """One of DIMS buckets for each run of characters, given as one array for each place in the run."""
+    x = np.full(len(runs[0]), salt + 1, np.uint64)
+    for i, c in enumerate(runs):
+        x = (x ^ c) * ODDS[i]
+        x ^= x >> np.uint64(29)
+    return (x * ODDS[3] >> np.uint64(40)).astype(np.int64) % DIMS
+
+
+def features(words: list[str], lexicon: frozenset[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word's number, bucket) of all features of words, some at a time: each two and three characters that adjoin in <word>,
+    the first one to three, the last one to four, and the word where the lexicon has it.
+
+    However long a word, all of it counts; SLICE characters are held at once.
+    """
+    text = "".join(f"<{w}>" for w in words)
+    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    last = np.cumsum(size)
+    first = last - size
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    for a in range(0, len(code), SLICE):
+        at = np.arange(a, min(a + SLICE, len(code)))
+        owner = np.searchsorted(last, at, side="right")
+        for n in (2, 3):
+            ok = at + n <= last[owner]
+            yield owner[ok], hashed([code[at[ok] + i].astype(np.uint64) for i in range(n)], n)
+    # four characters are hashed as three: the first two share a number
+    every, pick = np.arange(len(words)), lambda at: code[at].astype(np.uint64)
+    for n in (1, 2, 3):
+        ok = size - 2 >= n
+        yield every[ok], hashed([pick(first[ok] + 1 + i) for i in range(n)], 10 + n)
+    for n in (1, 2, 3, 4):
+        ok = size - 2 >= n
+        runs = [pick(last[ok] - 2 - i) for i in range(n)]
+        yield every[ok], hashed(runs if n < 4 else [runs[0] << np.uint64(32) | runs[1], *runs[2:]], 20 + n)
+    ok = [i for i, w in enumerate(words) if w in lexicon]
+    yield np.array(ok, np.int64), np.array([zlib.crc32(words[i].encode()) % DIMS for i in ok], np.int64)
 
 
 class Crf:
-    """labels, weights (DIMS x labels), start (labels), step (from x to), lexicon: bounded by DIMS, MOST_LANGS and the sample."""
+    """labels, weights (DIMS x labels), start (labels), step (from x to), lexicon: bounded by DIMS, the number of languages and the sample."""
 
     def __init__(self, labels: list[str], lexicon: frozenset[str]):
         n = len(labels)
         self.labels, self.lexicon = labels, lexicon
         self.weights, self.start, self.step = np.zeros((DIMS, n)), np.zeros(n), np.zeros((n, n))
 
-    def indexed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [features(w, self.lexicon) for w in words]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((x for f in lists for x in f), np.int64, int(n.sum())), n
-
-    def emissions(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Scores of words, from their features; the mean weight, so that long words don't drown short ones, times a constant."""
-        if not len(n):
-            return np.zeros((0, len(self.labels)))
-        return np.add.reduceat(self.weights[flat], np.cumsum(n) - n) * (8 / n)[:, None]
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of words: the mean weight of their features, so that long words don't drown short ones, times a constant."""
+        out, n = np.zeros((len(words), len(self.labels))), np.zeros(len(words))
+        for owner, bucket in features(words, self.lexicon):
+            n += np.bincount(owner, minlength=len(words))
+            for k in range(len(self.labels)):
+                out[:, k] += np.bincount(owner, self.weights[bucket, k], len(words))
+        return out * (8 / np.maximum(n, 1))[:, None]
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np.ndarray, steps: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,25 +108,27 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray,
     alpha, beta = np.empty_like(e), np.empty_like(e)
     longest = int(n[0]) if len(n) else 0
     active = np.searchsorted(-n, -np.arange(longest), side="left")  # sequences longer than t
+    # every score is 1 at most and a step loses no more than the least transition, so rows need to be put to sum 1 only now and then
     x = np.exp(start - start.max())[None, :] * e[first]
     for t in range(longest):
         k = active[t]
         rows = first[:k] + t
         if t:
-            x = (x[:k] @ a) * e[rows]
-        x /= x.sum(axis=1, keepdims=True)
+            x = x[:k] @ a
+            x *= e[rows]
+        if t % EVEN == 0:
+            x /= x.sum(axis=1, keepdims=True)
         alpha[rows] = x
     expected = np.zeros_like(a)
-    y = np.ones((0, e.shape[1]))
+    y = np.ones((len(first), e.shape[1]))
     for t in range(longest - 1, -1, -1):
         k = active[t]
         rows = first[:k] + t
-        now = np.ones((k, e.shape[1]))
-        if len(y):
-            now[: len(y)] = y
-        beta[rows] = now
-        y = (now * e[rows]) @ a.T
-        y /= y.sum(axis=1, keepdims=True)
+        beta[rows] = y[:k]
+        now = (y[:k] * e[rows]) @ a.T
+        if t % EVEN == 0:
+            now /= now.sum(axis=1, keepdims=True)
+        y[:k] = now
     if not steps:
         alpha *= beta
         alpha /= alpha.sum(axis=1, keepdims=True)
@@ -120,14 +154,15 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Crf:
     crf = Crf(labels, frozenset(w for w, c in seen.items() if c > 1))
     if len(labels) < 2:
         return crf
-    rng, of = np.random.default_rng(seed), {x: i for i, x in enumerate(labels)}
-    by = [[w for w, lang in texts if lang == x] for x in labels]
+    rng, by = np.random.default_rng(seed), [[] for _ in labels]
+    of = {x: i for i, x in enumerate(labels)}
+    for w, lang in texts:
+        by[of[lang]].append(w)
     words: list[str] = []
     truth: list[int] = []
     lengths = []
-    for _ in range(SEQUENCES):
-        n = 0
-        lang = int(rng.integers(len(labels)))
+    for s in range(max(SEQUENCES, SEQUENCES_A_LANG * len(labels))):
+        n, lang = 0, s % len(labels)
         for _ in range(PIECES):
             w = by[lang][int(rng.integers(len(by[lang])))]
             size = min(len(w), int(rng.integers(*PIECE_WORDS)))
@@ -140,8 +175,9 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Crf:
         lengths.append(n)
     lengths, y = np.array(lengths), np.array(truth)
     types, back = np.unique(np.array(words, object).astype(str), return_inverse=True)
-    flat, n = crf.indexed(types.tolist())
-    owner = np.repeat(np.arange(len(types)), n)
+    owner, flat = (np.concatenate(x) for x in zip(*features(types.tolist(), crf.lexicon)))
+    scale = 8 / np.maximum(np.bincount(owner, minlength=len(types)), 1)
+    scored = lambda: np.stack([np.bincount(owner, crf.weights[flat, k], len(types)) * scale for k in range(len(labels))], 1)
     first = np.cumsum(lengths) - lengths
     same = np.ones(len(y), bool)
     same[first] = False
@@ -153,8 +189,8 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Crf:
     params = [crf.weights, crf.start, crf.step]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for r in range(1, ROUNDS + 1):
-        p, steps, _ = forward_backward(crf.emissions(flat, n)[back], lengths, crf.start, crf.step)
-        short = (truth_by_type - np.stack([np.bincount(back, p[:, k], len(types)) for k in range(m)], 1)) * (8 / n)[:, None]
+        p, steps, _ = forward_backward(scored()[back], lengths, crf.start, crf.step)
+        short = (truth_by_type - np.stack([np.bincount(back, p[:, k], len(types)) for k in range(m)], 1)) * scale[:, None]
         grads = [np.stack([np.bincount(flat, short[owner, k], DIMS) for k in range(m)], 1), seen_start - p[first].sum(0), seen_steps - steps]
         for x, g, (u, v) in zip(params, grads, moments):
             g = g / len(y) - SHRINK * x
@@ -177,77 +213,97 @@ class Tagger(dict):
         self.new.append(word)
         return i
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.scores = self.scores[:0]
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self.scores = np.concatenate([self.scores, self.crf.emissions(*self.crf.indexed(self.new)).astype(np.float32)])
-            self.new = []
-        return self.scores[at].astype(float)
-
-    def tag(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
-        """(language, its share, words, switches) of each text."""
-        words = [WORDS.findall((t or "").lower()) for t in texts]
-        words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]
-        lengths = np.array([len(w) for w in words], np.int64)
+    def numbers(self, text: str | None) -> np.ndarray:
+        """A number for each word; none for a text without a letter."""
+        words = WORDS.findall((text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            return np.empty(0, np.int32)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def learn(self) -> None:
+        """Scores of the words that are new, SLICE characters or one word at a time."""
+        parts, part, size = [self.scores], [], 0
+        for i, w in enumerate(self.new):
+            part.append(w)
+            size += len(w)
+            if size >= SLICE or i == len(self.new) - 1:
+                parts.append(self.crf.emissions(part).astype(np.float32))
+                part, size = [], 0
+        self.scores, self.new = np.concatenate(parts), []
+
+    def tag(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float, int, int]]:
+        """(language, its share, words, switches) of each text, CHUNK scores of texts at a time."""
+        most, held, size = max(1, CHUNK // max(1, len(self.crf.labels))), [], 0
+        for t in texts:
+            held.append(self.numbers(t))
+            size += len(held[-1])
+            if size >= most:
+                yield from self.told(held)
+                held, size = [], 0
+        yield from self.told(held)
+
+    def told(self, numbers: list[np.ndarray]) -> list[tuple[str, float, int, int]]:
+        lengths = np.array([len(x) for x in numbers], np.int64)
         full = np.flatnonzero(lengths)
         labels = self.crf.labels
         out = [(UNKNOWN, 0.0, int(n), 0) for n in lengths]
-        if not labels or not len(full):
-            return out
-        n = lengths[full]
-        p, _, _ = forward_backward(self.rows([x for i in full for x in words[i]]), n, self.crf.start, self.crf.step, steps=False)
-        first = np.cumsum(n) - n
-        share = np.add.reduceat(p, first) / n[:, None]
-        best = p.argmax(1)
-        change = np.zeros(len(best), np.int64)
-        change[1:] = best[1:] != best[:-1]
-        change[first] = 0
-        switches, top = np.add.reduceat(change, first), share.argmax(1)
-        for j, i in enumerate(full):
-            out[i] = (labels[top[j]], min(1.0, float(share[j, top[j]])), int(n[j]), int(switches[j]))
+        if labels and len(full):
+            self.learn()
+            n = lengths[full]
+            p, _, _ = forward_backward(self.scores[np.concatenate(numbers)].astype(float), n, self.crf.start, self.crf.step, steps=False)
+            first = np.cumsum(n) - n
+            share = np.add.reduceat(p, first) / n[:, None]
+            best = p.argmax(1)
+            change = np.zeros(len(best), np.int64)
+            change[1:] = best[1:] != best[:-1]
+            change[first] = 0
+            switches, top = np.add.reduceat(change, first), share.argmax(1)
+            for j, i in enumerate(full):
+                out[i] = (labels[top[j]], min(1.0, float(share[j, top[j]])), int(n[j]), int(switches[j]))
+        if len(self) > REMEMBERED:  # only here, as no number is held any more
+            self.clear()
+            self.scores, self.new = self.scores[:0], []
         return out
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where) -> Crf:
-    """A model fitted on a bounded, hash-chosen sample (SAMPLE_TEXTS a language) of the rows where where holds."""
-    key = F.xxhash64(F.col(id_col))
-    known = docs.filter(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = [r[0] for r in known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ids = known.filter(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), key.alias("key")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
-    window = F.substring(text_col, F.pmod(key, F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    # at most MOST_LANGS * SAMPLE_TEXTS ids, so the broadcast is bounded; repeated ids can't add rows beyond the limit
-    chosen = F.broadcast(ids.select("doc_id", "lang").distinct())
-    rows = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), window.alias("t")).join(chosen, ["doc_id", "lang"], "left_semi")
-    return fit([(r.t, r.lang) for r in rows.limit(2 * MOST_LANGS * SAMPLE_TEXTS).collect()])
-
-
-def tag_languages(docs: DataFrame, crf: Crf, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns keep of docs, and lang_pred, score, n_words, n_switches."""
-    df = docs.select(*dict.fromkeys([*keep, text_col]))
+    """A model fitted on a bounded sample of the rows where where holds, chosen by hash, of every language that occurs.
+
+    A language's rows are thinned by hash to a little more than its share before
+    they are put in order, so a frequent one is no hot key; repeated rows of one
+    id, text and language are one.
+    """
+    text, lang = F.col(text_col), F.col(lang_col)
+    known = docs.filter(where & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).collect()  # a row for each language
+    if not counts:
+        return fit([])
+    share = max(LEAST_TEXTS, min(MOST_TEXTS, SAMPLE // len(counts)))
+    # of n rows with even hashes, share + 6 standard deviations lie below the bound
+    parts = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1.0, (share + 6 * math.sqrt(share)) / r.rows)) for r in counts], "lang string, part double"))
+    even = F.shiftrightunsigned(F.col("key"), 11) / float(1 << 53)
+    window = F.substring("text", F.pmod("key", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    thin = known.join(parts, "lang").filter(even <= F.col("part")).groupBy("lang", "key").agg(F.first(window).alias("t"))
+    order = Window.partitionBy("lang").orderBy("key", "t")
+    rows = thin.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).select("t", "lang").collect()
+    return fit([(r.t, r.lang) for r in rows])
+
+
+def tag_languages(docs: DataFrame, crf: Crf, text_col: str) -> Column:
+    """A struct of lang_pred, score, n_words and n_switches, as a column over docs: only the text goes to Python, and all else stays where it is."""
     # weights, lexicon and transitions travel once to each executor
     model = docs.sparkSession.sparkContext.broadcast(crf)
+    kinds = [("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("n_switches", pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double,n_words:long,n_switches:long>")
+    def tag(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(model.value)
-        for batch in batches:
-            texts: list[str | None] = []
-            first = size = 0
-            column, rest = batch.column(text_col), batch.select(keep)
-            for i in range(len(batch)):
-                texts.append(column[i].as_py())
-                size += len(texts[-1] or "")
-                if size >= CHUNK or i == len(batch) - 1:
-                    got = tagger.tag(texts)
-                    cols = [pa.array(x, kind) for x, kind in zip(zip(*got), (pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*rest.slice(first, len(texts)).columns, *cols], names=[*keep, "lang_pred", "score", "n_words", "n_switches"])
-                    first, size, texts = i + 1, 0, []
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double, n_words long, n_switches long")
+        for column in columns:
+            out = list(tagger.tag(x.as_py() for x in column))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(cols, kinds)], names=[n for n, _ in kinds])
+
+    return tag(F.col(text_col))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
@@ -263,7 +319,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold = crc_mod(id_col, folds) == held
     crf = train(docs, id_col, text_col, lang_col, ~fold)
     df = docs.select(F.col(id_col).alias("doc_id"), fold.alias("held_out"), F.col(text_col).alias("text"))
-    return tag_languages(df, crf, "text", ["doc_id", "held_out"])
+    return df.select("doc_id", "held_out", tag_languages(df, crf, "text").alias("told")).select("doc_id", "held_out", "told.*")
 
 
 @query

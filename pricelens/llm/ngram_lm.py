@@ -1,22 +1,25 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
-
-Training makes three sets of sorted arrays in the shared folder, each cut into
-shards by hash, which workers map into memory to score texts:
-
-    words   hash of every training word -> its count; a word's id is its rank
-    stats   id -> backoff weight as a context, lower-order probability as a word
-    pairs   (context id, word id) -> count
-
-Spark does the counting: tasks send what they have summed over a batch, and
-each shard is summed, sorted and written by one task. Every training word seen
-often enough (by default twice, in op4 once) has its own id. The others share
-the class UNSEEN with words never seen, which spreads its probability evenly
-over them and one more outcome, so that the model, like the base score, is a
-distribution over the training words and one outcome besides.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark.
+
+Training leaves tables of sorted hash arrays in the shared folder, each cut
+into shards by hash, which workers map into memory to score texts:
+
+    words      hash of every training word -> its count; a word's id is its rank
+    grams-3    hash of (a, b, c) -> how often c follows a b
+    grams-2    hash of (b, c) -> how many words precede b c (how often, at a text's start)
+    whole-k    hash of the words before -> their n-grams' counts, in all and seen once, twice, more
+    spread-k   the same of words so frequent that their n-grams are in many shards
+    ones       word -> how many words precede it
+
+Spark does the counting: a task sums what it reads and sends each shard one
+packed block for about RUN tokens; a shard is summed, sorted and written by one
+task, which passes on what the next lower order counts. Every training word has
+its own id; one outcome besides stands for all others, so that the model, like
+the base score, is a distribution over the training words and that outcome.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -28,12 +31,24 @@ from pyspark.sql import functions as F
 from .common import crc_mod, query, saved, shared_dir, table
 from .words import Hashes, chunks, hash63
 
-MIN_COUNT = 2
-ODD, LOW63 = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**63 - 1)
+#: Tokens that a shard holds on average, and that a worker takes together.
+TOKENS_A_SHARD, RUN = 2_000_000, 1_000_000
+U = np.uint64
+ODDS = (U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53))
+#: No word holds a space.
+END = hash63(b" end")
+BLOCK = "kind int, shard long, data binary"
+OWN, LOWER, SPREAD = 0, 1, 2
+CONTEXT = ("total", "n1", "n2", "n3")
 
 
-#: No word holds a space.
-BEGIN, END = hash63(b" begin"), hash63(b" end")
+def mix(*ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of rows of ids."""
+    x = np.zeros(len(ids[0]), U)
+    for c in ids:
+        x = (x ^ c.astype(U)) * ODDS[0]
+        x = (x ^ (x >> U(32))) * ODDS[1]
+    return (x ^ (x >> U(29))) * ODDS[2]
 
 
 def hashed(rows: list[list[bytes]], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -56,83 +71,138 @@ def previous(tokens: np.ndarray, n: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one row of each, and the sum of its rows' n."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[start], order[start], np.add.reduceat(n[order], start) if len(start) else n[:0]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of integers as bytes, like bytes together, compressed; the first as differences."""
+    x = np.stack(columns).astype("<i8")
+    x[0, 1:] -= x[0, :-1].copy()
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view("<i8")[:, :, 0].copy()
+    np.cumsum(x[0], out=x[0])
+    return x
+
+
+def blocks(kind: int, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """BLOCK rows: the columns' rows by shard."""
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [c[order] for c in columns]
+    cuts = [*np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])[: len(shard)]).tolist(), len(shard)]
+    data = [packed(*(c[a:b] for c in columns)) for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.int32()), pa.array(shard[cuts[:-1]].astype(np.int64)), pa.array(data, pa.binary())], names=["kind", "shard", "data"])
+
+
+def own(**numbers: int) -> pa.RecordBatch:
+    """A BLOCK row of a shard's numbers for the model."""
+    return pa.RecordBatch.from_pydict({"kind": pa.array([OWN], pa.int32()), "shard": pa.array([0], pa.int64()), "data": pa.array([json.dumps({k: int(v) for k, v in numbers.items()}).encode()], pa.binary())})
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its columns) from blocks sorted by shard. A shard is a bounded part of the model."""
+    shard, parts = None, []
+    for batch in batches:
+        for s, data in zip(batch.column("shard").to_pylist(), batch.column("data")):
+            if parts and s != shard:
+                yield shard, np.concatenate(parts, axis=1)
+                parts = []
+            shard = s
+            parts.append(unpacked(data.as_py(), columns))
+    if parts:
+        yield shard, np.concatenate(parts, axis=1)
+
+
 def local(uri: str) -> tuple[object, str]:
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, data: np.ndarray) -> None:
-    """Whole or not at all, and the same again if the task is repeated."""
+def put(uri: str, **arrays: np.ndarray) -> None:
+    """The arrays in one file: whole or not at all, and the same again if the task is repeated."""
     import uuid
 
     files, path = local(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
+    head = json.dumps({k: [v.dtype.str, len(v)] for k, v in arrays.items()}).encode()
     part = f"{path}.{uuid.uuid4().hex}"
     with files.open_output_stream(part) as out:
-        out.write(memoryview(np.ascontiguousarray(data)).cast("B") if len(data) else b"")
+        out.write(f"{len(head):<8}".encode() + head.ljust(-(-len(head) // 8) * 8))
+        for v in arrays.values():
+            out.write(np.ascontiguousarray(v).tobytes() + bytes(-v.nbytes % 8))
     files.move(part, path)
 
 
-def mapped(uri: str, kind: str) -> np.ndarray:
-    """The array, mapped; one in a remote store is copied to a file that goes with the mapping."""
+def mapped(uri: str) -> dict[str, np.ndarray]:
+    """A file's arrays, mapped; one in a remote store is copied to a file that goes with the mapping. None of a file that isn't there."""
     import os
     import tempfile
 
     from pyarrow import fs
 
     files, path = local(uri)
-    if not files.get_file_info(path).size:
-        return np.empty(0, kind)
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
     if isinstance(files, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with tempfile.NamedTemporaryFile(delete=False) as to, files.open_input_stream(path) as source:
-        while data := source.read(1 << 24):
-            to.write(data)
-    try:
-        return np.memmap(to.name, kind, "r")
-    finally:
-        os.unlink(to.name)
-
-
-def by_shard(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(shard, its columns) from rows sorted by shard. A shard is a bounded part of the model."""
-    shard, parts = None, []
-    for batch in batches:
-        of = batch.column("shard").to_numpy()
-        cols = [batch.column(x).to_numpy() for x in names]
-        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if parts and of[a] != shard:
-                yield shard, [np.concatenate(x) for x in zip(*parts)]
-                parts = []
-            shard = int(of[a])
-            parts.append([c[a:b] for c in cols])
-    if parts:
-        yield shard, [np.concatenate(x) for x in zip(*parts)]
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with tempfile.NamedTemporaryFile(delete=False) as to, files.open_input_stream(path) as source:
+            while data := source.read(1 << 24):
+                to.write(data)
+        try:
+            raw = np.memmap(to.name, np.uint8, "r")
+        finally:
+            os.unlink(to.name)
+    size = int(raw[:8].tobytes())
+    at, out = 8 + -(-size // 8) * 8, {}
+    for k, (kind, n) in json.loads(raw[8 : 8 + size].tobytes()).items():
+        nbytes = np.dtype(kind).itemsize * n
+        out[k] = raw[at : at + nbytes].view(kind)
+        at += -(-nbytes // 8) * 8
+    return out
+
 
+def small(**columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns of counts as bytes; 255 says that the number is in a list beside."""
+    out = {}
+    for k, v in columns.items():
+        big = np.flatnonzero(v >= 255)
+        out |= {k: np.minimum(v, 255).astype(np.uint8), f"{k}-at": big, f"{k}-big": v[big]}
+    return out
 
-def summed(rows: DataFrame, shards: int, key: str, *values: str) -> DataFrame:
-    """rows summed by shard and key, each shard in one task and sorted by key; one shuffle."""
-    return rows.repartition(shards, "shard").groupBy("shard", key).agg(*(F.sum(v).alias(v) for v in values)).sortWithinPartitions("shard", key)
+
+def large(have: dict[str, np.ndarray], k: str, i: np.ndarray) -> np.ndarray:
+    """Rows i of column k as small() took it."""
+    out = have[k][i].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    out[big] = have[f"{k}-big"][np.searchsorted(have[f"{k}-at"], i[big])]
+    return out
 
 
 class Model:
-    """Where the arrays are and the few numbers that go with them (a few for each shard)."""
+    """Where the tables are and the few numbers that go with them (one for each shard of words)."""
 
-    def __init__(self, uri: str, bits: int, least: int = MIN_COUNT):
-        self.uri, self.bits, self.shards, self.least = uri, bits, 1 << bits, least
+    def __init__(self, uri: str, bits: int, shard_tokens: int):
+        self.uri, self.bits, self.shards = uri, bits, 1 << bits
         self.words = dict.fromkeys(range(self.shards), 0)  # shard -> number of words
-        self.pairs: dict[int, int] = {}
-        self.tokens = self.types = self.once = self.texts = 0
-        self.discounts = (0.5, 1.0, 1.5)
-        self.rest = 1.0  # lower-order probability of a word without a continuation count
-        self.stats: set[int] = set()
+        self.tokens = self.types = self.texts = 0
+        #: Words seen more often are spread: as the only words of a context they would fill a shard.
+        self.hot = max(64, shard_tokens // 8)
+        self.discounts = {k: (0.0, 0.5, 1.0, 1.5) for k in (1, 2, 3)}
+        self.pairs, self.rest = 0, 1.0  # distinct pairs; lower-order probability of a word never seen
 
-    def offsets(self) -> list[int]:
-        return [0, *np.cumsum([self.words[s] for s in range(self.shards)]).tolist()]
+    def offsets(self) -> np.ndarray:
+        return np.array([0, *np.cumsum([self.words[s] for s in range(self.shards)])])
 
     @property
     def unseen(self) -> int:
@@ -142,9 +212,11 @@ class Model:
     def begin(self) -> int:
         return self.types + 1
 
-    def hot(self) -> int:
-        """Contexts with more tokens than this are spread over the shards."""
-        return max(64, self.tokens // (4 * self.shards))
+    def shard(self, *context: np.ndarray, word: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """The shard of each n-gram: that of its context, or, where spread, of itself."""
+        key = mix(*context)
+        key = np.where(spread, mix(key, word), key)
+        return (key >> U(64 - self.bits)).astype(np.int64)
 
 
 class Lookup:
@@ -152,88 +224,90 @@ class Lookup:
 
     def __init__(self, model: Model):
         self.m, self.at = model, model.offsets()
-        self.arrays: dict[str, np.ndarray] = {}
+        self.tables: dict[str, dict[str, np.ndarray]] = {}
 
-    def array(self, name: str, kind: str) -> np.ndarray:
-        if name not in self.arrays:
-            self.arrays[name] = mapped(f"{self.m.uri}/{name}", kind)
-        return self.arrays[name]
+    def table(self, name: str) -> dict[str, np.ndarray]:
+        if name not in self.tables:
+            self.tables[name] = mapped(f"{self.m.uri}/{name}")
+        return self.tables[name]
 
-    def each(self, shard_of: np.ndarray, have) -> Iterator[tuple[int, slice]]:
-        """The shards that occur in a sorted array of shards and that the model has."""
-        cuts = np.searchsorted(shard_of, np.arange(self.m.shards + 1))
+    def each(self, name: str, shard: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
+        """(shard, its part of the table, the rows that ask it) of the shards that occur and that the table has."""
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if have(s):
-                yield s, slice(cuts[s], cuts[s + 1])
+            if have := self.table(f"{name}-{s}"):
+                yield s, have, order[cuts[s] : cuts[s + 1]]
+
+    def find(self, name: str, shard: np.ndarray, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
+        """The columns of the table's rows with these keys; 0 where it has none."""
+        out = [np.zeros(len(keys), np.int64) for _ in columns]
+        for _, have, rows in self.each(name, shard):
+            i = np.minimum(np.searchsorted(have["key"], keys[rows]), len(have["key"]) - 1)
+            hit = have["key"][i] == keys[rows]
+            for x, c in zip(out, columns):
+                x[rows[hit]] = large(have, c, i[hit])
+        return out
 
     def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """id of each token (unseen for words seen less than the model's least times), count of each."""
+        """id and count of each token; unseen and 0 for words that are none of training's."""
         keys, back = np.unique(tokens, return_inverse=True)
         ids, counts = np.full(len(keys), self.m.unseen, np.int64), np.zeros(len(keys), np.int64)
-        for s, part in self.each(keys >> (63 - self.m.bits), lambda s: self.m.words[s]):
-            have, n = self.array(f"words-{s}-key", "i8"), self.array(f"words-{s}-n", "i8")
-            i = np.minimum(np.searchsorted(have, keys[part]), len(have) - 1)
-            hit = have[i] == keys[part]
-            counts[part] = np.where(hit, n[i], 0)
-            ids[part] = np.where(hit & (n[i] >= self.m.least), self.at[s] + i, self.m.unseen)
+        for s, have, rows in self.each("words", keys >> (63 - self.m.bits)):
+            i = np.minimum(np.searchsorted(have["key"], keys[rows]), len(have["key"]) - 1)
+            hit = have["key"][i] == keys[rows]
+            ids[rows[hit]], counts[rows[hit]] = self.at[s] + i[hit], large(have, "n", i[hit])
         return ids[back], counts[back]
 
-    def context_counts(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Tokens that follow each context."""
-        return np.where(ids == self.m.unseen, self.m.once, np.where(ids == self.m.begin, self.m.texts, counts))
-
-    def pair_shards(self, context: np.ndarray, word: np.ndarray, followers: np.ndarray) -> np.ndarray:
-        mix = lambda x: (x.astype(np.uint64) * ODD) & LOW63
-        key = np.where(followers > self.m.hot(), mix(context) ^ mix(word + 7), mix(context))
-        return (key >> np.uint64(63 - self.m.bits)).astype(np.int64)
+    def of_ids(self, name: str, column: str, ids: np.ndarray) -> np.ndarray:
+        """A column that goes by word, of words with these ids; 0 of others."""
+        out = np.zeros(len(ids), np.int64)
+        for s, have, rows in self.each(name, np.clip(np.searchsorted(self.at, ids, side="right") - 1, 0, self.m.shards - 1)):
+            known = ids[rows] < self.m.types
+            out[rows[known]] = large(have, column, ids[rows[known]] - self.at[s])
+        return out
 
-    def stats(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens as a context, backoff weight, lower-order probability) of each id."""
+    def hot(self, ids: np.ndarray) -> np.ndarray:
         keys, back = np.unique(ids, return_inverse=True)
-        out = [np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), self.m.rest)]
-        shard = keys % self.m.shards
-        order = np.argsort(shard, kind="stable")
-        for s, part in self.each(shard[order], self.m.stats.__contains__):
-            at = order[part]
-            have = self.array(f"stats-{s}-id", "i8")
-            i = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-            hit = have[i] == keys[at]
-            for x, name in zip(out, ("total", "backoff", "lower")):
-                x[at[hit]] = self.array(f"stats-{s}-{name}", "f8")[i[hit]]
-        return tuple(x[back] for x in out)
-
-    def pairs(self, context: np.ndarray, word: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        keys, first, back = np.unique((context << 32) | word, return_index=True, return_inverse=True)
-        out, shard = np.zeros(len(keys), np.int64), shard[first]
-        order = np.argsort(shard, kind="stable")
-        for s, part in self.each(shard[order], self.m.pairs.__contains__):
-            at = order[part]
-            have, n = self.array(f"pairs-{s}-key", "i8"), self.array(f"pairs-{s}-n", "i8" if self.m.pairs[s] >= 2**32 else "u4")
-            i = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-            out[at] = np.where(have[i] == keys[at], n[i], 0)
-        return out[back]
-
-    def tokens(self, rows: list[list[bytes]], known: Hashes):
-        """ids, counts, contexts, shard of each pair, tokens of each text."""
-        tokens, n = hashed(rows, known)
-        ids, counts = self.words(tokens)
-        context = previous(ids, n, self.m.begin)
-        shard = self.pair_shards(context, ids, self.context_counts(context, previous(counts, n, 0)))
-        return ids, counts, context, shard, n
-
-    def score(self, rows: list[list[bytes]], known: Hashes) -> dict[str, np.ndarray]:
+        n = np.where(keys == self.m.begin, self.m.texts, self.of_ids("words", "n", keys))
+        return (n > self.m.hot)[back]
+
+    def level(self, k: int, context: tuple[np.ndarray, ...], word: np.ndarray, spread: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of n-grams of order k, interpolated with the lower order's."""
+        key = mix(*context)
+        shard = self.m.shard(*context, word=word, spread=spread)
+        (n,) = self.find(f"grams-{k}", shard, mix(key, word), "n")
+        once, back = np.unique(key, return_inverse=True)
+        at = (once >> U(64 - self.m.bits)).astype(np.int64)
+        whole, spread = (self.find(f"{kind}-{k}", at, once, *CONTEXT) for kind in ("whole", "spread"))  # each context is in one of them
+        total, n1, n2, n3 = (x[back] + y[back] for x, y in zip(whole, spread))
+        d = np.array(self.m.discounts[k])
+        backoff = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
+        return np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + backoff * lower
+
+    def tokens(self, batches: Iterator[pa.RecordBatch], known: Hashes) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, its batch, ids, counts, tokens of each text) of runs of texts."""
+        for batch in batches:
+            for first, rows in chunks(batch.column("raw")):
+                tokens, n = hashed(rows, known)
+                yield first, batch, *self.words(tokens), n
+
+    def score(self, ids: np.ndarray, counts: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
         m = self.m
-        ids, counts, context, shard, n = self.tokens(rows, known)
-        c = self.pairs(context, ids, shard)
-        total, backoff, _ = self.stats(context)
-        lower = self.stats(ids)[2]
-        kept = np.maximum(c - np.array([0.0, *m.discounts])[np.minimum(c, 3)], 0)
-        p = kept / np.maximum(total, 1) + backoff * lower
-        p = np.where(ids == m.unseen, p / (m.once + 1), p)
+        b = previous(ids, n, m.begin)
+        a = previous(b, n, m.begin)
+        _, first, back = np.unique(mix(a, b, ids), return_index=True, return_inverse=True)
+        x, y, z = a[first], b[first], ids[first]
+        hot = self.hot(y)
+        ones = self.of_ids("ones", "n", z)
+        d = np.array(m.discounts[1])
+        p = np.maximum(ones - d[np.minimum(ones, 3)], 0) / max(m.pairs, 1) + m.rest
+        p = self.level(2, (y,), z, hot, p)
+        p = self.level(3, (x, y), z, hot & self.hot(x), p)
         starts = np.cumsum(n) - n
         base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-        per_text = lambda x: np.add.reduceat(x, starts)
-        return {"n_tokens": n, "n_known": per_text((counts > 0).astype(np.int64)), "base_score": per_text(base), "score": per_text(np.log10(p))}
+        per_text = lambda v: np.add.reduceat(v, starts)
+        return {"n_tokens": n, "n_known": per_text((counts > 0).astype(np.int64)), "base_score": per_text(base), "score": per_text(np.log10(p)[back])}
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -244,115 +318,182 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.01), float(k)) for k in (1, 2, 3))
 
 
-def train(texts: DataFrame, uri: str | None = None, least: int = MIN_COUNT) -> Model:
-    """The model of column raw (UTF-8 bytes) of all rows of texts; null counts as empty. Words seen less than least times share a class.
+def contexts(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """key, total, n1, n2, n3 of the contexts of n-grams with counts n."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    per = lambda x: np.add.reduceat(x.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    return key[start], per(n), per(n == 1), per(n == 2), per(n > 2)
+
 
-    Shards: the session's number of shuffle partitions, rounded up to a power of
-    two. What comes to the driver is a few numbers for each shard.
+def classes(n: np.ndarray) -> dict[str, int]:
+    return {f"c{i}": int((n == i).sum()) for i in (1, 2, 3, 4)} | {"more": int((n > 2).sum()), "rows": len(n), "all": int(n.sum())}
+
+
+def train(texts: DataFrame, uri: str | None = None, shard_tokens: int = TOKENS_A_SHARD) -> Model:
+    """The model of column raw (UTF-8 bytes) of all rows of texts; null counts as empty.
+
+    The number of shards goes by the bytes of text, at six a token. What comes
+    to the driver is a few numbers for each shard.
     """
     spark = texts.sparkSession
-    wanted = max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    model = Model(uri or shared_dir(spark, "lm"), math.ceil(math.log2(wanted)), least)
+    size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    model = Model(uri or shared_dir(spark, "lm"), max(1, math.ceil(math.log2(max(1, size / 6 / shard_tokens)))), shard_tokens)
     bits, uri, shards = model.bits, model.uri, model.shards
 
+    def gathered(rows: DataFrame, kind: int) -> DataFrame:
+        """The blocks of one kind, a shard's in one task, in a row."""
+        return rows.filter(F.col("kind") == kind).repartition(shards, "shard").sortWithinPartitions("shard")
+
+    def numbers(told: DataFrame) -> list[dict]:
+        return [json.loads(bytes(r.data)) for r in told.filter(F.col("kind") == OWN).collect()]
+
+    def total(rows: list[dict], *names: str) -> list[int]:
+        return [sum(r.get(x, 0) for r in rows) for x in names]
+
     def count_words(batches):
-        known = Hashes()
+        known, parts, held = Hashes(), [], 0
         for batch in batches:
             for _, rows in chunks(batch.column("raw")):
-                h, n = np.unique(hashed(rows, known)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(h >> (63 - bits)), "h": pa.array(h), "n": pa.array(n)})
+                parts.append(np.unique(hashed(rows, known)[0], return_counts=True))
+                held += len(parts[-1][0])
+                if held >= RUN:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from flush(parts)
+
+    def flush(parts):
+        h, _, n = summed(np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts]))
+        yield blocks(LOWER, h >> (63 - bits), h, n)
 
     def write_words(batches):
-        for s, (h, n) in by_shard(batches, ["h", "n"]):
-            put(f"{uri}/words-{s}-key", h)
-            put(f"{uri}/words-{s}-n", n)
-            ends = n[h == END].sum()
-            yield pa.RecordBatch.from_pydict({k: pa.array([int(v)], pa.int64()) for k, v in (("shard", s), ("rows", len(h)), ("total", n.sum()), ("once", (n < least).sum()), ("once_total", n[n < least].sum()), ("ends", ends))})
-
-    words = summed(texts.select("raw").mapInArrow(count_words, "shard long, h long, n long"), shards, "h", "n")
-    for r in words.mapInArrow(write_words, "shard long, rows long, total long, once long, once_total long, ends long").collect():
-        model.words[r.shard] = r.rows
-        model.tokens, model.types, model.once, model.texts = model.tokens + r.total, model.types + r.rows, model.once + r.once, model.texts + r.ends
-
-    def count_pairs(batches):
+        for s, (h, n) in by_shard(batches, 2):
+            h, _, n = summed(h, n)
+            put(f"{uri}/words-{s}", key=h, **small(n=n))
+            yield own(shard=s, rows=len(h), total=n.sum(), ends=n[h == END].sum())
+
+    raw = texts.select("raw")
+    for r in numbers(gathered(raw.mapInArrow(count_words, BLOCK), LOWER).mapInArrow(write_words, BLOCK)):
+        model.words[r["shard"]] = r["rows"]
+        model.tokens, model.types, model.texts = model.tokens + r["total"], model.types + r["rows"], model.texts + r["ends"]
+
+    def count_grams(batches):
         known, look = Hashes(), Lookup(model)
-        for batch in batches:
-            for _, rows in chunks(batch.column("raw")):
-                ids, _, context, shard, _ = look.tokens(rows, known)
-                keys, first, n = np.unique((context << 32) | ids, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[first]), "k": pa.array(keys), "n": pa.array(n)})
-
-    def write_pairs(batches):
-        for s, (k, n) in by_shard(batches, ["k", "n"]):
-            put(f"{uri}/pairs-{s}-key", k)
-            put(f"{uri}/pairs-{s}-n", n if n.max() >= 2**32 else n.astype(np.uint32))
-            context, start = np.unique(k >> 32, return_index=True)
-            word, cont = np.unique(k & 0xFFFFFFFF, return_counts=True)
-            per = lambda x: np.add.reduceat(x.astype(np.int64), start)
-            zeros = lambda x: np.zeros(len(x), np.int64)
-            cols = {"id": context, "total": per(n), "n1": per(n == 1), "n2": per(n == 2), "n3": per(n > 2), "n4": zeros(context), "cont": zeros(context)}
-            yield pa.RecordBatch.from_pydict(cols)
-            yield pa.RecordBatch.from_pydict({"id": word, **{x: zeros(word) for x in ("total", "n1", "n2", "n3", "n4")}, "cont": cont})
-            # the shard's own numbers, under a negative id
-            yield pa.RecordBatch.from_pydict({"id": np.array([-1 - s]), "total": np.array([n.max()]), **{f"n{i}": np.array([(n == i).sum()]) for i in (1, 2, 3, 4)}, "cont": np.array([0])})
-
-    fields = ["total", "n1", "n2", "n3", "n4", "cont"]
-    pairs = summed(texts.select("raw").mapInArrow(count_pairs, "shard long, k long, n long"), shards, "k", "n")
-    told = saved(pairs.mapInArrow(write_pairs, ", ".join(f"{x} long" for x in ["id", *fields])), "lm-stats")
-    own = told.filter("id < 0").collect()  # one row for each shard
-    model.pairs = {-1 - r.id: r.total for r in own}
-    model.discounts = high = discounts([sum(r[f"n{i}"] for r in own) for i in (1, 2, 3, 4)])
-
-    per_id = summed(told.filter("id >= 0").withColumn("shard", F.col("id") % shards), shards, "id", *fields)
-    per_id = saved(per_id, "lm-ids")
-    got = per_id.agg(*(F.count_if(F.col("cont") == i).alias(f"c{i}") for i in (1, 2, 3, 4)), F.count_if(F.col("cont") > 2).alias("more"), F.count_if(F.col("cont") > 0).alias("kinds"), F.sum("cont").alias("all")).first()
-    low = discounts([got[f"c{i}"] for i in (1, 2, 3, 4)])
-    pairs_all, kinds = got["all"] or 0, got["kinds"] or 0
-    spread = (low[0] * got["c1"] + low[1] * got["c2"] + low[2] * got["more"]) / pairs_all if pairs_all else 1.0
-    model.rest = rest = spread / (kinds + 1)
-
-    def write_stats(batches):
-        for s, (ids, total, n1, n2, n3, cont) in by_shard(batches, ["id", "total", "n1", "n2", "n3", "cont"]):
-            kept = np.maximum(cont - np.array([0.0, *low])[np.minimum(cont, 3)], 0)
-            backoff = np.where(total > 0, (high[0] * n1 + high[1] * n2 + high[2] * n3) / np.maximum(total, 1), 1.0)
-            for name, x in (("id", ids), ("total", total.astype(float)), ("backoff", backoff), ("lower", kept / max(pairs_all, 1) + rest)):
-                put(f"{uri}/stats-{s}-{name}", x)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64())})
-
-    per_id = per_id.repartition(shards, "shard").sortWithinPartitions("shard", "id")
-    model.stats = {r.shard for r in per_id.mapInArrow(write_stats, "shard long").collect()}
+        held, size = [], 0
+        for _, _, ids, _, n in look.tokens(batches, known):
+            held.append((ids, n))
+            size += len(ids)
+            if size >= RUN:
+                yield grams(look, held)
+                held, size = [], 0
+        if held:
+            yield grams(look, held)
+
+    def grams(look: Lookup, held) -> pa.RecordBatch:
+        c, n = (np.concatenate(x) for x in zip(*held))
+        b = previous(c, n, model.begin)
+        a = previous(b, n, model.begin)
+        _, first, count = np.unique(mix(a, b, c), return_index=True, return_counts=True)
+        a, b, c = a[first], b[first], c[first]
+        order = np.lexsort((b, a))  # rows that are alike pack well
+        a, b, c, count = a[order], b[order], c[order], count[order]
+        return blocks(LOWER, model.shard(a, b, word=c, spread=look.hot(a) & look.hot(b)), a, b, c, count)
+
+    def write_level(k: int, s: int, look: Lookup, context: tuple[np.ndarray, ...], word: np.ndarray, n: np.ndarray, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Writes a shard's n-grams and the contexts that it has whole; gives numbers of the others."""
+        key = mix(*context)
+        gram = mix(key, word)
+        order = np.argsort(gram)
+        put(f"{uri}/grams-{k}-{s}", key=gram[order], **small(n=n[order]))
+        yield own(**classes(n))
+        whole, *told = contexts(key[~spread], n[~spread])
+        put(f"{uri}/whole-{k}-{s}", key=whole, **small(**dict(zip(CONTEXT, told))))
+        if spread.any():
+            part = contexts(key[spread], n[spread])
+            yield blocks(SPREAD, (part[0] >> U(64 - bits)).astype(np.int64), part[0].view(np.int64), *part[1:])
+
+    def write_threes(batches):
+        look = Lookup(model)
+        for s, (a, b, c, n) in by_shard(batches, 4):
+            _, first, n = summed(mix(a, b, c), n)
+            a, b, c = a[first], b[first], c[first]
+            hot = look.hot(b)
+            yield from write_level(3, s, look, (a, b), c, n, hot & look.hot(a))
+            # at a text's start only the start itself precedes, so there the number of times counts
+            _, first, n = summed(mix(b, c), np.where(b == model.begin, n, 1))
+            order = np.argsort(b[first], kind="stable")
+            b, c, n, hot = b[first][order], c[first][order], n[order], hot[first][order]
+            yield blocks(LOWER, model.shard(b, word=c, spread=hot), b, c, n)
+
+    def write_twos(batches):
+        look = Lookup(model)
+        at = look.at
+        for s, (b, c, n) in by_shard(batches, 3):
+            _, first, n = summed(mix(b, c), n)
+            b, c = b[first], c[first]
+            yield from write_level(2, s, look, (b,), c, n, look.hot(b))
+            c, n = np.unique(c, return_counts=True)
+            yield blocks(LOWER, np.searchsorted(at, c, side="right") - 1, c, n)
+
+    def write_ones(batches):
+        at = model.offsets()
+        for s, (c, n) in by_shard(batches, 2):
+            n = np.bincount(c - at[s], n, model.words[s]).astype(np.int64)
+            put(f"{uri}/ones-{s}", **small(n=n))
+            yield own(**classes(n))
+
+    def write_spread(k: int):
+        def run(batches):
+            for s, (key, *n) in by_shard(batches, 5):
+                key, back = np.unique(key.view(U), return_inverse=True)
+                n = (np.bincount(back, x, len(key)).astype(np.int64) for x in n)
+                put(f"{uri}/spread-{k}-{s}", key=key, **small(**dict(zip(CONTEXT, n))))
+                yield own()
+
+        return run
+
+    threes = saved(gathered(raw.mapInArrow(count_grams, BLOCK), LOWER).mapInArrow(write_threes, BLOCK), "lm-threes")
+    twos = saved(gathered(threes, LOWER).mapInArrow(write_twos, BLOCK), "lm-twos")
+    ones = numbers(gathered(twos, LOWER).mapInArrow(write_ones, BLOCK))
+    for k, told in ((3, threes), (2, twos)):
+        gathered(told, SPREAD).mapInArrow(write_spread(k), BLOCK).write.format("noop").mode("overwrite").save()
+    for k, rows in ((3, numbers(threes)), (2, numbers(twos)), (1, ones)):
+        model.discounts[k] = (0.0, *discounts(total(rows, "c1", "c2", "c3", "c4")))
+    model.pairs, kinds, *c = total(ones, "all", "rows", "c1", "c2", "more")
+    if model.pairs:
+        model.rest = sum(d * n for d, n in zip(model.discounts[1][1:], c)) / model.pairs / (kinds + 1)
     return model
 
 
 def lm_score(docs: DataFrame, model: Model) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score beside doc_id and held_out of docs, whose column raw is scored."""
+    names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches):
         known, look = Hashes(), Lookup(model)
-        for batch in batches:
-            for first, rows in chunks(batch.column("raw")):
-                out = look.score(rows, known)
-                part = batch.slice(first, len(rows))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": out["n_tokens"], "n_known": out["n_known"],
-                    "train_tokens": pa.array([model.tokens] * len(rows), pa.int64()), "base_score": out["base_score"], "score": out["score"],
-                })
+        for first, batch, ids, counts, n in look.tokens(batches, known):
+            out = look.score(ids, counts, n)
+            part = batch.slice(first, len(n))
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "train_tokens": pa.array([model.tokens] * len(n), pa.int64())} | {x: pa.array(out[x]) for x in names})
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, train_tokens long, n_tokens long, n_known long, base_score double, score double")
 
 
-def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, least: int = MIN_COUNT) -> DataFrame:
+def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """Scores every row of docs by the model of those whose crc32(id) mod folds is not held.
 
     Null texts are empty: one token, the end. A null id counts as remainder 0,
     so it trains unless held is 0. Repeated rows count and are scored each by
     itself. With nothing to train on, every token has the probability of the
-    one outcome there is. Other columns, whatever their names, play no part.
+    one outcome there is. A text is held whole by one task. Other columns,
+    whatever their names, play no part.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, folds) == held).alias("held_out"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    return lm_score(df, train(df.filter(~F.col("held_out")), least=least))
+    return lm_score(df, train(df.filter(~F.col("held_out"))))
 
 
 @query
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm(table(spark, sf_dir, "documents"), least=1)
+    return ngram_lm(table(spark, sf_dir, "documents"))

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Bytes of text that a worker handles at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Most words a worker remembers the hash of.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def hash63(word: bytes) -> int:

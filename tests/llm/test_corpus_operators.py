@@ -88,73 +88,79 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def brute_lm(rows):
+    """Plain dictionaries of all n-grams."""
     words = {i: (t or "").encode().lower().split() + [" end"] for i, t in rows}
-    train = [i for i in words if zlib.crc32(str(i).encode()) % 5 != 1]
+    train = [i for i in words if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     count = collections.Counter(w for i in train for w in words[i])
     total, types = sum(count.values()), len(count)
-    kind = lambda w: w if count[w] >= 2 else None
-    pairs = collections.Counter(p for i in train for p in zip(["begin"] + [kind(w) for w in words[i]], map(kind, words[i])))
-    of = lambda c: ngram_lm.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
-    cont = collections.Counter(w for _, w in pairs)
-    high, low, n = (0, *of(pairs)), (0, *of(cont)), sum(cont.values())
-    rest = sum(low[min(c, 3)] for c in cont.values()) / n / (len(cont) + 1)
-    once = sum(c < 2 for c in count.values())
-    tot, back = collections.Counter(), collections.Counter()
-    for (a, _), c in pairs.items():
-        tot[a] += c
-        back[a] += high[min(c, 3)]
-
-    def p(a, w):
-        lower = max(cont[w] - low[min(cont[w], 3)], 0) / n + rest
-        x = max(pairs[a, w] - high[min(pairs[a, w], 3)], 0) / tot[a] + back[a] / tot[a] * lower if tot[a] else lower
-        return x / (once + 1) if w is None else x
-
+    threes = lambda ws: list(zip(["begin", "begin", *ws], ["begin", *ws], ws))
+    c3 = collections.Counter(g for i in train for g in threes(words[i]))
+    c2, c1 = collections.Counter(), collections.Counter()
+    for (_, b, c), n in c3.items():
+        c2[b, c] += n if b == "begin" else 1
+    for _, c in c2:
+        c1[c] += 1
+    d3, d2, d1 = ((0, *ngram_lm.discounts([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)])) for x in (c3, c2, c1))
+    t3, b3, t2, b2 = (collections.Counter() for _ in range(4))
+    for (a, b, _), n in c3.items():
+        t3[a, b] += n
+        b3[a, b] += d3[min(n, 3)]
+    for (b, _), n in c2.items():
+        t2[b] += n
+        b2[b] += d2[min(n, 3)]
+    n1 = sum(c1.values())
+    rest = sum(d1[min(n, 3)] for n in c1.values()) / n1 / (len(c1) + 1)
+
+    def p(a, b, c):
+        x = max(c1[c] - d1[min(c1[c], 3)], 0) / n1 + rest
+        x = max(c2[b, c] - d2[min(c2[b, c], 3)], 0) / t2[b] + b2[b] / t2[b] * x if t2[b] else x
+        return max(c3[a, b, c] - d3[min(c3[a, b, c], 3)], 0) / t3[a, b] + b3[a, b] / t3[a, b] * x if t3[a, b] else x
+
+    some = rows[3][1].encode().lower().split()
+    for a, b in (("begin", "begin"), ("begin", some[0]), (some[0], some[1]), (b"never", some[1]), (b"never", b"heard")):
+        assert math.isclose(sum(p(a, b, c) for c in [*count, b"unknown"]), 1)  # one outcome besides the training words
     out = {}
     for i, ws in words.items():
-        s = sum(math.log10(p(a, b)) for a, b in zip(["begin"] + [kind(w) for w in ws], map(kind, ws)))
+        s = sum(math.log10(p(*g)) for g in threes(ws))
         out[i] = (len(ws), sum(count[w] > 0 for w in ws), total, sum(math.log10((count[w] + 0.5) / (total + 0.5 * (types + 1))) for w in ws), s)
     return out
 
 
-def test_language_model_against_plain_counts(spark):
+def lm_rows():
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(0, 60)))) for i in range(150)] + [(500, None), (501, "unheard-of É e"), (502, "")]
-    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(4)
+    rows = [(i, " ".join([*rng.choices(vocab, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(2, 60)), f"once{i}", "after"])) for i in range(150)]
+    return rows + [(500, None), (501, "unheard-of É e"), (502, ""), (None, "w1 w2"), (503, "w0 w1 " * 3000)]
+
+
+def same_scores(got, rows):
     want = brute_lm(rows)
-    got = ngram_lm.ngram_lm(df).collect()
     assert len(got) == len(rows)
     for r in got:
         w = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and math.isclose(r.base_score, w[3], abs_tol=1e-8) and math.isclose(r.score, w[4], abs_tol=1e-8)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-
-
-def test_words_seen_once_have_their_own_pairs(spark, tmp_path):
-    rng = random.Random(9)
-    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(12)], k=6) + [f"once{i}", "after", f"once{i}x"])) for i in range(60)] + [(500, "once3 after never w1"), (501, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    words = {i: (t or "").encode().split() + [" end"] for i, t in rows}
-    train = [i for i in words if zlib.crc32(str(i).encode()) % 5 != 1]
-    pairs = collections.Counter(p for i in train for p in zip(["begin"] + words[i], words[i]))
-    cont = collections.Counter(w for _, w in pairs)
-    high, low = ((0, *ngram_lm.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])) for c in (pairs, cont))
-    n, tot, back = sum(cont.values()), collections.Counter(), collections.Counter()
-    rest = sum(low[min(c, 3)] for c in cont.values()) / n / (len(cont) + 1)
-    for (a, _), c in pairs.items():
-        tot[a] += c
-        back[a] += high[min(c, 3)]
-
-    def p(a, w):
-        lower = max(cont[w] - low[min(cont[w], 3)], 0) / n + rest
-        return max(pairs[a, w] - high[min(pairs[a, w], 3)], 0) / tot[a] + back[a] / tot[a] * lower if tot[a] else lower
-
-    seen = next(w for w in cont if str(w).startswith("b'once"))
-    for a in ("begin", b"after", seen, b"never"):
-        assert math.isclose(sum(p(a, w) for w in [*cont, b"unknown"]), 1)  # one outcome besides the training words
-    got = {r.doc_id: r.score for r in ngram_lm.op4_ngram_lm(spark, str(tmp_path)).collect()}
-    for i, ws in words.items():
-        assert math.isclose(got[i], sum(math.log10(p(a, w)) for a, w in zip(["begin"] + ws, ws)), abs_tol=1e-8), i
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and math.isclose(r.base_score, w[3], rel_tol=1e-9, abs_tol=1e-8) and math.isclose(r.score, w[4], rel_tol=1e-9, abs_tol=1e-8), r.doc_id
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+
+
+def test_language_model_against_plain_counts(spark):
+    rows = lm_rows()
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(4)
+    same_scores(ngram_lm.ngram_lm(df).collect(), rows)
+
+
+def test_language_model_in_many_shards_with_spread_words(spark):
+    rows = lm_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("doc_id", "coalesce(crc32(cast(doc_id as string)) % 5 = 1, false) held_out", "encode(text, 'UTF-8') raw")
+    model = ngram_lm.train(docs.filter("NOT held_out"), shard_tokens=300)  # words seen more than 64 times are spread
+    assert model.shards >= 16
+    same_scores(ngram_lm.lm_score(docs, model).collect(), rows)
+
+
+def test_repeated_rows_count_each(spark):
+    rows = [(i, f"a b c{i % 3}") for i in range(20)]
+    score = lambda rs: {r.doc_id: r.score for r in ngram_lm.ngram_lm(spark.createDataFrame(rs, "doc_id long, text string")).collect()}
+    assert score(rows + [(2, "a b c2")] * 30)[2] > score(rows)[2]
+    assert ngram_lm.ngram_lm(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_language_model_without_training_rows(spark):

@@ -125,7 +125,7 @@ def test_language_of_held_out_and_odd_texts(spark, tmp_path):
 
 def test_switches_within_a_text():
     crf = language_id.fit([("kama kolo tiku kiran " * 8, "xx"), ("brust grend blomp frost " * 8, "yy")] * 20)
-    (lang, share, words, switches), = language_id.Tagger(crf).tag(["kama kolo tiku kama kolo brust grend blomp"])
+    ((lang, share, words, switches),) = language_id.Tagger(crf).tag(["kama kolo tiku kama kolo brust grend blomp"])
     assert (lang, words, switches) == ("xx", 8, 1) and share < 0.8
 
 
