@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import saved, ship, table
+from pricelens.llm.common import saved, ship, table, unused
 from pricelens.llm.decontaminate import leaks
 from pricelens.llm.language_id import UNKNOWN, tag_languages, train
 from pricelens.llm.minhash_dedup import near_duplicates
@@ -21,11 +21,17 @@ LEAST_SHARE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of which no known language has LEAST_SHARE."""
+    """Rejects documents without a letter (null and empty texts among them) and those of which no known language has LEAST_SHARE of the words.
+
+    Learns from all rows that have a language; a null id is an id like others,
+    repeated rows are judged alike, and other columns pass through whatever
+    their names. Of an empty table nothing is learned and nothing kept.
+    """
     ship(spark)
     crf = train(docs, "doc_id", "text", "lang", F.lit(True))
-    tagged = tag_languages(docs, crf, "text", docs.columns)
-    return tagged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    (told,) = unused(docs.columns, "told")
+    tagged = docs.withColumn(told, tag_languages(docs, crf, "text"))
+    return tagged.filter((F.col(told)["lang_pred"] != UNKNOWN) & (F.col(told)["score"] >= LEAST_SHARE)).select(*docs.columns)
 
 
 def row_key() -> Column:
