@@ -171,27 +171,49 @@ def test_language_model_without_training_rows(spark):
 
 
 def brute_topk(rows, k=10):
-    good = {i: np.floor(np.array(v, float) * 1024).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for q in good:
-        if q % 100 == 0:
-            n = lambda v: min(len(v), len(good[q]))
-            scores = sorted((-int(good[q][: n(v)] @ v[: n(v)]), i) for i, v in good.items() if i != q)[:k]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)}
-    return out
+    """Over rows, repeated ones each a candidate, in Python's integers."""
+    whole = lambda v: [math.floor(float(np.float32(x)) * 1024) for x in v]
+    good = [(i, whole(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, v in {i: v for i, v in good if i % 100 == 0}.items():
+        scores = sorted((-sum(a * b for a, b in zip(v, x)), i) for i, x in good if i != q)[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+def topk(df, k=10):
+    return sorted(tuple(r) for r in voronoi_topk.voronoi_topk(df, lambda i: i % 100 == 0, k).collect())
 
 
-def test_topk_is_exact(spark, monkeypatch):
+def test_topk_is_exact_and_sends_little(spark, monkeypatch):
     rng = np.random.default_rng(9)
-    centres = rng.normal(size=(5, 8))
-    rows = [(i, (centres[i % 5] + 0.1 * rng.normal(size=8)).astype("float32").tolist()) for i in range(1500)]
-    rows += [(5000 + i, rows[0][1]) for i in range(40)]  # ties
-    rows += [(6000, None), (6100, [float("nan")] * 8), (6200, [None] * 8), (6300, [1.0, 2.0]), (6400, []), (None, rows[1][1])]
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[rng.integers(12)] + 0.05 * rng.normal(size=8)).astype("float32").tolist()) for i in range(3000)]
+    rows += [(5000 + i, rows[0][1]) for i in range(40)] + [(5007, rows[0][1])] * 25  # ties, repeated rows
+    rows += [(6000, None), (6100, [float("nan")] * 8), (6200, [None] * 8), (6300, [1.0, 2.0]), (6400, []), (6500, [0.0] * 8), (None, rows[1][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int").repartition(4)
-    monkeypatch.setattr(voronoi_topk, "QUERIES_A_BLOCK", 6)
-    monkeypatch.setattr(voronoi_topk, "ROWS_A_CHUNK", 300)
-    got = {tuple(r) for r in voronoi_topk.voronoi_topk(df, lambda i: i % 100 == 0).collect()}
-    assert got == brute_topk(rows)
+    monkeypatch.setattr(voronoi_topk, "QUERIES_A_GROUP", 5)
+    monkeypatch.setattr(voronoi_topk, "CHUNK_BYTES", 60_000)
+    monkeypatch.setattr(voronoi_topk, "HOME_ROWS", 40)
+    assert topk(df) == brute_topk(rows)
+    # the empty and the zero vector need every row, so without them
+    sent, asked = voronoi_topk.voronoi_parts(df.filter("vec_id < 6000"), lambda i: i % 100 == 0, 10, "vec_id", "embedding", 1024)
+    groups = asked.select("group").distinct().count()
+    share = sent.count() / (len(rows) * groups)
+    print(f"rows sent: {share:.3f} of all to each of {groups} groups")
+    assert groups > 4 and share < 0.3
+
+
+def test_topk_of_huge_components(spark):
+    rng = np.random.default_rng(10)
+    size = lambda i: 10.0 ** rng.integers(-3, 5 if i % 3 else 3)
+    rows = [(i, (rng.normal(size=4) * size(i)).astype("float32").tolist()) for i in range(0, 600, 4)]
+    rows += [(800, [2.0**21] * 3), (801, [2.0**20] * 3), (900, [1.0, 1e6, 0.0]), (902, [1e6, -1e-5, 0.0])]
+    assert topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3) == brute_topk(rows, 3)
+    import pytest
+
+    with pytest.raises(Exception, match="beyond a long"):
+        topk(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>"))
 
 
 def test_topk_of_few_and_no_rows(spark):
