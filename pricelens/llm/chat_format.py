@@ -16,6 +16,7 @@ from .common import query, table
 
 OPEN, SHUT, TURN, END = "<|", "|>", "<|turn|>", "<|end|>"
 LEARNED = "assistant"
+RUN = 64
 
 
 def escape(c: Column) -> Column:
@@ -54,12 +55,32 @@ def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
     # a turn's mark: the block's opening at its first turn, else TURN, preceded by END where a block ended
     mark = lambda i: F.when(i == 0, F.length(escape_role(F.get("roles", i))) + 4).when(F.get("roles", i) != F.get("roles", i - 1), F.length(escape_role(F.get("roles", i))) + 4 + len(END)).otherwise(len(TURN))
     step = F.transform(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: F.struct(mark(i).cast("long").alias("mark"), F.length(F.get("texts", i)).cast("long").alias("n"), (F.get("roles", i) == LEARNED).alias("learned")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    walk = F.aggregate(step, zero, lambda acc, x: F.struct(
-        (acc["at"] + x["mark"] + x["n"]).alias("at"),
+    # positions add up by runs of turns, then within each: appending to one array for thousands of turns would take time with their square
+    df = df.withColumn("runs", in_runs(step))
+    long = lambda x: x["mark"] + x["n"]
+    starts = F.aggregate("runs", F.array(F.lit(0).cast("long")), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + long(x)))))
+    df = df.withColumn("at", starts)
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    walk = lambda r, i: F.aggregate(r, zero(F.get("at", i)), lambda acc, x: F.struct(
+        (acc["at"] + long(x)).alias("at"),
         F.when(x["learned"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["mark"]).alias("start"), x["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    ))
-    return df.select("conv_id", "formatted", walk["spans"].alias("loss_spans"))
+    ))["spans"]
+    return df.select("conv_id", "formatted", F.flatten(F.transform("runs", walk)).alias("loss_spans"))
+
+
+def in_runs(c: Column) -> Column:
+    """An array as arrays of RUN items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda k: F.slice(c, k * RUN + 1, F.lit(RUN)))
+
+
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts under spans, unescaped and joined; a run of spans is cut out first, so that no text is walked once for each."""
+    first = lambda r: F.get(r, F.lit(0))["start"]
+    end = lambda r: F.element_at(r, -1)["start"] + F.element_at(r, -1)["length"]
+    part = lambda r: F.substring(formatted, (first(r) + 1).cast("int"), (end(r) - first(r)).cast("int"))
+    cut = lambda r: F.struct(r.alias("r"), part(r).alias("text"))
+    text = lambda x: F.array_join(F.transform(x["r"], lambda s: unescape(F.substring(x["text"], (s["start"] - first(x["r"]) + 1).cast("int"), s["length"].cast("int")))), "")
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(F.transform(in_runs(spans), cut), text), "")).otherwise("")
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
@@ -82,8 +103,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     df = parse_chats(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: t["text"]), "")
-    df = df.withColumn("loss", loss)
+    df = df.withColumn("loss", masked(F.col("formatted"), F.col("loss_spans")))
     return df.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )

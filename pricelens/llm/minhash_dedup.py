@@ -2,7 +2,7 @@
 
 Texts with one word sequence are one class first. A class posts itself under
 coordinate-value pairs. Links at the threshold match in at least MATCHES of
-KEYS coordinates (but for a chance of about 1 in 10^5, MISS standard deviations),
+KEYS coordinates (but for a chance of about 1 in 10^7, MISS standard deviations),
 so two that match must meet in the KEYS - MATCHES + 1 coordinates that come
 first in an order common to all, rare values before frequent ones (prefix). The
 other lists are skipped: their collisions are counted from the two signatures.
@@ -31,7 +31,7 @@ from .common import query, saved, table
 from .components import components
 from .words import Hashes, chunks
 
-KEYS, MISS = 64, 4.5
+KEYS, MISS = 64, 6.0
 BUCKETS = 1 << 16
 #: For shingles; their counts come to the driver as 16 bytes each.
 RARE_BUCKETS = 1 << 20
@@ -198,7 +198,7 @@ def rare_shingles(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(run, "id long, n long, x long, at long, before long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable), kept of every row of docs.
 
     Links hold between texts whose sets of size-word shingles (of ASCII
@@ -207,6 +207,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     links. Rows that share an id are one document, linked if any of its texts
     is; rows without an id take their text's component (null if all of it are
     such) and are not kept. Other columns, whatever their names, play no part.
+    With exact the second round takes every class, not only those whose
+    signatures match, so that no link hangs on chance; it shuffles about
+    (1 - num/den) of all shingles then.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
     base = saved(base_rows(docs, size), "minhash")
@@ -242,7 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     open_lists = saved(listed.join(mixed_lists, "key", "left_semi").join(post.select("id", F.struct("n", "sig").alias("x")), "id"), "open")
     mine, other = open_lists.alias("i"), open_lists.alias("j")
     apart = (F.col("i.key") == F.col("j.key")) & (F.col("i.c") != F.col("j.c")) & near(F.col("i.x"), F.col("j.x"))
-    left = mine.join(other, apart, "left_semi").select("id").distinct()
+    left = classes.filter("id IS NOT NULL").select("id") if exact else mine.join(other, apart, "left_semi").select("id").distinct()
     # of these the full sets decide: pairs that share a rare shingle early enough for the overlap they need
     sets = saved(full_sets(docs, saved(left, "left"), size), "sets")
     rare = saved(own(rare_shingles(sets, num, den)), "rare")
@@ -263,6 +266,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+#: Sets of shingles, pairs that share one, links by the exact share of the union, and the least id reached by recursion.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS x FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), k AS (SELECT doc_id, md5(CAST(x AS VARCHAR)) AS x FROM s),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM k a JOIN k b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+
 @query
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85)

@@ -6,7 +6,7 @@ from .chat_format import OP9_SQL, op9_chat_format
 from .decontaminate import op2_decontaminate
 from .language_id import op3_language_id
 from .license_scan import op10_license_scan
-from .minhash_dedup import op8_minhash_dedup
+from .minhash_dedup import OP8_SQL, op8_minhash_dedup
 from .ngram_lm import op4_ngram_lm
 from .packing import op7_packing
 from .pii import op1_pii
@@ -14,4 +14,4 @@ from .voronoi_topk import OP5_SQL, op5_voronoi_topk
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_language_id, op4_ngram_lm, op5_voronoi_topk, op6_warc, op7_packing, op8_minhash_dedup, op9_chat_format, op10_license_scan)}
-SQL = {"op5_voronoi_topk": OP5_SQL, "op6_warc": OP6_SQL, "op9_chat_format": OP9_SQL}
+SQL = {"op5_voronoi_topk": OP5_SQL, "op6_warc": OP6_SQL, "op8_minhash_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}

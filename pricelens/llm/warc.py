@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,9 +24,11 @@ from .common import query, shared_dir, table
 CRLF = "\r\n"
 BREAK = CRLF * 2
 #: Pages in an archive at most; an archive is read by one task, as a stream.
-PAGES_A_FILE = 5000
+PAGES_A_FILE = 2000
 #: Bytes of payload and records in a batch that a reading task hands on.
 BATCH_BYTES, BATCH_RECORDS = 8_000_000, 2000
+#: The type of what is no record.
+DAMAGED = "damaged"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, digest string, block_bytes long, "
@@ -49,20 +52,21 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
     """Archives of a capture for each row of pages, gzipped, below path.
 
     Of pages with equal payloads of at least least bytes the one with the
-    largest id is the response that the others revisit. Null payloads are
-    empty; null ids are smaller than all others; line ends in a url are percent
-    signs in the archive and a null url is left out; rows alike in id, url and
-    payload are one capture. Only pages of payloads that occur more than once
-    take part in the exchange of digests; each page is shuffled at most once.
+    largest id is the response that the others revisit; of several with that
+    id, the one that is read first. Null payloads are empty; null ids are
+    smaller than all others; line ends in a url are percent signs in the
+    archive and a null url is left out; rows alike in all are captures of
+    their own. pages is read twice and must give its rows in one order, as a
+    table does: a row's number tells it from its like. A page is shuffled once;
+    of the others of its payload only ids and numbers are.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     df = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"))
-    df = df.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.xxhash64("page_id", "url", "digest"))
-    top = F.max(F.struct("page_id", "n"))
-    groups = df.filter(F.octet_length("html") >= least).groupBy("digest").agg(top.alias("top"), F.min(F.struct("page_id", "n")).alias("low")).filter(F.col("low") != F.col("top"))
+    df = df.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.monotonically_increasing_id())
+    own = F.struct("page_id", (-F.col("n")).alias("n"))
+    groups = df.select("page_id", "n", "digest", F.octet_length("html").alias("size")).filter(F.col("size") >= least).groupBy("digest").agg(F.max(own).alias("top"), F.count("*").alias("pages")).filter("pages > 1")
     # rows of a hot payload stand alone in this join but for one small row of the other side, so skewed partitions can be split
     df = df.join(groups.select("digest", "top"), "digest", "left")
-    own = F.struct("page_id", "n")
     urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x["page_id"].cast("string"), F.lit("null")), F.lit(":"), x["n"].cast("string"), F.lit(":"))
     df = df.withColumn("own", own).withColumn("revisit", F.coalesce(F.col("top") != F.col("own"), F.lit(False)) & (F.octet_length("html") >= least))
     me, uri = F.concat(urn(F.col("own")), F.lit("response>")), F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -85,22 +89,42 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
 
 
 def records(stream: io.BufferedIOBase) -> Iterator[dict]:
-    """The records of an archive, one after another. What follows a record cut short, or bytes that begin none, is left out."""
+    """The records of an archive, one after another.
+
+    Bytes that belong to none - after a wrong length, say - are told as a
+    record of type DAMAGED with their number; reading goes on at the next line
+    that begins a record. A record without a length, or cut short by the end of
+    the archive, is told as DAMAGED too.
+    """
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
             line = stream.readline()
-        if not line.startswith(b"WARC/"):
+        lost = 0
+        while line and not line.startswith(b"WARC/"):
+            lost += len(line)
+            line = stream.readline(1 << 20)
+        if lost:
+            yield record({"warc-type": DAMAGED}, b"") | {"block_bytes": lost}
+        if not line:
             return
         head: dict[str, str] = {}
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         size = head.get("content-length", "")
-        block = stream.read(int(size)) if size.isdigit() else None
-        if block is None or len(block) < int(size):
-            return
-        yield record(head, block)
+        block = stream.read(int(size)) if size.isdigit() else b""
+        if not size.isdigit() or len(block) < int(size):
+            yield record({"warc-type": DAMAGED}, b"") | {"block_bytes": len(block)}
+        else:
+            yield record(head, block)
+
+
+def whole(stream: io.BufferedIOBase) -> Iterator[dict]:
+    try:
+        yield from records(stream)
+    except (OSError, EOFError, zlib.error):
+        yield record({"warc-type": DAMAGED}, b"")
 
 
 def record(head: dict[str, str], block: bytes) -> dict:
@@ -116,7 +140,12 @@ def record(head: dict[str, str], block: bytes) -> dict:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORD rows of all archives below path, plain or gzipped (one member or many)."""
+    """RECORD rows of all archives below path, plain or gzipped (one member or many); a gzip member that is broken ends its archive with a DAMAGED row.
+
+    A task reads the archives of its partition, which Spark fills up to
+    spark.sql.files.maxPartitionBytes (an archive larger than that is read by
+    itself), and unpacks them as a stream.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +157,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if raw[:2] == b"\x1f\x8b":
                     stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
                 rows, size = [], 0
-                for row in records(stream):
+                for row in whole(stream):
                     rows.append(row)
                     size += row["block_bytes"]
                     if size >= BATCH_BYTES or len(rows) >= BATCH_RECORDS:
@@ -146,11 +175,12 @@ def assemble(found: DataFrame, payload: bool = True) -> DataFrame:
     A record belongs to the transaction it names in WARC-Concurrent-To, or else
     to its own. Of several records of one kind in a transaction the one with
     the least id is taken; a part that is missing is null, and so is the
-    response of records that name none in the archives. Without payload the
+    response of records that name none in the archives. Records that have
+    neither name, the DAMAGED among them, make no capture. Without payload the
     payloads are not shuffled.
     """
     cols = [c for c in found.columns if payload or c != "payload"]
-    df = found.select(F.coalesce("concurrent_to", "record_id").alias("transaction"), F.struct(*cols).alias("r"))
+    df = found.select(F.coalesce("concurrent_to", "record_id").alias("transaction"), F.struct(*cols).alias("r")).filter("transaction IS NOT NULL")
     part = lambda *kinds: F.min(F.when(F.col("r.type").isin(*kinds), F.col("r")))
     return df.groupBy("transaction").agg(part("response", "revisit").alias("response"), part("request").alias("request"), part("metadata").alias("metadata"))
 
@@ -177,8 +207,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 d AS (
   SELECT page_id, html, h, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, 1 + 5 * CAST(floor(i / 4) AS INTEGER), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1), '' ORDER BY i) FROM range(32) t(i)) AS digest
   FROM p
-), t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+), t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS n FROM d)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
-  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN top END AS refers_to
 FROM t
 """

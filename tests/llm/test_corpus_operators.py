@@ -65,6 +65,19 @@ def test_near_duplicates_lose_no_link(spark):
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_near_duplicates_without_chance_and_by_sql(spark, tmp_path):
+    import duckdb
+
+    rows = near_texts(3) + [(1000, "w " * 30_000)]
+    want, sets = brute_components(rows, 3, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    exact = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df, size=3, num=85, exact=True).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert exact == {i: (len(sets[i]), want[i], want[i] == i) for i in want} == {i: (n, c, k) for i, n, c, k in con.execute(minhash_dedup.OP8_SQL).fetchall()}
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "e f g")], "doc_id long, text string")
     got = sorted(minhash_dedup.near_duplicates(df).collect(), key=str)
@@ -223,32 +236,38 @@ def test_topk_of_few_and_no_rows(spark):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    pages = [(1, "http://a/1", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, None, "same"), (3, "http://a/\r\nX: y", "same"), (4, "u", None), (5, "u", ""), (6, "u", "z" * 300_000), (None, "n", "same"), (3, "http://a/\r\nX: y", "same")]
-    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
-    df.write.parquet(f"{tmp_path}/pages.parquet")
-    got = {(r.page_id, r.payload_digest): r for r in warc.op6_warc(spark, str(tmp_path)).collect()}
-    import base64
-    import hashlib
+    """Against the SQL, with repeated rows, tied ids and null ids; and every payload back."""
+    import duckdb
 
-    text = lambda p: (p[2] or "").encode()
-    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
-    assert len(got) == 7  # rows alike in all are one capture
-    for p in pages:
-        r = got[p[0], sha(text(p))]
-        top = max((q[0] or -1) for q in pages if text(q) == text(p))
-        assert r.payload_bytes == len(text(p)) and r.record_type == ("response" if p[0] == top else "revisit") and r.refers_to == (None if p[0] == top else top)
+    pages = [(1, "http://a/1", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, None, "same"), (3, "http://a/\r\nX: y", "same"), (4, "u", None), (5, "u", ""), (6, "u", "z" * 300_000), (None, "n", "same"), (3, "http://a/\r\nX: y", "same"), (3, "v", "same"), (None, None, "alone"), (None, None, "alone")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string").repartition(3)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(warc.OP6_SQL).fetchall(), key=str)
+    assert len(want) == len(pages)
+    assert sorted((tuple(r) for r in warc.op6_warc(spark, str(tmp_path)).collect()), key=str) == want
     path = f"file://{tmp_path}/w"
-    warc.write_warc(df, path, least=10)
+    warc.write_warc(spark.read.parquet(f"{tmp_path}/pages.parquet"), path, least=10)
     nested = warc.assemble(warc.read_warc(spark, path)).collect()
     assert all(r.response.type == "response" and r.request.type == "request" and r.metadata.type == "metadata" for r in nested)
-    assert {bytes(r.response.payload) for r in nested} == {text(p) for p in pages}
+    text = lambda p: (p[2] or "").encode()
+    assert sorted(bytes(r.response.payload) for r in nested) == sorted(text(p) for p in pages)
+    empty = f"{tmp_path}/empty"
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{empty}/pages.parquet")
+    assert warc.op6_warc(spark, empty).collect() == []
 
 
-def test_warc_reads_plain_files_and_stops_at_cut_records(spark, tmp_path):
+def test_warc_reads_plain_files_and_tells_what_is_damaged(spark, tmp_path):
     whole = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nContent-Type: application/warc-fields\r\nContent-Length: 6\r\n\r\na: b\r\n\r\n\r\n"
-    (tmp_path / "x.warc").write_bytes(whole + whole[:-20])
+    (tmp_path / "x.warc").write_bytes(whole + b"no record\r\n" + whole.replace(b"<m>", b"<n>") + whole[:-9])
     (tmp_path / "empty.warc").write_bytes(b"")
     rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
-    assert [(r.record_id, r.fields[0].value) for r in rows] == [("<m>", "b")]
-    (r,) = warc.assemble(warc.read_warc(spark, f"file://{tmp_path}")).collect()
-    assert r.response is None and r.request is None and r.metadata.record_id == "<m>"
+    assert [(r.record_id, r.type, r.block_bytes) for r in rows] == [("<m>", "metadata", 6), (None, "damaged", 11), ("<n>", "metadata", 6), (None, "damaged", 1)]
+    got = warc.assemble(warc.read_warc(spark, f"file://{tmp_path}")).collect()
+    assert sorted(r.transaction for r in got) == ["<m>", "<n>"] and all(r.response is None and r.request is None for r in got)
+    import gzip
+
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z/y.warc.gz").write_bytes(gzip.compress(whole) + gzip.compress(whole * 500)[:-30])
+    assert warc.read_warc(spark, f"file://{tmp_path}/z").filter("type = 'damaged'").count() == 1

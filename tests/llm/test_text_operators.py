@@ -204,6 +204,15 @@ def test_chats_come_back(spark):
     assert chat_format.format_chats(df.filter("false")).collect() == []
 
 
+def test_loss_is_what_the_mask_covers_in_a_long_conversation(spark):
+    rng = random.Random(14)
+    rows = [(1, i, rng.choice(["assistant", "user"]), rng.choice(["<é>", "\\", "", "ok ok", None])) for i in range(3000)]
+    df = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (r,) = df.withColumn("loss", chat_format.masked(df["formatted"], df["loss_spans"])).collect()
+    assert r.loss == "".join(t or "" for _, _, role, t in rows if role == "assistant")
+    assert len(r.loss_spans) == sum(role == "assistant" for _, _, role, _ in rows)
+
+
 def chat_format_unescape(text):
     return text.replace("\\l", "<").replace("\\s", "\\")
 
@@ -221,6 +230,57 @@ def test_encoder_agrees_with_tokenizers():
     assert fast.encode(long).tolist() == [*slow.encode(long, add_special_tokens=False).ids, 1]
 
 
+def test_long_texts_are_cut_where_tokens_end(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "LONG", 7)
+    path = packing.public_tokenizer()
+    slow, fast, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(16)
+    bits = ["hello", " World", "\n", "  ", " ", "é", " 日本", "😀", " 12", "!!", "'s", " 's", "<|endoftext|>", "a b c", "naïve ", "²", "_x", "e\u0301 f", "\u00a0"]
+    for _ in range(400):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 30)))
+        assert fast.encode(text).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_pieces_go_to_the_cheapest_sequence_with_room():
+    rng = random.Random(17)
+    for trial in range(200):
+        length, last = rng.choice([8, 16]), trial % 2 == 0
+        pieces = [(d, 0, rng.randint(1, 40)) for d in range(rng.randint(1, 12))]
+        total = sum(n for _, _, n in pieces)
+        rest = total % length if last else 0
+        room = [length] * (total // length) + [2**b for b in (3, 2, 1, 0) if rest & 2**b]
+        cost, used, want, left = [0.0] * len(room), [0] * len(room), [], []
+        queue = sorted(((min(length, n - k), d, k) for d, _, n in pieces for k in range(0, n, length)), key=lambda x: (-x[0], x[1], x[2]))
+        for n, d, a in queue:
+            while n:
+                able = [s for s in range(len(room)) if room[s] - used[s] >= n] or [s for s in range(len(room)) if room[s] > used[s]]
+                if not able:
+                    left.append((d, a, n))
+                    break
+                s = min(able, key=lambda s: (cost[s], s))
+                k = min(n, room[s] - used[s])
+                want.append((d, a, k, s, used[s]))
+                used[s] += k
+                cost[s] += packing.LINEAR * k + packing.QUADRATIC * k * k
+                n, a = n - k, a + k
+        assert packing.assign(pieces, length, last) == (want, left)
+        assert used == room and sum(n for *_, n in left) == total - sum(room)
+
+
+def test_packing_across_shards_and_an_empty_table(spark, monkeypatch):
+    rows = [(i, "alpha " * (i % 700), 9) for i in range(300)] + [(5, "alpha " * 5, 9)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int").coalesce(1)
+    assert packing.pack(df.filter("false"), packing.public_tokenizer()).collect() == []
+    monkeypatch.setattr(packing, "SHARD", 20_000)
+    got = packing.pack(df, packing.public_tokenizer()).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert sum(n != 2048 for n in sizes.values()) <= 11  # only a task's last sequences are short
+    assert sum(sizes.values()) == sum(len(packing.Encoder(packing.public_tokenizer()).encode(t)) for _, t, _ in rows)
+
+
 def test_packing_loses_nothing_and_pads_nothing(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma,"], k=rng.randint(0, 3000)))) for i in range(60)] + [(100, None), (101, ""), (None, "x"), (5, "again")]
