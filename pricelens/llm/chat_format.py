@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import in_runs, query, table
 
 OPEN, SHUT, TURN, END = "<|", "|>", "<|turn|>", "<|end|>"
 LEARNED = "assistant"
-RUN = 64
 
 
 def escape(c: Column) -> Column:
@@ -68,11 +67,6 @@ def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
     return df.select("conv_id", "formatted", F.flatten(F.transform("runs", walk)).alias("loss_spans"))
 
 
-def in_runs(c: Column) -> Column:
-    """An array as arrays of RUN items."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda k: F.slice(c, k * RUN + 1, F.lit(RUN)))
-
-
 def masked(formatted: Column, spans: Column) -> Column:
     """The texts under spans, unescaped and joined; a run of spans is cut out first, so that no text is walked once for each."""
     first = lambda r: F.get(r, F.lit(0))["start"]

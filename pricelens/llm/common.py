@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the word definitions have it.
@@ -65,6 +65,11 @@ def unused(names: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def in_runs(c: Column, size: int = 64) -> Column:
+    """An array as arrays of size items; one empty array of an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(c) - 1) / size).cast("int"), F.lit(0))), lambda k: F.slice(c, k * size + 1, F.lit(size)))
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -6,6 +6,7 @@ a lone substitution is always ignored by one. Training and test hashes meet in
 a join against a benchmark part of bounded size; where they do, the tokens
 along the diagonal of the hit are compared, and the stretch with the highest
 score (1 a match, -MISMATCH a substitution) tells whether the passage is there.
+Items too short for that are found where a document is the item, token by token.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .common import query, table
 MASKS = ("11101101", "11011011", "10110111")
 SPAN = 8
 MISMATCH, LEAST = 2, 9
-#: Benchmark windows that are broadcast at once (some 50 bytes each); more go in parts, each a pass over the documents.
+#: Benchmark windows that are broadcast at once: a narrow row each, some 60 bytes, and the items' tokens once, 8 bytes each; more go in parts, each a pass over the documents.
 WINDOWS_A_PART = 2_000_000
+#: Items of more tokens are cut into stretches of so many, which overlap by LEAST - 1 tokens, so no passage of LEAST is lost; a passage over a cut is found in parts.
+ITEM = 4096
 
 
 def hashes(text: Column) -> Column:
@@ -60,7 +63,7 @@ def fresh_hit() -> Column:
 
 
 def stretch() -> Column:
-    """score, matched, start (in the document), length of the best stretch on the hit's diagonal, by one walk over the item's tokens."""
+    """score, matched, start (in the document, from 0), length of the best stretch on the hit's diagonal, by one walk over the item's tokens."""
     zero = F.struct(*(F.lit(0).alias(x) for x in ("run", "run_matched", "run_start", "score", "matched", "start", "length")))
     skipped = F.greatest(-F.col("shift"), F.lit(0))
 
@@ -81,25 +84,35 @@ def stretch() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """doc_id, item_id, score, matched, start, length: the best stretch of each document and benchmark item that share one of LEAST or more.
 
-    Stretches are counted in tokens; start is the document's token. Null and
-    empty texts share nothing; items of fewer than LEAST tokens are too short
-    to tell from chance and never found; null ids are kept; rows with one id
-    are told together; other columns, whatever their names, play no part.
-    No document is shuffled: only what is found goes on.
+    Stretches are counted in tokens; start is the document's token. An item of
+    fewer than LEAST tokens (one at least) is found where it is the whole
+    document; of ties the first stretch, then the longest, is told. Null and
+    empty texts share nothing; null ids are kept; rows with one id are told
+    together; other columns, whatever their names, play no part. No document
+    is shuffled: only what is found goes on. Rows grow with documents times
+    the items that share a passage with them.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), hashes(F.coalesce(text_col, F.lit(""))).alias("h"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), hashes(F.coalesce(item_text_col, F.lit(""))).alias("h")).distinct()
-    items = items.filter(F.size("h") >= LEAST)
+    every = benchmark.select(F.col(item_col).alias("item_id"), hashes(F.coalesce(item_text_col, F.lit(""))).alias("h")).distinct()
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("h") - LEAST, F.lit(0)), F.lit(ITEM - LEAST + 1))
+    items = every.filter(F.size("h") >= LEAST).select("item_id", F.explode(F.transform(cuts, lambda i: F.slice("h", i + 1, F.lit(ITEM)))).alias("h"))
+    items = items.withColumn("piece", F.xxhash64("item_id", "h"))
     n = items.agg(F.sum(F.size("h") * len(MASKS))).first()[0] or 0
     parts = max(1, -(-n // WINDOWS_A_PART))
-    out = None
+    whole = every.filter((F.size("h") > 0) & (F.size("h") < LEAST)).select("item_id", F.col("h").alias("b_h"), F.xxhash64("h").alias("b_key"))
+    short = docs.filter((F.size("h") > 0) & (F.size("h") < LEAST)).withColumn("key", F.xxhash64("h"))
+    size = F.size("h")
+    out = short.join(whole, (F.col("key") == F.col("b_key")) & (F.col("h") == F.col("b_h"))).select("doc_id", "item_id", size.alias("score"), size.alias("matched"), F.lit(0).alias("start"), size.alias("length"))
     for p in range(parts):
-        part = windows(items.filter(F.pmod(F.xxhash64("h"), F.lit(parts)) == p)).select("item_id", F.col("h").alias("b_h"), F.col("at").alias("b_at"), F.col("seed").alias("b_seed"))
-        hits = windows(docs).join(F.broadcast(part), F.col("seed") == F.col("b_seed"))
+        part = items.filter(F.pmod(F.xxhash64("h"), F.lit(parts)) == p)
+        seeds = windows(part).select(F.col("piece").alias("b_piece"), F.col("at").alias("b_at"), F.col("seed").alias("b_seed"))
+        tokens = part.select("item_id", "piece", F.col("h").alias("b_h"))
+        hits = windows(docs).join(F.broadcast(seeds), F.col("seed") == F.col("b_seed"))
+        hits = hits.join(F.broadcast(tokens), F.col("b_piece") == F.col("piece"))
         # through a generator, which keeps the walk, and the filters on it, out of the join and its compiled code
         walk = F.inline_outer(F.when(fresh_hit(), F.array(stretch())))
-        found = hits.select("doc_id", "item_id", "mask", "b_at", "b_h", *aligned()).select("doc_id", "item_id", walk).filter(F.col("score") >= LEAST)
-        out = found if out is None else out.unionByName(found)
+        found = hits.select("doc_id", "item_id", "mask", "b_at", "b_h", *aligned()).select("doc_id", "item_id", walk).filter(F.col("score") >= LEAST).select(*out.columns)
+        out = out.unionByName(found)
     order = F.struct("score", "matched", (-F.col("start")).alias("minus"), "length")
     best = out.groupBy("doc_id", "item_id").agg(F.max(order).alias("s"))
     return best.select("doc_id", "item_id", F.col("s.score").cast("long").alias("score"), F.col("s.matched").cast("long").alias("matched"), (-F.col("s.minus")).cast("long").alias("start"), F.col("s.length").cast("long").alias("length"))

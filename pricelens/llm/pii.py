@@ -17,9 +17,11 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, saved, table
+from .common import in_runs, query, saved, table, unused
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds that have base patterns, then those that only the method finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "iban")
 #: Base patterns with possessive loops: none gives back what it took, which changes no match and keeps time linear in the text.
 #: A run of fewer than 12 digits is no card and is part of no longer run, so only longer ones are looked for.
 BASE = {
@@ -28,18 +30,24 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser forms: addresses spelled out, IPv6, card numbers with other separators, national phone numbers.
+#: Looser forms: addresses spelled out, IPv6, card numbers with other separators, national phone numbers; keys and tokens; bank accounts.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]{1,63}+){1,8}+",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
     "phone": r"(?<![0-9A-Za-z+(.-])(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z.-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}+(?![A-Za-z0-9_+/=-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
+#: What a text must hold for a pattern to be looked for at all.
+MARKS = {"email": "@", "phone": r"\+[0-9]", "email_loose": r"[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "ip_loose": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "iban_loose": r"[A-Z]{2}[0-9]{2}"}
 #: Gazetteers: what an address, number or card of the kind tends to have.
 KNOWN = {
     "email": r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|io|info|de|fr|es|uk|us|eu|ch|at|it|nl)$",
     "ip": r"^(?!0|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
+    "secret": r"^(?:AKIA|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_|pk_|AIza|eyJ)|^(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{32,}$",
+    "iban": r"^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR)",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
 }
 #: Words before a span that speak for its kind, and those that speak against any.
@@ -47,11 +55,13 @@ CUES = {
     "email": r"(?i)(?:e-?mail|contact|write|mail|correo|courriel)\W*(?:\w+\W+){0,2}$",
     "ip": r"(?i)(?:\bip\b|host|server|address|from|client)\W*(?:\w+\W+){0,2}$",
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta)\W*(?:\w+\W+){0,2}$",
+    "secret": r"(?i)(?:token|key|secret|passw(?:or)?d|passwd|pwd|api|bearer|auth|authorization|credentials?)\W*(?:\w+\W+)?$",
+    "iban": r"(?i)(?:iban|account|konto|cuenta|compte|bank)\W*(?:\w+\W+){0,2}$",
     "phone": r"(?i)(?:phone|call|tel|mobile|cell|fax|dial|telefon|sms)\W*(?:\w+\W+){0,2}$",
 }
 AGAINST = r"(?i)(?:order|isbn|version|serial|invoice|part|item|ticket|sku|id|no|number|ref)\W*$"
 CONTEXT, LABELERS, BUCKETS, FEATURES = 32, 5, 64, 4
-ROUNDS, SURE, RUN = 25, 0.9, 64
+ROUNDS, SURE = 25, 0.9
 
 
 def digits(c: Column) -> Column:
@@ -73,13 +83,22 @@ def valid(kind: str, m: Column) -> Column:
         return F.length(digits(m)).between(12, 19) & luhn(digits(m))
     if kind == "phone":
         return F.length(digits(m)).between(9, 15)
+    if kind == "secret":
+        # random enough: letters and several digits, and many different characters
+        return m.rlike("[A-Za-z]") & (F.length(digits(m)) >= 4) & (F.size(F.array_distinct(F.split(m, ""))) >= 10)
+    if kind == "iban":
+        bare = F.regexp_replace(m, " ", "")
+        turned = F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4))
+        number = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda acc, c: (acc * F.when(number(c) > 9, 100).otherwise(10) + number(c)) % 97)
+        return F.length(bare).between(15, 34) & (rest == 1)
     return F.lit(True)
 
 
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, m, before) of all matches: what is between matches, and the matches, add up to positions.
 
-    Added up by runs of RUN matches, then within each: appending to one array
+    Added up by runs of matches, then within each: appending to one array
     for thousands of matches would take time with their square.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -92,7 +111,7 @@ def found(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
     pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("m"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / RUN).cast("int")), lambda c: F.slice(pairs, c * RUN + 1, F.lit(RUN)))
+    runs = in_runs(pairs)
     lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + size(x)))
     starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     both = F.arrays_zip(runs.alias("run"), starts.alias("at"))
@@ -109,9 +128,9 @@ def votes(kind: str, x: Column, strict: bool) -> list[Column]:
         check = F.length(digits(m)).between(7, 15) & (F.length(F.array_join(F.array_distinct(F.split(digits(m), "")), "")) > 2)
     yes = lambda c: F.when(c, 1).otherwise(0)
     return [
-        yes(valid(kind, m)) if strict else F.lit(0),
+        yes(valid(kind, m)) if strict else F.lit(0 if kind in BASE_KINDS else -1),
         yes(check),
-        F.when(bare.rlike(KNOWN[kind]), 1).otherwise(0 if kind in ("card", "phone") else -1),
+        F.when(bare.rlike(KNOWN[kind]), 1).otherwise(0 if kind in ("card", "phone", "secret", "iban") else -1),
         F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), 0).otherwise(-1),
         yes(~before.rlike(r"[A-Za-z0-9_=/#]$")),
     ]
@@ -135,28 +154,49 @@ def judged(k: int, kind: str, x: Column, strict: bool) -> Column:
     return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(strict).alias("strict"), code(vs).alias("code"), F.array(*features(k, kind, x, vs)).alias("features"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """docs with base and more: arrays of spans (kind, start, end, ...); more holds candidates clear of base spans."""
-    df = docs
-    for kind in KINDS:
-        df = df.withColumn(f"__{kind}", found(F.col("__text"), BASE[kind])).withColumn(f"__{kind}_loose", found(F.col("__text"), LOOSE[kind]))
-    base, more = [], []
+def meets(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def by_start(spans: Column) -> Column:
+    return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+
+
+def ranged(spans: Column) -> Column:
+    """Spans in runs, each with where it begins and ends, so that a search passes over runs that are elsewhere."""
+    return F.transform(in_runs(spans), lambda r: F.struct(F.array_min(F.transform(r, lambda x: x["start"])).alias("start"), F.array_max(F.transform(r, lambda x: x["end"])).alias("end"), r.alias("spans")))
+
+
+def met(a: Column, runs: Column, also=lambda b: F.lit(True)) -> Column:
+    """Whether one of ranged spans meets a, and also holds."""
+    return F.exists(runs, lambda r: F.coalesce(meets(a, r), F.lit(False)) & F.exists(r["spans"], lambda b: meets(a, b) & also(b)))
+
+
+def spans(docs: DataFrame, text: str, base_name: str, more_name: str) -> DataFrame:
+    """docs with two arrays of spans (kind, start, end, ...): base, and more, which holds candidates clear of base spans."""
+    df, base, more = docs, [], []
+    names = dict(zip([*BASE_KINDS, *(f"{k}_loose" for k in KINDS)], unused([*docs.columns, base_name, more_name], *BASE_KINDS, *(f"{k}_loose" for k in KINDS), "runs")))
+    (runs,) = unused([*docs.columns, base_name, more_name, *names.values()], "runs")
+    none = F.array().cast("array<struct<start:int,end:int,m:string,before:string>>")
+    for x, name in names.items():
+        kind, _, loose = x.partition("_")
+        # most texts hold no digit and no mark, and are passed over once
+        ok = F.col(text).rlike(MARKS[x]) if x in MARKS else F.col(text).rlike("[0-9]")
+        df = df.withColumn(name, F.when(ok, found(F.col(text), (LOOSE if loose else BASE)[kind])).otherwise(none))
     for k, kind in enumerate(KINDS):  # Spark calls these functions at once, so each sees its own kind
-        ok = F.filter(f"__{kind}", lambda x: valid(kind, x["m"]))
-        base.append(F.transform(ok, lambda x: judged(k, kind, x, True)))
-        more.append(F.transform(F.filter(f"__{kind}", lambda x: ~valid(kind, x["m"])), lambda x: judged(k, kind, x, True)))
-        more.append(F.transform(f"__{kind}_loose", lambda x: judged(k, kind, x, False)))
-    df = df.withColumn("base", F.array_sort(F.concat(*base), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    df = df.withColumn("more", F.filter(F.concat(*more), lambda a: ~F.exists("base", lambda b: meets(a, b))))
-    return df.drop(*(f"__{kind}{x}" for kind in KINDS for x in ("", "_loose")))
+        if kind in BASE_KINDS:
+            base.append(F.transform(F.filter(names[kind], lambda x: valid(kind, x["m"])), lambda x: judged(k, kind, x, True)))
+            more.append(F.transform(F.filter(names[kind], lambda x: ~valid(kind, x["m"])), lambda x: judged(k, kind, x, True)))
+        more.append(F.transform(names[f"{kind}_loose"], lambda x: judged(k, kind, x, False)))
+    df = df.withColumn(base_name, by_start(F.concat(*base))).withColumn(runs, ranged(F.col(base_name)))
+    df = df.withColumn(more_name, F.filter(F.concat(*more), lambda a: ~met(a, F.col(runs))))
+    return df.drop(runs, *names.values())
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """kind, code, t, bucket, n over all spans: at most 4 * 3**5 * 4 * 64 rows, whatever the corpus."""
-    # outer: an inner explode would have Spark filter on the array's size, and so compute all of it once more
-    rows = df.select(F.explode_outer(F.concat("base", "more")).alias("s"))
-    rows = rows.select("s.kind", "s.code", F.posexplode_outer("s.features").alias("t", "bucket")).filter("t IS NOT NULL")
+    """kind, code, t, bucket, n over all spans of columns base and more: at most 6 * 3**5 * 4 * 64 rows, whatever the corpus."""
+    rows = df.select(F.explode(F.concat("base", "more")).alias("s"))
+    rows = rows.select("s.kind", "s.code", F.posexplode("s.features").alias("t", "bucket"))
     return rows.groupBy("kind", "code", "t", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -212,34 +252,36 @@ def weights(counts: DataFrame) -> DataFrame:
     return each.join(both, "kind").select("kind", "t", "bucket", odds.alias("w")).unionByName(both.select("kind", F.lit(-1).alias("t"), F.lit(0).alias("bucket"), prior.alias("w")))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", sure: float = SURE) -> DataFrame:
-    """docs and pii: array of (kind, start, end, base, p), ordered by start, then kind as in KINDS.
+def find_pii(docs: DataFrame, text_col: str = "text", sure: float = SURE, without: tuple[str, ...] = (), pii_col: str = "pii") -> DataFrame:
+    """docs, less the columns in without, and pii_col: array of (kind, start, end, base, p), ordered by start, then kind as in KINDS.
 
     Positions are code points from 0, the end exclusive. Null and empty texts
     have no spans. All base spans are there (base true, p 1), and the
     candidates to which the classifier gives sure or more; of candidates that
     overlap the first by kind and start stays. Repeated rows are judged alike
-    and count alike; other columns pass through, whatever their names, unless
-    they are called base, more, pii or __text. Two passes over the texts and no
-    shuffle of them: a table of counts of bounded size is all that is gathered.
+    and count alike; an empty table gives none; other columns pass through,
+    whatever their names, but one called pii_col is replaced. Texts are read
+    once and not shuffled: the spans are written beside the columns that stay,
+    and a table of counts of bounded size is all that is gathered.
     """
-    df = spans(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))))
-    counts = saved(counted(df.select("base", "more")), "pii-votes")
+    docs = docs.drop(pii_col)
+    text, base, more = unused([*docs.columns, pii_col], "text", "base", "more")
+    df = spans(docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))), text, base, more)
+    df = saved(df.drop(text, *without), "pii-spans")
+    counts = saved(counted(df.select(F.col(base).alias("base"), F.col(more).alias("more"))), "pii-votes")
     table_ = [[0.0] * (1 + FEATURES * BUCKETS) for _ in KINDS]
     for r in weights(counts).collect():  # at most as many rows as table_ has cells
         table_[r.kind][0 if r.t < 0 else 1 + r.t * BUCKETS + r.bucket] = r.w
     w = F.from_json(F.lit(json.dumps(table_)), "array<array<double>>")
     weigh = lambda x: reduce(add, (F.get(F.get(w, x["kind"]), F.get(x["features"], F.lit(t)) + 1 + t * BUCKETS) for t in range(FEATURES)), F.get(F.get(w, x["kind"]), F.lit(0)))
     # a candidate also needs its own check: no classifier overrules a failed checksum
-    told = F.transform(F.filter("more", lambda x: F.floor(x["code"] / 3) % 3 == 2), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("base"), (1 / (1 + F.exp(-weigh(x)))).alias("p")))
-    told = F.filter(told, lambda x: x["p"] >= sure)
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    told = F.transform(F.filter(more, lambda x: F.floor(x["code"] / 3) % 3 == 2), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("base"), (1 / (1 + F.exp(-weigh(x)))).alias("p")))
     first = lambda a, b: (a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["start"] < b["start"]))
-    df = df.withColumn("more", told)
-    df = df.withColumn("more", F.filter("more", lambda b: ~F.exists("more", lambda a: first(a, b) & meets(a, b))))
-    own = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("p")))
-    by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    return df.withColumn("pii", F.array_sort(F.concat(own, F.col("more")), by_start)).drop("base", "more", "__text")
+    (runs,) = unused([*df.columns, pii_col], "runs")
+    df = df.withColumn(more, F.filter(told, lambda x: x["p"] >= sure)).withColumn(runs, ranged(by_start(F.col(more))))
+    kept = F.filter(more, lambda b: ~met(b, F.col(runs), lambda a: first(a, b)))
+    own = F.transform(base, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("p")))
+    return df.withColumn(pii_col, by_start(F.concat(own, kept))).drop(runs, base, more)
 
 
 def listed(pii: Column) -> Column:
@@ -248,21 +290,36 @@ def listed(pii: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of text_col replaced by its kind in brackets, as [EMAIL]; null stays null."""
-    df = find_pii(docs, text_col)
+    """docs with each span of text_col replaced by its kind in brackets, as [EMAIL]; null stays null.
+
+    A span that begins within an earlier one goes with it. Other columns pass
+    through, whatever their names.
+    """
+    pii, runs, ends = unused(docs.columns, "pii", "runs", "ends")
+    df = find_pii(docs, text_col, pii_col=pii)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
-    done = lambda i: F.coalesce(F.array_max(F.transform(F.slice("pii", F.lit(1), i), lambda x: x["end"])), F.lit(0))
-    # before each span what no earlier span has covered; nothing for a span that begins within one
-    piece = lambda x, i: F.when(x["start"] < done(i), "").otherwise(F.concat(F.substring(text, done(i) + 1, x["start"] - done(i)), F.get(names, x["kind"])))
-    last = done(F.size("pii"))
-    clean = F.concat(F.array_join(F.transform("pii", piece), ""), F.substring(text, last + 1, F.length(text)))
-    return df.withColumn(text_col, F.when(text.isNull() | (F.size("pii") == 0), text).otherwise(clean)).drop("pii")
+    # spans in runs; where all spans before a run end: the text of a run is cut out once, and its pieces from that
+    last = F.aggregate(ranged(F.col(pii)), F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.coalesce(r["end"], F.lit(0))))))
+    df = df.withColumn(runs, in_runs(F.col(pii))).withColumn(ends, last)
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def piece(r: Column, i: Column) -> Column:
+        at = F.get(ends, i)
+        cut = F.substring(text, at + 1, F.get(ends, i + 1) - at)
+        step = lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["end"]).alias("at"),
+            F.when(x["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.substring(cut, acc["at"] - at + 1, x["start"] - acc["at"]), F.get(names, x["kind"])))).alias("parts"),
+        )
+        return F.array_join(F.aggregate(r, zero(at), step)["parts"], "")
+
+    clean = F.concat(F.array_join(F.transform(runs, piece), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    return df.withColumn(text_col, F.when(text.isNull() | (F.size(pii) == 0), text).otherwise(clean)).select(*docs.columns)
 
 
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), without=("text",))
     base = F.filter("pii", lambda x: x["base"])
     count = lambda k: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
-    return df.select("doc_id", *(count(k) for k in range(len(KINDS))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return df.select("doc_id", *(count(k) for k in range(len(BASE_KINDS))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))

@@ -54,6 +54,69 @@ def test_pii_base_spans_are_those_of_the_plain_patterns(spark, tmp_path):
     assert "phone:" in next(r.spans for r in got if r.doc_id == -6)
 
 
+def brute_pii_model(rows):
+    """Expectation-maximisation over vote patterns, and the classifier's weights, with numpy."""
+    out = {}
+    for kind in {r[0] for r in rows}:
+        n = {}
+        for k, code, t, bucket, m in rows:
+            if k == kind and t == 0:
+                n[code] = n.get(code, 0) + m
+        codes = sorted(n)
+        v = np.array([[code // 3**j % 3 - 1 for j in range(pii.LABELERS)] for code in codes])
+        w = np.array([n[c] for c in codes], float)
+        prior, p = 0.5, np.array([[0.8] * pii.LABELERS, [0.2] * pii.LABELERS])
+
+        def posterior(prior, p):
+            like = [np.prod(np.where(v == 1, x, np.where(v == 0, 1 - x, 1.0)), axis=1) for x in p]
+            return prior * like[0] / (prior * like[0] + (1 - prior) * like[1])
+
+        for _ in range(pii.ROUNDS):
+            q = posterior(prior, p)
+            p = np.array([[((z * (v[:, j] == 1)).sum() + add) / ((z * (v[:, j] >= 0)).sum() + 5) for j in range(pii.LABELERS)] for z, add in ((w * q, 4), (w * (1 - q), 1))])
+            prior = ((w * q).sum() + 1) / (w.sum() + 2)
+        q = dict(zip(codes, posterior(prior, p)))
+        ys, xs = sum(n[c] * q[c] for c in codes), sum(n[c] * (1 - q[c]) for c in codes)
+        out[kind, -1, 0] = np.log((ys + 0.5) / (xs + 0.5))
+        for t, bucket in {(r[2], r[3]) for r in rows if r[0] == kind}:
+            mine = [(r[1], r[4]) for r in rows if r[0] == kind and r[2:4] == (t, bucket)]
+            y, x = sum(m * q[c] for c, m in mine), sum(m * (1 - q[c]) for c, m in mine)
+            out[kind, t, bucket] = np.log((y + 0.1) / (ys + 0.1 * pii.BUCKETS)) - np.log((x + 0.1) / (xs + 0.1 * pii.BUCKETS))
+    return out
+
+
+def test_pii_reliabilities_and_classifier_against_numpy(spark):
+    rng = random.Random(15)
+    rows = []
+    for kind in (0, 3, 4):
+        for _ in range(15):
+            code, n = rng.randrange(3**pii.LABELERS), rng.randint(1, 50)
+            rows += [(kind, code, t, rng.randrange(6), n) for t in range(pii.FEATURES)]
+    totals = {}
+    for r in rows:
+        totals[r[:4]] = totals.get(r[:4], 0) + r[4]
+    rows = [(*k, n) for k, n in totals.items()]
+    got = {(r.kind, r.t, r.bucket): r.w for r in pii.weights(spark.createDataFrame(rows, "kind int, code int, t int, bucket int, n long")).collect()}
+    want = brute_pii_model(rows)
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_secrets_and_accounts(spark):
+    texts = ['api key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "bank account DE89 3704 0044 0532 0130 00 now", "bank account DE88 3704 0044 0532 0130 00 now", "a-perfectly-ordinary-slug-with-many-words", "token: ghp_abcdEFGH1234ijklMNOP5678qrstUVWX9012"]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts * 5)), "doc_id int, text string")).collect()
+    kinds = [sorted({pii.KINDS[x.kind] for x in r.pii} & {"secret", "iban"}) for r in sorted(got, key=lambda r: r.doc_id)]
+    assert kinds[:5] == [["secret"], ["iban"], [], [], ["secret"]]
+
+
+def test_redaction_of_clashing_names_and_many_spans(spark):
+    text = "x 1.2.3.4 y joe@site.example " * 400
+    df = spark.createDataFrame([(1, text, "b", "m", "p", "t", "r"), (1, text, "b", "m", "p", "t", "r"), (None, "+1 (212) 555-0187 a@b.co", None, "", "", "", "")], "doc_id long, text string, base string, more string, pii string, __text string, runs string")
+    got = pii.redact(df).collect()
+    assert pii.redact(df).columns == df.columns
+    assert sorted((r.text for r in got), key=len) == ["[PHONE] [EMAIL]", *["x [IP] y [EMAIL] " * 400] * 2]
+    assert [r.base for r in sorted(got, key=lambda r: len(r.text))] == [None, "b", "b"]
+
+
 def test_redaction_takes_spans_out_and_leaves_the_rest(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now, 4111111111111111."), (2, "clean text"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
@@ -87,6 +150,56 @@ def test_leaks_survive_substitutions_and_spare_clean_text(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).collect() == []
 
 
+def brute_leaks(docs, items):
+    """All diagonals of each document and item: windows that a mask lets through, and the best stretch on their diagonal."""
+    tokens = lambda t: [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+    out = {}
+    for i, text in docs:
+        d = tokens(text)
+        for j, item in items:
+            b = tokens(item)
+            if 0 < len(b) < decontaminate.LEAST:
+                if d == b:
+                    out[i, j] = len(b)
+                continue
+            for shift in range(-len(b) + 1, len(d)):
+                same = [(k, d[k + shift] == b[k]) for k in range(len(b)) if 0 <= k + shift < len(d)]
+                hit = any(all(same[a + x][1] for x in decontaminate.taken(m)) for m in decontaminate.MASKS for a in range(len(same) - decontaminate.SPAN + 1))
+                run = best = 0
+                for _, ok in same if hit else ():
+                    run = max(run, 0) + (1 if ok else -decontaminate.MISMATCH)
+                    best = max(best, run)
+                if best >= decontaminate.LEAST:
+                    out[i, j] = max(best, out.get((i, j), 0))
+    return out
+
+
+def test_leaks_against_all_diagonals(spark):
+    rng = random.Random(12)
+    few = [f"t{i}" for i in range(5)]
+    items = [(i, " ".join(rng.choices(few + [f"u{k}" for k in range(60)], k=rng.randint(1, 30)))) for i in range(12)] + [(70, "t1 t2"), (71, ""), (72, None), (73, "The END"), (None, "t1 u1 " * 6)]
+    docs = [(i, " ".join(w if rng.random() < 0.85 else rng.choice(few) for w in (rng.choice(items[:12])[1] + " " + rng.choice(items[:12])[1]).split())) for i in range(40)]
+    docs += [(100, "t1, T2!"), (101, None), (102, ""), (103, "the end"), (None, items[3][1] + " u1"), (None, items[4][1]), (104, "t1 u1 " * 20), (105, docs[0][1]), (105, docs[0][1])]
+    df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, h int").repartition(3)
+    got = {}
+    for r in decontaminate.leaks(df, spark.createDataFrame([(*r, 2) for r in items], "item_id long, text string, seed int")).collect():
+        got[r.doc_id, r.item_id] = r.score
+    want = brute_leaks([d for d in docs if d[0] is not None], items)
+    for (_, text), key in zip((d for d in docs if d[0] is None), ("x", "y")):
+        for (_, j), score in brute_leaks([(key, text)], items).items():
+            want[None, j] = max(score, want.get((None, j), 0))
+    assert got == want and len(want) > 20
+
+
+def test_long_items_and_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM", 300)
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(8000)]
+    docs = spark.createDataFrame([(1, " ".join(words[2900:2950])), (2, " ".join(words[290:305])), (3, " ".join(rng.choices(words, k=30_000)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.leaks(docs, items).collect()) == [1, 2]
+
+
 def test_leaks_in_parts_are_those_in_one(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50))), (2, " ".join(f"v{i}" for i in range(50)))], "doc_id long, text string")
     items = spark.createDataFrame([(i, " ".join(f"{'wv'[i % 2]}{k}" for k in range(i, i + 15))) for i in range(8)], "item_id long, text string")
@@ -176,6 +289,22 @@ def test_license_notices_that_adjoin():
         assert found(text) == brute_notices(text), text
 
 
+def test_license_scan_of_dense_long_texts_is_linear_and_takes_notices(spark):
+    import time
+
+    scanner, times = license_scan.Scanner(), []
+    for n in (2000, 8000):
+        text = b"under the mit license and " * n
+        began = time.time()
+        got = scanner.scan(text)
+        times.append(time.time() - began)
+        assert (got["n_base"], got["last_word"], len(got["spans"])) == (n, 5 * (n - 1), n)
+    assert times[1] < 8 * times[0] + 0.5
+    df = spark.createDataFrame([(1, "use it as you lik"), (2, "nothing")], "doc_id long, text string")
+    assert [r.labels for r in license_scan.license_scan(df, notices=[("use it as you like", "own", ())]).collect()] == ["own", ""]
+    assert license_scan.license_scan(df.filter("false")).collect() == []
+
+
 def test_license_base_against_words(spark):
     rng = random.Random(3)
     bits = ["under", "the", "MIT", "license", "cc", "by", "nc", "é", "x", ",", "-", "\n", "under the mit license", "cc by nc cc by nc"]
