@@ -10,6 +10,7 @@ from pricelens.operators import benchmark, outliers, polls, used
 
 NOW = dt.datetime(2026, 7, 15)
 
+#: Titles and what they state.
 PRICES = [
     ("아이폰 3만원 + 배송비 3,000원", 33000, []), ("아이폰 3.3만원 무료배송", 33000, []), ("아이폰 N카드 할인 시 890,000", 890000, ["N카드"]), ("아이폰 팝니다 문의 주세요", None, None),
     ("갤럭시 89만", 890000, []), ("갤럭시 33000", 33000, []), ("갤럭시 890,000원", 890000, []), ("[알리] OLOyDDR5 32GB(16x2)5600MHz 513,000", 513000, []), ("x(13,490원/3,000원)", 16490, []),
@@ -17,6 +18,14 @@ PRICES = [
     ("[G마켓]TV (11,800원/3,000원~)", 14800, ["배송비:3,000원~", "배송비미상"]), ("x (8800원 /픽업)", 8800, ["수령:픽업"]), ("[플레이스토어]구글플레이패스 신규 1달 (무료/무료)", 0, ["무료가"]), ("(무료/2,500원)", 2500, ["무료가"]),
     ("[GOG] Nexus: The Jupiter Incident 무료", 0, ["무료가"]), ("[쿠팡]갤럭시 S24 5000만화소 카메라 899,000원", 899000, []), ("[다나와]모니터 2만2천원", 22000, []), ("RTX 5070 특가", None, None), ("5600X 정품", None, None), ("i5-14600K", None, None),
     ("20000mAh", None, None), ("[G마켓]라면 13490", 13490, []), ("긴 제목 (13,800원...", 13800, ["배송비미상"]), (None, None, None), ("", None, None),
+    # Expected results of the model's own examples.
+    ("[롯데온]경남제약 파워 블랙마카 1,000mg*60정 (9,600원/무료)", 9600, []), ("[네이버]안국약품 콘드로이친 1200 60정,3개+밀크씨슬1개(34,710원/무료)", 34710, []), ("[옥션]레노마 남성 반소매 셔츠 모음전 (26,980원/무배)", 26980, []),
+    ("[던킨] 네이버페이 결제시 아메리카노 900원 (7/4~7)", 900, []), ("[플레이스토어] 스폰지밥: 비키니시 전쟁 150원", 150, []), ("완전 무료배송 이벤트 참여", None, None), ("[무료나눔 이벤트 당첨자 발표] 실제 판매가 13,000원", 13000, []),
+    ("[한길담]100매 한정 코엑스 아쿠아리움 1인 입장권 (7/31까지) (18,300원/무료)", 18300, []), ("[지마켓]삼성 로봇청소기 (카할180만원대/무배)", 1800000, ["카할"]), ("[다나와]MSI RTX 5070 그래픽카드 (899,000원/무료)", 899000, []),
+    ("[SSG]스타벅스 기프트카드 5만원권 (45,000원/무료)", 45000, []), ("[다나와]그래픽카드가 899,000원", 899000, []), ("[11번가]LG TV (1,290,000원/무료) 신한카드 할인", 1290000, ["신한카드"]), ("[SSG]다이슨 (599,000원/무료) 현대카드 청구할인", 599000, ["현대카드"]),
+    ("[옥션]에어팟 (199,000원/무료) 카드할인 적용", 199000, ["카드할인"]), ("[11번가]TV (1,000,000원/무료) 카드 결제 시", 1000000, ["카드결제"]), ("[G마켓]에어컨 3만시간 보증 599,000원", 599000, []), ("[11번가]보조배터리 2만mAh 19,900원", 19900, []),
+    ("3.3만원 특가", 33000, []), ("[옥션]키보드 8만원대 특가", 80000, []), ("[11번가]선풍기 (11,800원/조건부무료)", 11800, ["조건부무료배송:조건부무료", "배송비미상"]), ("[쿠팡]키보드 (11,800원/2500)", 14300, []),
+    ("[컴퓨존]RTX 4090 재입고", None, None), ("[퀘이사존]라이젠 7 5600X 정품", None, None), ("키보드 12,000원 배송비 2,500원 신한카드 KB국민카드 카할", 14500, ["신한카드", "KB국민카드", "카할"]), ("마우스 유배 9,900원", 9900, ["유료배송(금액미상)", "배송비미상"]), ("긴 제목 12000...", 12000, ["배송비미상"]), ("긴 제목 배송비 500원 12000...", 12500, []),
 ]
 
 
