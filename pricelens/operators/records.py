@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.numbers import months_before, percentile_won
 
+from .benchmark import EXPAND_LIMIT, chosen_width, counts_by_width
 from .dealsets import occurrence_set, pricing_set
 
 #: Most characters of a title, url and post id, and bytes of a raw record.
@@ -81,19 +82,30 @@ def used_match(listings: DataFrame, searches: DataFrame) -> DataFrame:
 
 
 def asof_snapshots(purchases: DataFrame, deals: DataFrame, months: int = 6, k: int = 5) -> DataFrame:
-    """purchase_id, n, m, benchmark_price, tier: the benchmark as it stood at each purchase, without expansion.
+    """purchase_id, unobserved, n, m, benchmark_price, tier, sparse_lowest, paid_gap, basis: the benchmark, with its expansion, as it stood at each purchase.
 
     Purchases and deals meet by variant and month: a purchase looks into its
-    own month and those before it that its window touches.
+    own month and the twelve before. One from before the variant's first deal
+    is unobserved and has no figures.
     """
     month = lambda c: F.year(c) * 12 + F.month(c)
+    at = F.col("purchased_at")
     d = pricing_set(deals).select("variant_id", "first_seen", "price_first", "n_sites", month(F.col("first_seen")).alias("mon"))
-    p = purchases.withColumn("mon", F.explode(F.sequence(month(months_before(F.col("purchased_at"), months)), month(F.col("purchased_at")))))
-    met = p.join(d, ["variant_id", "mon"]).filter((F.col("first_seen") <= F.col("purchased_at")) & (F.col("first_seen") >= months_before(F.col("purchased_at"), months)))
-    got = met.groupBy("purchase_id").agg(F.count("*").alias("n"), F.count_if(F.col("n_sites") >= 2).alias("m"), percentile_won(F.col("price_first"), 0.5).alias("median"))
-    df = purchases.select("purchase_id").join(got, "purchase_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    return df.select("purchase_id", n.cast("long").alias("n"), F.coalesce("m", F.lit(0)).cast("long").alias("m"), F.when(n >= k, F.col("median")).alias("benchmark_price"), F.when(n == 0, "NONE").when(n >= k, "SUFFICIENT").otherwise("SPARSE").alias("tier"))
+    p = purchases.select("purchase_id", "variant_id", "purchased_at").withColumn("mon", F.explode(F.sequence(month(months_before(at, EXPAND_LIMIT)), month(at))))
+    met = p.join(d, ["variant_id", "mon"]).filter(F.col("first_seen") <= at)
+    met = met.withColumn("age", F.coalesce(*(F.when(F.col("first_seen") >= months_before(at, w), w) for w in range(1, EXPAND_LIMIT + 1)))).filter("age IS NOT NULL")
+    width = met.groupBy("purchase_id").agg(counts_by_width().alias("held")).select("purchase_id", chosen_width(F.col("held"), F.lit(months), F.lit(k)).alias("width"))
+    got = met.join(width, "purchase_id").filter("age <= width").groupBy("purchase_id").agg(F.count("*").alias("n"), F.count_if(F.col("n_sites") >= 2).alias("m"), percentile_won(F.col("price_first"), 0.5).alias("median"), F.min("price_first").alias("least"))
+    since = deals.groupBy("variant_id").agg(F.min("first_seen").alias("since"))
+    df = purchases.join(since, "variant_id", "left").join(got, "purchase_id", "left")
+    unobserved = F.coalesce(at < F.col("since"), F.lit(False))
+    n = F.when(unobserved, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long")
+    tier = F.when(~unobserved, F.when(n == 0, "NONE").when(n >= k, "SUFFICIENT").otherwise("SPARSE"))
+    price = F.when(tier == "SUFFICIENT", F.col("median"))
+    return df.select(
+        "purchase_id", unobserved.alias("unobserved"), n.alias("n"), F.when(unobserved, 0).otherwise(F.coalesce("m", F.lit(0))).cast("long").alias("m"), price.alias("benchmark_price"), tier.alias("tier"),
+        F.when(tier == "SPARSE", F.col("least")).alias("sparse_lowest"), (F.col("paid_price") - price).alias("paid_gap"), F.lit(f"P={months}mo,K={k}").alias("basis"),
+    )
 
 
 def rate_limited(events: DataFrame, limit: int, window_us: int) -> DataFrame:

@@ -20,20 +20,27 @@ def tokens(title: Column) -> Column:
     return F.array_distinct(F.split(F.trim(normalize(title)), r"\s+"))
 
 
+def alias_hits(posts: DataFrame, keys: DataFrame) -> DataFrame:
+    """post_id, n, product_id: how many products the aliases within a title (column j) name, and the least.
+
+    A title's places are joined with the aliases on as many characters as the
+    shortest alias has; where these are equal the whole alias is compared. So a
+    title gives a row for each character, whatever the number of aliases.
+    """
+    least = keys.agg(F.min(F.length("key"))).first()[0] or 1
+    cut = F.transform(F.sequence(F.lit(1), F.length("j") - least + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("j"), i, F.lit(least)).alias("head")))
+    places = posts.filter(F.length("j") >= least).select("post_id", "j", F.explode(cut).alias("at")).select("post_id", "j", "at.*")
+    met = places.join(keys.withColumn("head", F.substring("key", 1, least)), "head").filter(F.substring(F.col("j"), F.col("i"), F.length("key")) == F.col("key"))
+    return met.groupBy("post_id").agg(F.count_distinct("product_id").alias("n"), F.min("product_id").alias("product_id"))
+
+
 def match_products(posts: DataFrame, aliases: DataFrame, catalog: DataFrame) -> DataFrame:
     """post_id, tier, product: CONFIRMED where the aliases in a title are all one product's, else CANDIDATE with the least product a token of whose name is a token of the title, else REJECTED.
 
-    An alias is looked for as one of the title's substrings of its length: the
-    join is on equality, whatever the number of aliases. Titles are bounded (300
-    characters), and so are their substrings; lengths are few.
+    An alias hit is found as in alias_hits, whatever the number of aliases.
     """
-    keys = aliases.filter(F.col("product").isNotNull()).select(joined(F.col("alias")).alias("key"), "product").filter("key <> ''").distinct()
-    lengths = [r[0] for r in keys.select(F.length("key")).distinct().collect()]  # at most 300
-    t = posts.select("post_id", joined(F.col("title")).alias("t"))
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, F.lit(n)))
-    parts = [F.when(F.length("t") >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
-    pieces = t.select("post_id", F.explode(F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")).alias("key"))
-    hits = pieces.join(keys, "key").groupBy("post_id").agg(F.count_distinct("product").alias("n"), F.min("product").alias("own"))
+    keys = aliases.filter(F.col("product").isNotNull()).select(joined(F.col("alias")).alias("key"), F.col("product").alias("product_id")).filter("key <> ''").distinct()
+    hits = alias_hits(posts.select("post_id", joined(F.col("title")).alias("j")), keys).withColumnRenamed("product_id", "own")
     words = posts.select("post_id", F.explode(tokens(F.col("title"))).alias("w"))
     names = catalog.select("product", F.explode(tokens(F.col("name"))).alias("w")).distinct()
     near = words.join(names, "w").groupBy("post_id").agg(F.min("product").alias("near"))
@@ -53,12 +60,16 @@ def exclude_keywords(deals: DataFrame, posts: DataFrame, keywords: DataFrame) ->
     return deals.join(bad, "deal_id", "left_anti")
 
 
-def suggest_keywords(ignored: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
-    """variant_id, candidates: tokens of two characters or more, with a letter, in least ignored titles of a variant, that aren't known."""
-    words = ignored.select("variant_id", F.explode(F.array_distinct(F.split(F.trim("title"), r"\s+"))).alias("w"))
-    words = words.filter((F.length("w") >= 2) & F.col("w").rlike("[A-Za-z가-힣]")).join(known.select(F.col("keyword").alias("w")), "w", "left_anti")
-    counts = words.groupBy("variant_id", "w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return counts.groupBy("variant_id").agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("candidates"))
+def suggested_rows(ignored: DataFrame, known: DataFrame, pinned: DataFrame, id_col: str, least: int = 2) -> DataFrame:
+    """variant_id, keyword, titles: tokens of two characters or more, with a letter, in least ignored titles of a variant, that aren't known; titles of pinned deals (id_col) don't count, and a title counts a token once."""
+    words = ignored.join(pinned, id_col, "left_anti").select("variant_id", F.explode(F.array_distinct(F.split(F.regexp_replace("title", r"^\s+|\s+$", ""), r"\s+"))).alias("keyword"))
+    words = words.filter((F.length("keyword") >= 2) & F.col("keyword").rlike("[A-Za-z가-힣]")).join(known.select("keyword"), "keyword", "left_anti")
+    return words.groupBy("variant_id", "keyword").agg(F.count("*").alias("titles")).filter(F.col("titles") >= least)
+
+
+def suggest_keywords(ignored: DataFrame, known: DataFrame, pinned: DataFrame, id_col: str, least: int = 2) -> DataFrame:
+    """variant_id, candidates: the keywords of suggested_rows of a variant as one sorted list, as the review queue takes them."""
+    return suggested_rows(ignored, known, pinned, id_col, least).groupBy("variant_id").agg(F.array_sort(F.collect_list("keyword")).alias("candidates"))
 
 
 def split_digest(text: Column, most: int) -> Column:

@@ -77,9 +77,9 @@ def keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
     return titles.exclude_keywords(posts.select("deal_id", "variant_id"), posts.select("deal_id", "title"), words).groupBy("variant_id").agg(F.count("*").alias("n"))
 
 
-@registered("""WITH w AS (SELECT DISTINCT doc_id, lang, unnest(string_split_regex(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents),
-c AS (SELECT lang, w FROM w WHERE length(w) >= 2 AND regexp_matches(w, '[A-Za-z가-힣]') AND w NOT IN ('the', 'of') GROUP BY 1, 2 HAVING count(*) >= 100)
-SELECT lang AS variant_id, string_agg(w, ',' ORDER BY w) AS candidates FROM c GROUP BY 1""")
+@registered("""WITH w AS (SELECT DISTINCT doc_id, lang, unnest(string_split_regex(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '[ \t\n\x0B\f\r]+')) AS w FROM documents WHERE doc_id % 50 <> 0)
+SELECT lang AS variant_id, w AS keyword, count(*) AS titles FROM w WHERE length(w) >= 2 AND regexp_matches(w, '[A-Za-z가-힣]') AND w NOT IN ('the', 'of') GROUP BY 1, 2 HAVING count(*) >= 2""")
 def suggested_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    docs = relation(spark, sf, "SELECT lang AS variant_id, text AS title FROM documents")
-    return titles.suggest_keywords(docs, spark.createDataFrame([("the",), ("of",)], "keyword string"), 100)
+    """A row for each variant and keyword, so no variant's words are one row; pinned deals' titles are left out."""
+    docs = relation(spark, sf, "SELECT doc_id, lang AS variant_id, text AS title FROM documents")
+    return titles.suggested_rows(docs, spark.createDataFrame([("the",), ("of",)], "keyword string"), docs.filter("doc_id % 50 = 0").select("doc_id"), "doc_id")

@@ -46,16 +46,17 @@ e AS (SELECT variant_id, min(m) AS eff FROM (SELECT *, max(held) OVER (PARTITION
 -- widths without any deal have no row above; a sample that only a wider window holds starts there
 b AS (SELECT s.*, e.eff FROM s JOIN e USING (variant_id) WHERE s.first_seen >= {NOW} - to_months(CAST(e.eff AS INTEGER))),
 g AS (SELECT variant_id, any_value(eff) AS eff, count(*) AS n, count(*) FILTER (n_sites >= 2) AS m, CAST(round(quantile_cont(price_first, 0.5)) AS BIGINT) AS med,
-  CAST(round(quantile_cont(price_first, 0.25) FILTER (n_sites >= 2)) AS BIGINT) AS p25, min(price_first) FILTER (n_sites >= 2) AS low,
+  CAST(round(quantile_cont(price_first, 0.25) FILTER (n_sites >= 2)) AS BIGINT) AS p25, min(price_first) FILTER (n_sites >= 2) AS low, min(price_first) AS least,
   first(price_first ORDER BY first_seen DESC, deal_event_id) AS latest FROM b GROUP BY 1),
-t AS (SELECT p.*, coalesce(n, 0) AS n, coalesce(m, 0) AS m, med, p25, low, latest, eff, CASE WHEN coalesce(n, 0) = 0 THEN 'NONE' WHEN n >= k_display THEN 'SUFFICIENT' ELSE 'SPARSE' END AS tier FROM params p LEFT JOIN g USING (variant_id)),
+t AS (SELECT p.*, coalesce(n, 0) AS n, coalesce(m, 0) AS m, med, p25, low, least, latest, eff, CASE WHEN coalesce(n, 0) = 0 THEN 'NONE' WHEN n >= k_display THEN 'SUFFICIENT' ELSE 'SPARSE' END AS tier FROM params p LEFT JOIN g USING (variant_id)),
 view AS (SELECT variant_id, tier, n, m, CASE WHEN tier = 'SUFFICIENT' THEN med END AS benchmark_price, CASE WHEN tier = 'SUFFICIENT' THEN p25 END AS good_deal_line, CASE WHEN tier = 'SUFFICIENT' THEN low END AS period_lowest,
-  CAST(CASE WHEN eff > period_months THEN eff END AS INTEGER) AS expanded_to_months, latest AS latest_price, current_price FROM t)
+  CAST(CASE WHEN eff > period_months THEN eff END AS INTEGER) AS expanded_to_months, latest AS latest_price, current_price, CASE WHEN tier = 'SPARSE' THEN least END AS lowest_case FROM t)
 """
 
 
 @registered(VIEW + """SELECT *, current_price - benchmark_price AS gap_won,
-  CAST(round(CAST((current_price - benchmark_price) * 100 AS DECIMAL(20, 0)) / benchmark_price, 1) AS DECIMAL(12, 1)) AS gap_pct, current_price - period_lowest AS gap_lowest_won FROM view""")
+  CAST(round(CAST((current_price - benchmark_price) * 100 AS DECIMAL(20, 0)) / benchmark_price, 1) AS DECIMAL(12, 1)) AS gap_pct, current_price - period_lowest AS gap_lowest_won,
+  CAST(round(CAST((current_price - period_lowest) * 100 AS DECIMAL(20, 0)) / period_lowest, 1) AS DECIMAL(12, 1)) AS gap_lowest_pct FROM view""")
 def benchmark_view(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark.benchmark(deals(spark, sf), params(spark, sf), now())
 
@@ -71,10 +72,10 @@ def signal_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(f"""{WITH}, o AS (SELECT variant_id, min(first_seen) AS since FROM deals GROUP BY 1),
-s AS (SELECT variant_id, first_seen, first_seen >= {NOW} - INTERVAL 6 MONTH AS inside FROM deals JOIN o USING (variant_id) WHERE {OCCURRED} AND first_seen <= {NOW}),
+s AS (SELECT variant_id, first_seen, since, first_seen >= {NOW} - INTERVAL 6 MONTH AS inside FROM deals JOIN o USING (variant_id) WHERE {OCCURRED} AND first_seen <= {NOW}),
 g AS (SELECT *, CASE WHEN inside THEN datesub('day', lag(first_seen) OVER (PARTITION BY variant_id, inside ORDER BY first_seen), first_seen) END AS gap FROM s)
 SELECT variant_id, count(*) FILTER (inside) AS event_count, count(*) FILTER (inside) >= 5 AS guard_met, CASE WHEN count(*) FILTER (inside) >= 5 THEN CAST(round(quantile_cont(gap, 0.5)) AS BIGINT) END AS interval_median_days,
-  datesub('day', max(first_seen), {NOW}) AS elapsed_days FROM g GROUP BY 1""")
+  datesub('day', max(first_seen), {NOW}) AS elapsed_days, datesub('month', greatest(any_value(since), {NOW} - INTERVAL 6 MONTH), {NOW}) AS observed_months FROM g GROUP BY 1""")
 def cadence_view(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark.cadence(deals(spark, sf), now())
 
@@ -87,26 +88,35 @@ def outlier_flags(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.outliers(deals(spark, sf), params(spark, sf).select("variant_id", "current_price"))
 
 
-@registered(VIEW + f""", k AS (SELECT deal_event_id, outlier_flag, quiet_start AS a, quiet_end AS z,
-  list_filter([CASE WHEN outlier_flag = 'LOWER' THEN 'JACKPOT' END, CASE WHEN price_first <= target_price THEN 'TARGET' END, CASE WHEN price_first <= good_deal_line THEN 'SPECIAL' END,
-    CASE WHEN price_first <= benchmark_price OR (tier = 'NONE' AND price_first <= view.current_price * 0.7) THEN 'GOOD' END], lambda x: x IS NOT NULL) AS kinds
-  FROM deals JOIN view USING (variant_id) JOIN params USING (variant_id) WHERE status <> 'ENDED')
-SELECT deal_event_id, kinds[1] AS kind, array_to_string(kinds[2:], ',') AS also,
+#: What alerts, with purchases of all four states: those of urgent orders are archived.
+BOUGHT = PURCHASES.replace("ELSE 'CLOSED' END AS state", "ELSE CASE WHEN o_orderpriority LIKE '5%' THEN 'ARCHIVED' ELSE 'CLOSED' END END AS state").replace("o_orderkey % (SELECT count(*) FROM part) AS variant_id", "o_orderkey % (SELECT count(*) FROM part) AS variant_id, o_orderdate AS bought_at")
+DECIDED = VIEW + f""", u AS (SELECT variant_id, max(paid_price) FILTER (state = 'OBSERVING') AS paid, bool_and(state = 'ARCHIVED') AS archived FROM ({BOUGHT}) GROUP BY 1),
+k AS (SELECT deal_event_id, deals.variant_id, outlier_flag, quiet_start AS a, quiet_end AS z, demand_axis_value,
+  CASE WHEN n_sites >= 2 THEN n_sites || '개 사이트 검증' ELSE '미검증(단독)' END || CASE tier WHEN 'SPARSE' THEN ' · 표본 ' || n || '건 · 참고용' WHEN 'NONE' THEN ' · 기준 미확립 · 참고용' ELSE '' END AS labels,
+  list_filter([CASE WHEN archived IS NOT true AND outlier_flag = 'LOWER' THEN 'JACKPOT' END, CASE WHEN price_first <= good_deal_line THEN 'SPECIAL' END, CASE WHEN archived IS NOT true AND price_first <= target_price THEN 'TARGET' END,
+    CASE WHEN price_first <= benchmark_price OR (tier = 'SPARSE' AND price_first <= lowest_case) OR (tier = 'NONE' AND price_first <= view.current_price * 0.7) THEN 'GOOD' END, CASE WHEN price_first < paid THEN 'PAID_PRICE' END], lambda x: x IS NOT NULL) AS kinds
+  FROM deals JOIN view USING (variant_id) JOIN params USING (variant_id) LEFT JOIN u USING (variant_id) WHERE status <> 'ENDED'),
+decided AS (SELECT deal_event_id, variant_id, demand_axis_value, kinds[1] AS kind, array_to_string(kinds[2:], ',') AS also, labels,
   CASE WHEN kinds[1] <> 'JACKPOT' AND coalesce(a <> z AND CASE WHEN a < z THEN 8 >= a AND 8 < z ELSE 8 >= a OR 8 < z END, false) THEN 'HELD' ELSE 'SENT' END AS outcome
-FROM k WHERE len(kinds) > 0""")
+FROM k WHERE len(kinds) > 0)"""
+
+
+@registered(DECIDED + "SELECT * EXCLUDE (demand_axis_value) FROM decided")
 def alert_decisions(spark: SparkSession, sf: str) -> DataFrame:
     d, p = deals(spark, sf), params(spark, sf)
-    return alerts.alert_decisions(d, benchmark.benchmark(d, p, now()), p.select("variant_id", "target_price", "quiet_start", "quiet_end"), F.lit(8))
+    return alerts.alert_decisions(d, benchmark.benchmark(d, p, now()), p.select("variant_id", "target_price", "quiet_start", "quiet_end"), F.lit(8), relation(spark, sf, BOUGHT))
 
 
 @registered(f"""{WITH}, o AS (SELECT variant_id, min(first_seen) AS since FROM deals GROUP BY 1),
 g AS (SELECT purchase_id, count(*) AS n, count(*) FILTER (price_first < paid_price) AS c, min(price_min) AS low FROM purchases p JOIN deals d
   ON p.variant_id = d.variant_id AND {PRICING} AND first_seen BETWEEN purchased_at AND purchased_at + to_days(CAST(observation_days AS INTEGER)) GROUP BY 1),
-r AS (SELECT p.*, coalesce(purchased_at < since, true) AS un, g.n, g.c, g.low FROM purchases p LEFT JOIN o USING (variant_id) LEFT JOIN g USING (purchase_id))
+r AS (SELECT p.*, coalesce(purchased_at < since, false) AS un, g.n, g.c, g.low FROM purchases p LEFT JOIN o USING (variant_id) LEFT JOIN g USING (purchase_id))
 SELECT purchase_id, un AS unobserved, CASE WHEN un THEN 0 ELSE coalesce(n, 0) END AS n, CASE WHEN un THEN 0 ELSE coalesce(c, 0) END AS cheaper_count,
-  CAST(CASE WHEN NOT un AND n > 0 THEN floor(c * 1000 / n + 0.5) / 1000 END AS DECIMAL(4, 3)) AS percentile, CASE WHEN NOT un THEN low END AS lowest_opportunity FROM r""")
+  CAST(CASE WHEN NOT un AND n > 0 THEN floor(c * 1000 / n + 0.5) / 1000 END AS DECIMAL(4, 3)) AS percentile, CASE WHEN NOT un THEN low END AS lowest_opportunity,
+  CASE WHEN purchase_id % 3 = 0 THEN paid_price - 20000 END AS paid_gap FROM r""")
 def report_cards(spark: SparkSession, sf: str) -> DataFrame:
-    return purchases.report_cards(relation(spark, sf, PURCHASES), deals(spark, sf))
+    frozen = F.when(F.col("purchase_id") % 3 == 0, 20_000).cast("long")
+    return purchases.report_cards(relation(spark, sf, PURCHASES).withColumn("snap_benchmark_price", frozen), deals(spark, sf))
 
 
 @registered(f"""{WITH} SELECT purchase_id, CASE WHEN state = 'OBSERVING' AND {NOW} >= purchased_at + to_days(CAST(observation_days AS INTEGER)) THEN 'REPORT_PENDING' ELSE state END AS state FROM purchases""")
@@ -141,13 +151,12 @@ members(dealsets.signal_set, ON)
 SNAPS = f"WITH o AS ({OBSERVATIONS}), s AS (SELECT used_search_id, batch, listing_id, arg_max(price, event_id) AS price FROM o GROUP BY 1, 2, 3)"
 
 
-@registered(SNAPS + """, a AS (SELECT * FROM s WHERE batch = DATE '2024-01-10'), b AS (SELECT * FROM s WHERE batch = DATE '2024-01-11')
-SELECT listing_id, CASE WHEN a.batch IS NULL THEN 'APPEARED' WHEN b.batch IS NULL THEN 'DISAPPEARED' ELSE 'PRICE_CHANGED' END AS kind, a.price AS prev_price, b.price AS price
-FROM a FULL JOIN b USING (listing_id) WHERE a.batch IS NULL OR b.batch IS NULL OR a.price IS DISTINCT FROM b.price""")
+@registered(SNAPS + """, c AS (SELECT used_search_id, batch, lead(batch) OVER (PARTITION BY used_search_id ORDER BY batch) AS nb FROM (SELECT DISTINCT used_search_id, batch FROM s)),
+a AS (SELECT s.*, nb FROM s JOIN c USING (used_search_id, batch) WHERE nb IS NOT NULL), b AS (SELECT * FROM s WHERE (used_search_id, batch) IN (SELECT used_search_id, nb FROM c))
+SELECT used_search_id, coalesce(b.batch, a.nb) AS batch, listing_id, CASE WHEN a.batch IS NULL THEN 'APPEARED' WHEN b.batch IS NULL THEN 'DISAPPEARED' ELSE 'PRICE_CHANGED' END AS kind, a.price AS prev_price, b.price AS price
+FROM a FULL JOIN b ON a.used_search_id = b.used_search_id AND a.listing_id = b.listing_id AND a.nb = b.batch WHERE a.batch IS NULL OR b.batch IS NULL OR a.price IS DISTINCT FROM b.price""".replace("SELECT used_search_id, coalesce", "SELECT coalesce(b.used_search_id, a.used_search_id) AS used_search_id, coalesce").replace("AS batch, listing_id,", "AS batch, coalesce(a.listing_id, b.listing_id) AS listing_id,"))
 def listing_diff(spark: SparkSession, sf: str) -> DataFrame:
-    s = used.snapshots(relation(spark, sf, OBSERVATIONS))
-    day = lambda d: s.filter(F.col("batch") == F.lit(d).cast("date")).select("listing_id", "price")
-    return used.listing_diff(day("2024-01-10"), day("2024-01-11"))
+    return used.batch_diffs(relation(spark, sf, OBSERVATIONS))
 
 
 @registered(SNAPS + """, c AS (SELECT used_search_id, batch, row_number() OVER w AS i, lead(batch) OVER w AS nb FROM (SELECT DISTINCT used_search_id, batch FROM s) WINDOW w AS (PARTITION BY used_search_id ORDER BY batch)),

@@ -77,9 +77,15 @@ def used_matches(spark: SparkSession, sf: str) -> DataFrame:
     return records.used_match(listings, searches)
 
 
-@registered(f"""{WITH}, g AS (SELECT purchase_id, count(*) AS n, count(*) FILTER (n_sites >= 2) AS m, CAST(round(quantile_cont(price_first, 0.5)) AS BIGINT) AS med FROM purchases p JOIN deals d
-  ON p.variant_id = d.variant_id AND {PRICING} AND first_seen BETWEEN purchased_at - INTERVAL 6 MONTH AND purchased_at GROUP BY 1)
-SELECT purchase_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, CASE WHEN n >= 5 THEN med END AS benchmark_price, CASE WHEN n >= 5 THEN 'SUFFICIENT' WHEN n > 0 THEN 'SPARSE' ELSE 'NONE' END AS tier FROM purchases LEFT JOIN g USING (purchase_id)""")
+#: Every width from 6 to 12 months is counted by itself.
+@registered(f"""{WITH}, s AS (SELECT * FROM deals WHERE {PRICING}), o AS (SELECT variant_id, min(first_seen) AS since FROM deals GROUP BY 1),
+w AS (SELECT purchase_id, any_value(purchased_at) AS at, any_value(p.variant_id) AS v, m.m, count(*) AS held FROM purchases p CROSS JOIN range(6, 13) m(m) JOIN s ON s.variant_id = p.variant_id AND first_seen BETWEEN purchased_at - to_months(CAST(m.m AS INTEGER)) AND purchased_at GROUP BY purchase_id, m.m),
+e AS (SELECT purchase_id, min(m) AS eff FROM (SELECT *, max(held) OVER (PARTITION BY purchase_id) AS most FROM w) WHERE held >= 7 OR held = most GROUP BY 1),
+g AS (SELECT purchase_id, count(*) AS n, count(*) FILTER (n_sites >= 2) AS m, CAST(round(quantile_cont(price_first, 0.5)) AS BIGINT) AS med, min(price_first) AS least FROM purchases p JOIN e USING (purchase_id) JOIN s
+  ON p.variant_id = s.variant_id AND first_seen BETWEEN purchased_at - to_months(CAST(eff AS INTEGER)) AND purchased_at GROUP BY 1),
+r AS (SELECT purchase_id, paid_price, coalesce(purchased_at < since, false) AS un, coalesce(n, 0) AS n, coalesce(m, 0) AS m, med, least FROM purchases LEFT JOIN g USING (purchase_id) LEFT JOIN o USING (variant_id))
+SELECT purchase_id, un AS unobserved, CASE WHEN un THEN 0 ELSE n END AS n, CASE WHEN un THEN 0 ELSE m END AS m, CASE WHEN NOT un AND n >= 5 THEN med END AS benchmark_price,
+  CASE WHEN un THEN NULL WHEN n >= 5 THEN 'SUFFICIENT' WHEN n > 0 THEN 'SPARSE' ELSE 'NONE' END AS tier, CASE WHEN NOT un AND n BETWEEN 1 AND 4 THEN least END AS sparse_lowest, CASE WHEN NOT un AND n >= 5 THEN paid_price - med END AS paid_gap, 'P=6mo,K=5' AS basis FROM r""")
 def asof_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return records.asof_snapshots(relation(spark, sf, PURCHASES), deals(spark, sf))
 
