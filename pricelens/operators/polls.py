@@ -52,6 +52,37 @@ def drift(polls: DataFrame) -> DataFrame:
     return df.filter("k = 1").select("site", "event_id", "reason")
 
 
+def health_alarms(checks: DataFrame, threshold: int = 3) -> DataFrame:
+    """component, check_id of the failures (component, check_id, seen_at, ok) that make a streak of just threshold: a longer one alarms once."""
+    order = Window.partitionBy("component").orderBy("seen_at", "check_id")
+    df = checks.withColumn("run", F.count_if("ok").over(order))
+    n = F.row_number().over(Window.partitionBy("component", "run", "ok").orderBy("seen_at", "check_id"))
+    return df.withColumn("n", n).filter(~F.col("ok") & (F.col("n") == threshold)).select("component", "check_id")
+
+
+def health(checks: DataFrame) -> DataFrame:
+    """status: UP where every component's last check is, else DOWN; without any component an error."""
+    last = checks.groupBy("component").agg(F.max_by("ok", F.struct("seen_at", "check_id")).alias("ok"))
+    up = F.when(F.bool_and("ok"), "UP").otherwise("DOWN")
+    return last.agg(F.when(F.count("*") == 0, F.raise_error(F.lit("no component")).cast("string")).otherwise(up).alias("status"))
+
+
+def tick_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """name, delta of counters (name, value) that a tick changed; one that is missing counts as 0."""
+    df = before.select("name", F.col("value").alias("was")).join(after.select("name", F.col("value").alias("is")), "name", "full")
+    delta = F.coalesce("is", F.lit(0)) - F.coalesce("was", F.lit(0))
+    return df.select("name", delta.alias("delta")).filter("delta <> 0")
+
+
+def cycle_report(cycles: DataFrame, sites: DataFrame) -> DataFrame:
+    """site, deals, no_price, conditional, shipping_unknown, sold_out of every polled site, zeros for those without a deal; cycles holds deals (site, price, conditions, status)."""
+    tagged = lambda t: F.array_contains("conditions", t)
+    got = cycles.groupBy("site").agg(
+        F.count("*").alias("deals"), F.count_if(F.col("price").isNull()).alias("no_price"), F.count_if(F.size("conditions") > 0).alias("conditional"), F.count_if(tagged("배송비미상")).alias("shipping_unknown"), F.count_if(F.col("status") == "SOLD_OUT").alias("sold_out"),
+    )
+    return sites.select("site").distinct().join(got, "site", "left").select("site", *(F.coalesce(c, F.lit(0)).alias(c) for c in got.columns[1:]))
+
+
 def cycle_counters(polls: DataFrame) -> DataFrame:
     """site, polls, deals, failures, blocked, priceless."""
     return polls.groupBy("site").agg(F.count("*").alias("polls"), F.sum("deal_count").alias("deals"), F.count_if(F.col("outcome") == "TRANSIENT").alias("failures"), F.count_if(F.col("outcome") == "BLOCKED").alias("blocked"), F.sum(F.col("deal_count") - F.col("priced_count")).alias("priceless"))

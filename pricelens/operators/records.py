@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.functions.numbers import months_before, percentile_won
+from pricelens.functions.rules import allowed_site
 
 from .benchmark import EXPAND_LIMIT, chosen_width, counts_by_width
 from .dealsets import occurrence_set, pricing_set
@@ -46,6 +47,31 @@ def refresh_prices(deals: DataFrame, sources: DataFrame) -> DataFrame:
     return df.filter(changed).select("deal_id", *(v.alias(k) for k, v in new.items()))
 
 
+def preserved_conditions(deals: DataFrame, sources: DataFrame) -> DataFrame:
+    """deal_id, conditions of deals (deal_id, conditions) whose posts' conditions (deal_id, conditions), each once and sorted, are some and not what the deal has."""
+    got = sources.select("deal_id", F.explode("conditions").alias("c")).groupBy("deal_id").agg(F.array_sort(F.collect_set("c")).alias("new"))
+    return deals.join(got, "deal_id").filter(~F.col("new").eqNullSafe(F.col("conditions"))).select("deal_id", F.col("new").alias("conditions"))
+
+
+def hydrated(deals: DataFrame, sources: DataFrame) -> DataFrame:
+    """deals with sites (sorted) and the site and address of the first source by id; sources (deal_id, id, site, url)."""
+    got = sources.groupBy("deal_id").agg(F.array_sort(F.collect_set("site")).alias("sites"), F.min_by(F.struct("site", "url"), "id").alias("first"))
+    return deals.join(got, "deal_id", "left").withColumn("site", F.col("first.site")).withColumn("source_url", F.col("first.url")).drop("first")
+
+
+def pinned_increases(deals: DataFrame, refreshed: DataFrame, pins: DataFrame) -> DataFrame:
+    """deal_id, was, now of deals with an active pin whose refreshed last price is above the stored one."""
+    active = pins.filter(F.col("state") == "ACTIVE").select("deal_id").distinct()
+    df = deals.select("deal_id", F.col("price_last").alias("was")).join(refreshed.select("deal_id", F.col("price_last").alias("now")), "deal_id").filter("now > was")
+    return df.join(active, "deal_id", "left_semi")
+
+
+def ingest_tally(posts: DataFrame) -> DataFrame:
+    """result, n: what became of posts (site, price, tier): wrong site first, then no price, then the tier of the match."""
+    result = F.when(~allowed_site(F.col("site")), "SKIPPED_SITE").when(F.col("price").isNull(), "SKIPPED_NO_PRICE").otherwise(F.col("tier"))
+    return posts.groupBy(result.alias("result")).agg(F.count("*").alias("n"))
+
+
 def ended_deals(deals: DataFrame, sources: DataFrame) -> DataFrame:
     """deal_id, last_seen of deals on whose every linked post is over."""
     over = F.col("status").isin("SOLD_OUT", "DELETED")
