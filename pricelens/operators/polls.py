@@ -10,13 +10,12 @@ WINDOW, STREAK, LEAST_RATE = 10, 3, 0.6
 
 def cursors(polls: DataFrame, interval_s: int = 60, base_s: int = 60, cap_s: int = 1800) -> DataFrame:
     """site, last_ok, failures, stopped, next_s: each site's cursor after its log. A block stops a site for good, so later polls don't count; else the wait is the interval after a success and doubles with failures since, up to the cap."""
-    order = Window.partitionBy("site").orderBy("seen_at", "event_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    blocked = F.max(F.col("outcome") == "BLOCKED")
-    live = polls.withColumn("over", F.coalesce(blocked.over(before), F.lit(False))).filter(~F.col("over"))
-    ok = F.struct("seen_at", "event_id")
-    last = live.groupBy("site").agg(F.max(F.when(F.col("outcome") == "OK", ok)).alias("ok"), F.max(F.col("outcome") == "BLOCKED").alias("stopped"))
-    after = F.col("ok").isNull() | (ok > F.col("ok"))
+    key = F.struct("seen_at", "event_id")
+    # minima and maxima of a site's log, whatever its length; a row for each site comes back by join
+    blocked = polls.filter(F.col("outcome") == "BLOCKED").groupBy("site").agg(F.min(key).alias("blocked"))
+    live = polls.join(blocked, "site", "left").filter(F.col("blocked").isNull() | (key <= F.col("blocked")))
+    last = live.groupBy("site").agg(F.max(F.when(F.col("outcome") == "OK", key)).alias("ok"), F.bool_or(F.col("outcome") == "BLOCKED").alias("stopped"))
+    after = F.col("ok").isNull() | (key > F.col("ok"))
     failures = live.join(last, "site").groupBy("site").agg(F.first("ok.seen_at").alias("last_ok"), F.first("stopped").alias("stopped"), F.count_if((F.col("outcome") == "TRANSIENT") & after).alias("failures"))
     wait = F.when(F.col("failures") == 0, interval_s).otherwise(F.least(F.lit(cap_s), base_s * F.pow(F.lit(2.0), F.col("failures") - 1)))
     return failures.select("site", "last_ok", "failures", "stopped", F.when(~F.col("stopped"), wait.cast("long")).alias("next_s"))
