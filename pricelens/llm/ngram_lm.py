@@ -4,9 +4,10 @@ Training leaves tables of sorted hash arrays in the shared folder, each cut
 into shards by hash, which workers map into memory to score texts:
 
     words      hash of every training word -> its count; a word's id is its rank
-    grams-3    hash of (a, b, c) -> how often c follows a b
+    grams-3    hash of (a, b, c) -> how often c follows a b, where more does
     grams-2    hash of (b, c) -> how many words precede b c (how often, at a text's start)
-    whole-k    hash of the words before -> their n-grams' counts, in all and seen once, twice, more
+    single-k   hash of the words before that only one word follows, and once -> that word
+    whole-k    hash of other words before -> their n-grams' counts, in all and seen once, twice, more
     spread-k   the same of words so frequent that their n-grams are in many shards
     ones       word -> how many words precede it
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, query, saved, shared_dir, table
+from .common import crc_mod, query, shared_dir, table
 from .words import Hashes, chunks, hash63
 
 #: Tokens that a shard holds on average, and that a worker takes together.
@@ -38,7 +39,9 @@ ODDS = (U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53))
 #: No word holds a space.
 END = hash63(b" end")
 BLOCK = "kind int, shard long, data binary"
-OWN, LOWER, SPREAD = 0, 1, 2
+OWN, LOWER, SPREAD, SPREAD_LOWER = 0, 1, 2, 3
+#: Words, the most frequent of all or nearly, that have short codes in blocks.
+FREQUENT = 1 << 16
 CONTEXT = ("total", "n1", "n2", "n3")
 
 
@@ -96,30 +99,34 @@ def unpacked(data: bytes, columns: int) -> np.ndarray:
 
 def blocks(kind: int, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """BLOCK rows: the columns' rows by shard."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
     shard, columns = shard[order], [c[order] for c in columns]
     cuts = [*np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])[: len(shard)]).tolist(), len(shard)]
     data = [packed(*(c[a:b] for c in columns)) for a, b in zip(cuts, cuts[1:])]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.int32()), pa.array(shard[cuts[:-1]].astype(np.int64)), pa.array(data, pa.binary())], names=["kind", "shard", "data"])
 
 
-def own(**numbers: int) -> pa.RecordBatch:
+def own(**numbers) -> pa.RecordBatch:
     """A BLOCK row of a shard's numbers for the model."""
-    return pa.RecordBatch.from_pydict({"kind": pa.array([OWN], pa.int32()), "shard": pa.array([0], pa.int64()), "data": pa.array([json.dumps({k: int(v) for k, v in numbers.items()}).encode()], pa.binary())})
+    data = json.dumps({k: np.asarray(v).tolist() for k, v in numbers.items()}).encode()
+    return pa.RecordBatch.from_pydict({"kind": pa.array([OWN], pa.int32()), "shard": pa.array([0], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
-def by_shard(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, its columns) from blocks sorted by shard. A shard is a bounded part of the model."""
-    shard, parts = None, []
+def by_shard(batches: Iterator[pa.RecordBatch], columns: dict[int, int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(kind, shard, its columns) from blocks sorted by kind and shard, where columns has the number of columns of a kind; a shard is a bounded part of the model. Blocks of other kinds come as they are, as bytes, under shard 0."""
+    before, parts = None, []
     for batch in batches:
-        for s, data in zip(batch.column("shard").to_pylist(), batch.column("data")):
-            if parts and s != shard:
-                yield shard, np.concatenate(parts, axis=1)
+        for kind, s, data in zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), batch.column("data")):
+            if parts and (kind, s) != before:
+                yield *before, np.concatenate(parts, axis=1)
                 parts = []
-            shard = s
-            parts.append(unpacked(data.as_py(), columns))
+            if kind not in columns:
+                yield kind, 0, data.as_py()
+                continue
+            before = kind, s
+            parts.append(unpacked(data.as_py(), columns[kind]))
     if parts:
-        yield shard, np.concatenate(parts, axis=1)
+        yield *before, np.concatenate(parts, axis=1)
 
 
 def local(uri: str) -> tuple[object, str]:
@@ -182,8 +189,10 @@ def small(**columns: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def large(have: dict[str, np.ndarray], k: str, i: np.ndarray) -> np.ndarray:
-    """Rows i of column k as small() took it."""
+    """Rows i of column k, as small() took it or plain."""
     out = have[k][i].astype(np.int64)
+    if f"{k}-at" not in have:
+        return out
     big = np.flatnonzero(out == 255)
     out[big] = have[f"{k}-big"][np.searchsorted(have[f"{k}-at"], i[big])]
     return out
@@ -199,6 +208,7 @@ class Model:
         #: Words seen more often are spread: as the only words of a context they would fill a shard.
         self.hot = max(64, shard_tokens // 8)
         self.discounts = {k: (0.0, 0.5, 1.0, 1.5) for k in (1, 2, 3)}
+        self.frequent = np.empty(0, np.int64)  # ids
         self.pairs, self.rest = 0, 1.0  # distinct pairs; lower-order probability of a word never seen
 
     def offsets(self) -> np.ndarray:
@@ -212,10 +222,9 @@ class Model:
     def begin(self) -> int:
         return self.types + 1
 
-    def shard(self, *context: np.ndarray, word: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """The shard of each n-gram: that of its context, or, where spread, of itself."""
-        key = mix(*context)
-        key = np.where(spread, mix(key, word), key)
+    def shard(self, context: np.ndarray, word: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """The shard of each n-gram, from its context's hash and its word: that of its context, or, where spread, of itself."""
+        key = np.where(spread, mix(context, word), context)
         return (key >> U(64 - self.bits)).astype(np.int64)
 
 
@@ -224,6 +233,7 @@ class Lookup:
 
     def __init__(self, model: Model):
         self.m, self.at = model, model.offsets()
+        self.by_id = np.argsort(model.frequent, kind="stable")
         self.tables: dict[str, dict[str, np.ndarray]] = {}
 
     def table(self, name: str) -> dict[str, np.ndarray]:
@@ -233,31 +243,50 @@ class Lookup:
 
     def each(self, name: str, shard: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
         """(shard, its part of the table, the rows that ask it) of the shards that occur and that the table has."""
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if self.m.bits < 16 else shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if have := self.table(f"{name}-{s}"):
+            have = self.table(f"{name}-{s}")
+            if have and len(next(iter(have.values()))):
                 yield s, have, order[cuts[s] : cuts[s + 1]]
 
     def find(self, name: str, shard: np.ndarray, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
         """The columns of the table's rows with these keys; 0 where it has none."""
         out = [np.zeros(len(keys), np.int64) for _ in columns]
-        for _, have, rows in self.each(name, shard):
+        # in the order of keys: a search for sorted keys passes over the array once
+        order = np.argsort(keys)
+        for _, have, rows in self.each(name, shard[order]):
+            rows = order[rows]
             i = np.minimum(np.searchsorted(have["key"], keys[rows]), len(have["key"]) - 1)
             hit = have["key"][i] == keys[rows]
             for x, c in zip(out, columns):
                 x[rows[hit]] = large(have, c, i[hit])
         return out
 
-    def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """id and count of each token; unseen and 0 for words that are none of training's."""
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """Short numbers for frequent words, FREQUENT more than its id for each other."""
+        out = ids + FREQUENT
+        if len(self.by_id):
+            have = self.m.frequent[self.by_id]
+            i = np.minimum(np.searchsorted(have, ids), len(have) - 1)
+            out = np.where(have[i] == ids, self.by_id[i], out)
+        return out
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        out = codes - FREQUENT
+        short = out < 0
+        out[short] = self.m.frequent[codes[short]]
+        return out
+
+    def words(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids and counts of the words that occur, unseen and 0 for those that are none of training's, and each token's place among them."""
         keys, back = np.unique(tokens, return_inverse=True)
         ids, counts = np.full(len(keys), self.m.unseen, np.int64), np.zeros(len(keys), np.int64)
         for s, have, rows in self.each("words", keys >> (63 - self.m.bits)):
             i = np.minimum(np.searchsorted(have["key"], keys[rows]), len(have["key"]) - 1)
             hit = have["key"][i] == keys[rows]
             ids[rows[hit]], counts[rows[hit]] = self.at[s] + i[hit], large(have, "n", i[hit])
-        return ids[back], counts[back]
+        return ids, counts, back
 
     def of_ids(self, name: str, column: str, ids: np.ndarray) -> np.ndarray:
         """A column that goes by word, of words with these ids; 0 of others."""
@@ -268,46 +297,64 @@ class Lookup:
         return out
 
     def hot(self, ids: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(ids, return_inverse=True)
-        n = np.where(keys == self.m.begin, self.m.texts, self.of_ids("words", "n", keys))
-        return (n > self.m.hot)[back]
+        n = np.where(ids == self.m.begin, self.m.texts, self.of_ids("words", "n", ids))
+        return n > self.m.hot
 
     def level(self, k: int, context: tuple[np.ndarray, ...], word: np.ndarray, spread: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Probabilities of n-grams of order k, interpolated with the lower order's."""
         key = mix(*context)
-        shard = self.m.shard(*context, word=word, spread=spread)
-        (n,) = self.find(f"grams-{k}", shard, mix(key, word), "n")
+        (n,) = self.find(f"grams-{k}", self.m.shard(key, word, spread), mix(key, word), "n")
         once, back = np.unique(key, return_inverse=True)
         at = (once >> U(64 - self.m.bits)).astype(np.int64)
-        whole, spread = (self.find(f"{kind}-{k}", at, once, *CONTEXT) for kind in ("whole", "spread"))  # each context is in one of them
-        total, n1, n2, n3 = (x[back] + y[back] for x, y in zip(whole, spread))
+        single, whole, spread = (self.find(f"{kind}-{k}", at, once, *names) for kind, names in (("single", ("word",)), ("whole", CONTEXT), ("spread", CONTEXT)))
+        total, n1, n2, n3 = (x[back] + y[back] for x, y in zip(whole, spread))  # a context is in one of the tables
+        only = single[0][back]
+        n, total, n1 = n + ((only > 0) & (only - 1 == word)), total + (only > 0), n1 + (only > 0)
         d = np.array(self.m.discounts[k])
         backoff = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
         return np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + backoff * lower
 
-    def tokens(self, batches: Iterator[pa.RecordBatch], known: Hashes) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first row, its batch, ids, counts, tokens of each text) of runs of texts."""
+    def texts(self, batches: Iterator[pa.RecordBatch], known: Hashes) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """(first row, its batch, hashes of tokens, tokens of each text) of runs of texts."""
         for batch in batches:
             for first, rows in chunks(batch.column("raw")):
-                tokens, n = hashed(rows, known)
-                yield first, batch, *self.words(tokens), n
-
-    def score(self, ids: np.ndarray, counts: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+                yield first, batch, *hashed(rows, known)
+
+    def grams(self, tokens: np.ndarray, n: np.ndarray, coded: bool = False) -> tuple:
+        """ids and counts of the words that occur, the start among them and, if coded, in the order of their codes; a key of each token's (a, b, c), as places among these words; and what makes places of keys."""
+        ids, counts, back = self.words(tokens)
+        ids, counts = np.concatenate([[self.m.begin], ids]), np.concatenate([[self.m.texts], counts])
+        c, begin = back + 1, 0
+        if coded:
+            order = np.argsort(self.codes(ids))
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            ids, counts, c, begin = ids[order], counts[order], place[c], int(place[0])
+        b = previous(c, n, begin)
+        a = previous(b, n, begin)
+        width = max(1, int(len(ids)).bit_length())
+        mask = (1 << width) - 1
+        if 3 * width < 64:
+            return ids, counts, (((a << width) | b) << width) | c, lambda keys: (keys >> 2 * width, (keys >> width) & mask, keys & mask)
+        pair, first = np.unique((a << width) | b, return_inverse=True)  # a text of over two million different words
+        return ids, counts, (first << width) | c, lambda keys: (pair[keys >> width] >> width, pair[keys >> width] & mask, keys & mask)
+
+    def score(self, tokens: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
         m = self.m
-        b = previous(ids, n, m.begin)
-        a = previous(b, n, m.begin)
-        _, first, back = np.unique(mix(a, b, ids), return_index=True, return_inverse=True)
-        x, y, z = a[first], b[first], ids[first]
-        hot = self.hot(y)
-        ones = self.of_ids("ones", "n", z)
+        ids, counts, keys, places = self.grams(tokens, n)
+        distinct, at = np.unique(keys, return_inverse=True)
+        a, b, c = places(distinct)
+        hot = counts > m.hot
+        word = ids[c]
+        ones = self.of_ids("ones", "n", ids)
         d = np.array(m.discounts[1])
-        p = np.maximum(ones - d[np.minimum(ones, 3)], 0) / max(m.pairs, 1) + m.rest
-        p = self.level(2, (y,), z, hot, p)
-        p = self.level(3, (x, y), z, hot & self.hot(x), p)
-        starts = np.cumsum(n) - n
-        base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-        per_text = lambda v: np.add.reduceat(v, starts)
-        return {"n_tokens": n, "n_known": per_text((counts > 0).astype(np.int64)), "base_score": per_text(base), "score": per_text(np.log10(p)[back])}
+        p = (np.maximum(ones - d[np.minimum(ones, 3)], 0) / max(m.pairs, 1) + m.rest)[c]
+        p = self.level(2, (ids[b],), word, hot[b], p)
+        p = self.level(3, (ids[a], ids[b]), word, hot[a] & hot[b], p)
+        starts, n_of = np.cumsum(n) - n, counts[c]
+        base = np.log10((n_of + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
+        per_text = lambda v: np.add.reduceat(v[at], starts)
+        return {"n_tokens": n, "n_known": per_text((n_of > 0).astype(np.int64)), "base_score": per_text(base), "score": per_text(np.log10(p))}
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -342,16 +389,13 @@ def train(texts: DataFrame, uri: str | None = None, shard_tokens: int = TOKENS_A
     model = Model(uri or shared_dir(spark, "lm"), max(1, math.ceil(math.log2(max(1, size / 6 / shard_tokens)))), shard_tokens)
     bits, uri, shards = model.bits, model.uri, model.shards
 
-    def gathered(rows: DataFrame, kind: int) -> DataFrame:
-        """The blocks of one kind, a shard's in one task, in a row."""
-        return rows.filter(F.col("kind") == kind).repartition(shards, "shard").sortWithinPartitions("shard")
+    def gathered(rows: DataFrame) -> DataFrame:
+        """The blocks of a shard in one task, in a row."""
+        return rows.repartition(shards, "shard").sortWithinPartitions("kind", "shard")
 
     def numbers(told: DataFrame) -> list[dict]:
         return [json.loads(bytes(r.data)) for r in told.filter(F.col("kind") == OWN).collect()]
 
-    def total(rows: list[dict], *names: str) -> list[int]:
-        return [sum(r.get(x, 0) for r in rows) for x in names]
-
     def count_words(batches):
         known, parts, held = Hashes(), [], 0
         for batch in batches:
@@ -359,109 +403,130 @@ def train(texts: DataFrame, uri: str | None = None, shard_tokens: int = TOKENS_A
                 parts.append(np.unique(hashed(rows, known)[0], return_counts=True))
                 held += len(parts[-1][0])
                 if held >= RUN:
-                    yield from flush(parts)
+                    yield words_block(parts)
                     parts, held = [], 0
         if parts:
-            yield from flush(parts)
+            yield words_block(parts)
 
-    def flush(parts):
+    def words_block(parts):
         h, _, n = summed(np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts]))
-        yield blocks(LOWER, h >> (63 - bits), h, n)
+        return blocks(LOWER, h >> (63 - bits), h, n)
 
     def write_words(batches):
-        for s, (h, n) in by_shard(batches, 2):
+        for _, s, (h, n) in by_shard(batches, {LOWER: 2}):
             h, _, n = summed(h, n)
             put(f"{uri}/words-{s}", key=h, **small(n=n))
-            yield own(shard=s, rows=len(h), total=n.sum(), ends=n[h == END].sum())
+            most = np.argsort(-n, kind="stable")[: -(-FREQUENT // shards)]
+            yield own(shard=s, rows=len(h), total=n.sum(), ends=n[h == END].sum(), most=most, often=n[most])
 
     raw = texts.select("raw")
-    for r in numbers(gathered(raw.mapInArrow(count_words, BLOCK), LOWER).mapInArrow(write_words, BLOCK)):
+    words = numbers(gathered(raw.mapInArrow(count_words, BLOCK)).mapInArrow(write_words, BLOCK))
+    for r in words:
         model.words[r["shard"]] = r["rows"]
         model.tokens, model.types, model.texts = model.tokens + r["total"], model.types + r["rows"], model.texts + r["ends"]
+    at = model.offsets()
+    most = sorted((-n, int(at[r["shard"]]) + i) for r in words for i, n in zip(r["most"], r["often"]))
+    model.frequent = np.array([i for _, i in most[:FREQUENT]], np.int64)
 
     def count_grams(batches):
         known, look = Hashes(), Lookup(model)
         held, size = [], 0
-        for _, _, ids, _, n in look.tokens(batches, known):
-            held.append((ids, n))
-            size += len(ids)
+        for _, _, tokens, n in look.texts(batches, known):
+            held.append((tokens, n))
+            size += len(tokens)
             if size >= RUN:
-                yield grams(look, held)
+                yield grams_block(look, held)
                 held, size = [], 0
         if held:
-            yield grams(look, held)
-
-    def grams(look: Lookup, held) -> pa.RecordBatch:
-        c, n = (np.concatenate(x) for x in zip(*held))
-        b = previous(c, n, model.begin)
-        a = previous(b, n, model.begin)
-        _, first, count = np.unique(mix(a, b, c), return_index=True, return_counts=True)
-        a, b, c = a[first], b[first], c[first]
-        order = np.lexsort((b, a))  # rows that are alike pack well
-        a, b, c, count = a[order], b[order], c[order], count[order]
-        return blocks(LOWER, model.shard(a, b, word=c, spread=look.hot(a) & look.hot(b)), a, b, c, count)
-
-    def write_level(k: int, s: int, look: Lookup, context: tuple[np.ndarray, ...], word: np.ndarray, n: np.ndarray, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Writes a shard's n-grams and the contexts that it has whole; gives numbers of the others."""
-        key = mix(*context)
-        gram = mix(key, word)
+            yield grams_block(look, held)
+
+    def grams_block(look: Lookup, held) -> pa.RecordBatch:
+        ids, counts, keys, places = look.grams(*(np.concatenate(x) for x in zip(*held)), coded=True)
+        distinct, n = np.unique(keys, return_counts=True)
+        a, b, c = places(distinct)
+        hot, code = counts > model.hot, look.codes(ids)
+        return blocks(LOWER, model.shard(mix(ids[a], ids[b]), ids[c], hot[a] & hot[b]), code[a], code[b], code[c], n)
+
+    def write_level(k: int, s: int, context: np.ndarray, word: np.ndarray, n: np.ndarray, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Writes a shard's n-grams, with their contexts where they are whole here; gives numbers of the others."""
+        yield own(**{f"{x}-{k}": v for x, v in classes(n).items()})
+        order = np.argsort(context, kind="stable")
+        context, word, n, spread = context[order], word[order], n[order], spread[order]
+        edge = np.concatenate([[True], context[1:] != context[:-1], [True]])
+        single = edge[1:] & edge[:-1] & (n == 1) & ~spread
+        put(f"{uri}/single-{k}-{s}", key=context[single], word=word[single].astype(np.uint32 if model.types < 1 << 31 else np.int64) + 1)
+        context, word, n, spread = context[~single], word[~single], n[~single], spread[~single]
+        key, *told = contexts(context[~spread], n[~spread])
+        put(f"{uri}/whole-{k}-{s}", key=key, **small(**dict(zip(CONTEXT, told))))
+        gram = mix(context, word)
         order = np.argsort(gram)
         put(f"{uri}/grams-{k}-{s}", key=gram[order], **small(n=n[order]))
-        yield own(**classes(n))
-        whole, *told = contexts(key[~spread], n[~spread])
-        put(f"{uri}/whole-{k}-{s}", key=whole, **small(**dict(zip(CONTEXT, told))))
         if spread.any():
-            part = contexts(key[spread], n[spread])
-            yield blocks(SPREAD, (part[0] >> U(64 - bits)).astype(np.int64), part[0].view(np.int64), *part[1:])
+            part = contexts(context[spread], n[spread])
+            yield blocks(SPREAD if k == 3 else SPREAD_LOWER, (part[0] >> U(64 - bits)).astype(np.int64), part[0].view(np.int64), *part[1:])
+
+    def write_spread(k: int, s: int, key: np.ndarray, *n: np.ndarray) -> None:
+        key, back = np.unique(key.view(U), return_inverse=True)
+        put(f"{uri}/spread-{k}-{s}", key=key, **small(**dict(zip(CONTEXT, (np.bincount(back, x, len(key)).astype(np.int64) for x in n)))))
+
+    def passed(kind: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([0], pa.int64()), pa.array([data], pa.binary())], names=["kind", "shard", "data"])
 
     def write_threes(batches):
         look = Lookup(model)
-        for s, (a, b, c, n) in by_shard(batches, 4):
-            _, first, n = summed(mix(a, b, c), n)
-            a, b, c = a[first], b[first], c[first]
-            hot = look.hot(b)
-            yield from write_level(3, s, look, (a, b), c, n, hot & look.hot(a))
+        for _, s, (a, b, c, n) in by_shard(batches, {LOWER: 4}):
+            a, b, c = look.decoded(a), look.decoded(b), look.decoded(c)
+            before = mix(a, b)
+            _, first, n = summed(mix(before, c), n)
+            a, b, c, before = a[first], b[first], c[first], before[first]
+            firsts, back = np.unique(a, return_inverse=True)
+            seconds, at = np.unique(b, return_inverse=True)
+            hot = look.hot(seconds)[at]
+            yield from write_level(3, s, before, c, n, hot & look.hot(firsts)[back])
             # at a text's start only the start itself precedes, so there the number of times counts
-            _, first, n = summed(mix(b, c), np.where(b == model.begin, n, 1))
-            order = np.argsort(b[first], kind="stable")
-            b, c, n, hot = b[first][order], c[first][order], n[order], hot[first][order]
-            yield blocks(LOWER, model.shard(b, word=c, spread=hot), b, c, n)
+            key = mix(b)
+            _, first, n = summed(mix(key, c), np.where(b == model.begin, n, 1))
+            first, n, code = first[order := np.argsort(look.codes(b[first]), kind="stable")], n[order], look.codes(b[first[order]])
+            yield blocks(LOWER, model.shard(key[first], c[first], hot[first]), code, look.codes(c[first]), n)
 
     def write_twos(batches):
         look = Lookup(model)
-        at = look.at
-        for s, (b, c, n) in by_shard(batches, 3):
-            _, first, n = summed(mix(b, c), n)
-            b, c = b[first], c[first]
-            yield from write_level(2, s, look, (b,), c, n, look.hot(b))
-            c, n = np.unique(c, return_counts=True)
-            yield blocks(LOWER, np.searchsorted(at, c, side="right") - 1, c, n)
+        for kind, s, x in by_shard(batches, {LOWER: 3, SPREAD: 5}):
+            if kind == SPREAD:
+                write_spread(3, s, *x)
+            elif kind == OWN:
+                yield passed(OWN, x)
+            else:
+                b, c, n = look.decoded(x[0]), look.decoded(x[1]), x[2]
+                key = mix(b)
+                _, first, n = summed(mix(key, c), n)
+                b, c, key = b[first], c[first], key[first]
+                words, back = np.unique(b, return_inverse=True)
+                yield from write_level(2, s, key, c, n, look.hot(words)[back])
+                c, n = np.unique(c, return_counts=True)
+                yield blocks(LOWER, np.searchsorted(look.at, c, side="right") - 1, c, n)
 
     def write_ones(batches):
         at = model.offsets()
-        for s, (c, n) in by_shard(batches, 2):
-            n = np.bincount(c - at[s], n, model.words[s]).astype(np.int64)
-            put(f"{uri}/ones-{s}", **small(n=n))
-            yield own(**classes(n))
-
-    def write_spread(k: int):
-        def run(batches):
-            for s, (key, *n) in by_shard(batches, 5):
-                key, back = np.unique(key.view(U), return_inverse=True)
-                n = (np.bincount(back, x, len(key)).astype(np.int64) for x in n)
-                put(f"{uri}/spread-{k}-{s}", key=key, **small(**dict(zip(CONTEXT, n))))
-                yield own()
-
-        return run
-
-    threes = saved(gathered(raw.mapInArrow(count_grams, BLOCK), LOWER).mapInArrow(write_threes, BLOCK), "lm-threes")
-    twos = saved(gathered(threes, LOWER).mapInArrow(write_twos, BLOCK), "lm-twos")
-    ones = numbers(gathered(twos, LOWER).mapInArrow(write_ones, BLOCK))
-    for k, told in ((3, threes), (2, twos)):
-        gathered(told, SPREAD).mapInArrow(write_spread(k), BLOCK).write.format("noop").mode("overwrite").save()
-    for k, rows in ((3, numbers(threes)), (2, numbers(twos)), (1, ones)):
-        model.discounts[k] = (0.0, *discounts(total(rows, "c1", "c2", "c3", "c4")))
-    model.pairs, kinds, *c = total(ones, "all", "rows", "c1", "c2", "more")
+        for kind, s, x in by_shard(batches, {LOWER: 2, SPREAD_LOWER: 5}):
+            if kind == SPREAD_LOWER:
+                write_spread(2, s, *x)
+            elif kind == OWN:
+                yield passed(OWN, x)
+            else:
+                n = np.bincount(x[0] - at[s], x[1], model.words[s]).astype(np.int64)
+                put(f"{uri}/ones-{s}", **small(n=n))
+                yield own(**{f"{x}-1": v for x, v in classes(n).items()})
+
+    # one job: each level's blocks go straight on to the next lower one's shards
+    told = raw
+    for step in (count_grams, write_threes, write_twos, write_ones):
+        told = (told if step is count_grams else gathered(told)).mapInArrow(step, BLOCK)
+    rows = numbers(told)
+    total = lambda *names: [sum(r.get(x, 0) for r in rows) for x in names]
+    for k in (3, 2, 1):
+        model.discounts[k] = (0.0, *discounts(total(*(f"c{i}-{k}" for i in (1, 2, 3, 4)))))
+    model.pairs, kinds, *c = total("all-1", "rows-1", "c1-1", "c2-1", "more-1")
     if model.pairs:
         model.rest = sum(d * n for d, n in zip(model.discounts[1][1:], c)) / model.pairs / (kinds + 1)
     return model
@@ -473,10 +538,22 @@ def lm_score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         known, look = Hashes(), Lookup(model)
-        for first, batch, ids, counts, n in look.tokens(batches, known):
-            out = look.score(ids, counts, n)
-            part = batch.slice(first, len(n))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "train_tokens": pa.array([model.tokens] * len(n), pa.int64())} | {x: pa.array(out[x]) for x in names})
+        held, size = [], 0
+
+        def scored() -> pa.RecordBatch:
+            tokens, n = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
+            out = look.score(tokens, n)
+            keep = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({x: keep.column(x) for x in ("doc_id", "held_out")} | {"train_tokens": pa.array([model.tokens] * len(n), pa.int64())} | {x: pa.array(out[x]) for x in names})
+
+        for first, batch, tokens, n in look.texts(batches, known):
+            held.append((batch.select(["doc_id", "held_out"]).slice(first, len(n)), tokens, n))
+            size += len(tokens)
+            if size >= RUN:
+                yield scored()
+                held, size = [], 0
+        if held:
+            yield scored()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, train_tokens long, n_tokens long, n_known long, base_score double, score double")
 
