@@ -43,32 +43,45 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: that of least id, one without an id only if none has an id.
 
     A document is an id (or none) with a text: rows alike in both become one,
-    several texts of one id are judged each by itself.
+    several texts of one id are judged each by itself. Null and empty texts are
+    like no others. Other columns pass through, whatever their names; of rows
+    alike in id and text, which differ in others, any one stays.
     """
     ship(spark)
-    keyed = docs.withColumn("row_key", row_key())
-    groups = near_duplicates(keyed, size=5, num=80, den=100, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    kept = groups.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    (key,) = unused([*docs.columns, "component_id"], "row_key")
+    keyed = docs.withColumn(key, row_key())
+    groups = near_duplicates(keyed, size=5, num=80, den=100, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
+    kept = groups.join(keyed.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item, with or without an id; other texts of the same id stay."""
+    """Drops documents that hold a passage of a benchmark item, with or without an id; other texts of the same id stay.
+
+    Null and empty texts hold none and stay, repeated rows stay or go together,
+    other columns pass through whatever their names; an empty benchmark drops
+    nothing.
+    """
     ship(spark)
-    keyed = docs.withColumn("row_key", row_key())
-    found = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
-    return keyed.join(found, "row_key", "left_anti").select(*docs.columns)
+    (key,) = unused(docs.columns, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    found = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a span's kind in place of each span of personal data; n_chars follows."""
+    """Puts a span's kind in place of each span of personal data; n_chars follows, null for a null text.
+
+    Every row stays, repeated ones alike; other columns pass through, whatever
+    their names.
+    """
     ship(spark)
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, their ids among the columns."""
+    """Pieces of sequences of 2048 tokens, their ids among the columns; a null or empty text is its end token, repeated rows are documents of their own, and no documents give no pieces."""
     ship(spark)
     return pack(docs, public_tokenizer())
 
