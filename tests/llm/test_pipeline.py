@@ -63,3 +63,45 @@ def test_rows_without_an_id_and_ids_on_several_texts(spark, tmp_path):
     assert decided(corpus_pipeline.deduplicate, rows) in [sorted([(3, a), (7, b), (None, x), (9, d), (11, y)], key=str) for x in (c, c + " more") for y in (e, e + " more")]
     rows = [(None, a + " " + item), (None, b), (7, c + " " + item), (7, d), (8, e), (8, e)]
     assert decided(corpus_pipeline.decontaminate, rows) == sorted([(None, b), (7, d), (8, e), (8, e)], key=str)
+
+
+def test_stages_pass_columns_of_any_name_through(spark, tmp_path):
+    """Columns named as those that the operators make, nulls in all of them, repeated rows, and texts below and above the language threshold."""
+    names = ["row_key", "base", "more", "pii", "score", "lang_pred", "n_words", "n_switches", "told", "h", "seed", "component_id", "__text", "runs", "TEXT_"]
+    rng = random.Random(6)
+    xx, yy = ([f"{c}{a}{b}m" for a in "aeiou" for b in "rstlnd"] for c in ("k", "z"))
+    text = lambda v, n: " ".join(rng.choices(v, k=n))
+    item = text(xx, 30)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, text(v, 40) + " at a@b.co", lang) for i, (v, lang) in enumerate([(xx, "xx"), (yy, "yy")] * 20)]
+    rows += [(50, item, "xx"), (51, None, "xx"), (52, "", None), (0, rows[0][1], "xx"), (None, rows[1][1], None)]
+    full = [(*r, None, len(r[1] or ""), *(f"{n}{i}" if i % 3 else None for n in names)) for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(full, schema).repartition(2)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        by = {(r.doc_id, r.text): r for r in got.collect()}
+        want = {(r[0], r[1]): r for r in full}
+        if name == "language":
+            assert {k for k in want if k not in by} == {(51, None), (52, "")}
+        elif name == "deduplicate":
+            assert {k for k in want if k not in by} == {(None, rows[1][1])}
+        elif name == "decontaminate":
+            assert {k for k in want if k not in by} == {(50, item)}
+        else:
+            assert {k[1] for k in by if k[0] == 0} == {rows[0][1].replace("a@b.co", "[EMAIL]")}
+            continue
+        assert all(tuple(by[k])[5:] in {f[5:] for f in full if (f[0], f[1]) == k} for k in by)
+    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 44
+
+
+def test_texts_of_no_known_language_go(spark, tmp_path):
+    """Each learned language has a third of a text of three: below LEAST_SHARE, so the text goes; one of a single language stays."""
+    rng = random.Random(7)
+    vocab = {x: [f"{x}{a}{b}{x}" for a in "aeiou" for b in "aeiou"] for x in ("kt", "brz", "wlm")}
+    rows = [(i, " ".join(rng.choices(vocab[x], k=30)), x, None, 0) for i, x in enumerate([*vocab] * 60)]
+    rows += [(900, " ".join(w for ws in zip(*(vocab[x] for x in vocab)) for w in ws), None, None, 0), (901, " ".join(vocab["kt"]), None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert 901 in kept and 900 not in kept and len(kept) == len(rows) - 1
