@@ -69,3 +69,64 @@ def follow_up_message(kind: Column, named_: Column, price: Column, tags: Column,
 def used_message(kind: Column, product: Column, title: Column, was: Column, price: Column, url: Column) -> Column:
     change = F.when((kind == "PRICE_DROP") & was.isNotNull(), F.concat(won(was), F.lit(" → "), won(price))).otherwise(won(price))
     return lines(named(USED, kind), F.when(F.trim(product) != "", product).otherwise(UNNAMED), title, change, url)
+
+
+# Badges and labels of signals, pins, ranks and purchases.
+BADGES = {"GREEN": "지금 잡을 딜 있음", "YELLOW": "기준가 아래 딜 있음", "RED": "지금은 잡을 딜 없음", "GRAY": "표본 부족 — 판단 보류"}
+PIN_LABELS = {"ACTIVE": "관찰 중", "BOUGHT": "샀어요", "MISSED": "놓쳤어요(종료됨)", "DROPPED": "기각·해제"}
+
+
+def signed(percent_: Column) -> Column:
+    """A percentage with one decimal, with its sign where it is above 0."""
+    return F.concat(F.when(percent_ > 0, "+").otherwise(""), percent_.cast("decimal(12,1)").cast("string"), F.lit("%"))
+
+
+def dearer(amount: Column) -> Column:
+    return F.when(amount > 0, "비쌈").otherwise("쌈")
+
+
+def benchmark_line(tier: Column, n: Column, m: Column, benchmark: Column, good: Column, months: Column) -> Column:
+    sample = F.concat(n.cast("string"), F.lit("건(교차 "), m.cast("string"), F.lit("건)"))
+    wider = F.coalesce(F.concat(F.lit(" · "), months.cast("string"), F.lit("개월로 확장")), F.lit(""))
+    full = F.concat(F.lit("핫딜 기준가 "), won(benchmark), F.coalesce(F.concat(F.lit(" · 굿딜라인 "), won(good)), F.lit("")), F.lit(" · "), sample, wider)
+    few = F.concat(F.lit("표본이 적어 기준가를 산출하지 않습니다 — "), sample, F.lit(", 사례만 나열"), wider)
+    return F.when(tier == "NONE", F.concat(F.lit("수집된 딜이 없습니다 — "), sample)).when(tier == "SPARSE", few).when(benchmark.isNull(), F.concat(F.lit("기준가를 받지 못했습니다 — "), sample)).otherwise(full)
+
+
+def gap_line(current: Column, gap_won: Column, gap_pct: Column) -> Column:
+    """How the current price stands against the benchmark; null without a current price."""
+    now = F.concat(F.lit("현재가 "), won(current))
+    apart = F.concat(now, F.lit(" — 기준가보다 "), won(F.abs(gap_won)), F.lit(" "), dearer(gap_won), F.lit(" ("), signed(gap_pct), F.lit(")"))
+    return F.when(gap_won.isNull(), F.concat(now, F.lit(" — 비교할 기준가가 없습니다"))).when(gap_won == 0, F.concat(now, F.lit(" — 기준가와 같습니다"))).otherwise(apart)
+
+
+def cadence_line(months: Column, count: Column, guard: Column, median: Column, elapsed: Column) -> Column:
+    window, n = F.concat(months.cast("string"), F.lit("개월")), F.concat(F.lit(" "), count.cast("string"), F.lit("회"))
+    last = F.coalesce(F.concat(F.lit(" · 마지막 딜 "), elapsed.cast("string"), F.lit("일 전")), F.lit(""))
+    told = F.when(~guard | median.isNull(), F.concat(window, n, F.lit(" — 주기 판단 불가(표본 부족)"), last)).otherwise(F.concat(window, n, F.lit(" · 간격 median "), median.cast("string"), F.lit("일"), last))
+    return F.when(count == 0, F.concat(F.lit("최근 "), window, F.lit(" 발생 없음"))).otherwise(told)
+
+
+def report_card_line(unobserved: Column, n: Column, cheaper: Column, gap_won: Column, lowest: Column) -> Column:
+    gap_ = F.when(gap_won == 0, "기준가와 같음").otherwise(F.concat(F.lit("기준가보다 "), won(F.abs(gap_won)), F.lit(" "), dearer(gap_won)))
+    parts = F.concat_ws(" · ", F.concat(n.cast("string"), F.lit("건 중 "), cheaper.cast("string"), F.lit("건이 내 구매가보다 쌌습니다")), gap_, F.concat(F.lit("기간 내 최저 "), won(lowest)))
+    return F.when(unobserved, "관측 시작 이전 구매라 성적을 낼 수 없습니다").when(n == 0, "관찰 기간에 비교할 딜이 없었습니다").otherwise(parts)
+
+
+def observation_line(kind: Column, lowest: Column, overpaid: Column, ratio: Column, day: Column, chances: Column) -> Column:
+    """The ratio is printed as it is, as a share with one decimal."""
+    on = F.concat(F.lit("활성 딜 최저 "), won(lowest))
+    verdict = F.when(overpaid > 0, "더 주고 샀음").otherwise("싸게 샀음")
+    apart = F.when(overpaid == 0, F.concat(on, F.lit(" — 구매가와 같음"))).otherwise(F.concat(on, F.lit(" — "), won(F.abs(overpaid)), F.lit(" "), verdict, F.lit(" ("), signed(F.round(ratio, 1)), F.lit(")")))
+    off = F.concat(F.lit("활성 딜 없음 · 관찰 "), day.cast("string"), F.lit("일차 · 더 싼 기회 "), chances.cast("string"), F.lit("건"))
+    return F.when(kind == "REPORT_PENDING", "관찰 종료 · 성적표는 아직 발급되지 않습니다").when(kind == "ACTIVE_DEAL", F.coalesce(apart, on)).otherwise(off)
+
+
+def prefill_notice(tags: Column) -> Column:
+    """What to heed when a deal's price fills a purchase form."""
+    card = F.exists(tags, lambda t: (t == "카할") | t.contains("카드"))
+    return F.when(F.array_contains(tags, UNKNOWN_SHIPPING), "⚠ 배송비를 못 읽어 하한입니다 — 실제 낸 금액으로 고치세요").when(card, "⚠ '카드할인' 조건이 붙은 가격입니다 — 그 카드로 안 샀다면 고치세요").otherwise("이 딜의 관측가(배송비 포함)입니다. 쿠폰·적립을 따로 썼다면 고치세요")
+
+
+def rank_label(rank: Column) -> Column:
+    return F.coalesce(F.concat(rank.cast("string"), F.lit("순위")), F.lit("순번 미지정"))

@@ -11,7 +11,8 @@ import pricelens.plans.ingest_queries
 import pricelens.plans.match_queries
 import pricelens.plans.more_queries
 import pricelens.plans.record_queries
-import pricelens.plans.review_queries  # noqa: F401
+import pricelens.plans.review_queries
+import pricelens.plans.text_queries  # noqa: F401
 from pricelens.operators import alerts, benchmark, digest, fold, matching, polls, purchases, records, review, used
 from pricelens.plans.queries import QUERIES, SQL
 
