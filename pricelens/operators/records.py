@@ -14,6 +14,8 @@ from .dealsets import occurrence_set, pricing_set
 #: Most characters of a title, url and post id, and bytes of a raw record.
 LIMITS = (("title", 300), ("url", 2000), ("post_id", 64))
 RAW_BYTES = 256 * 1024
+#: What a post can be.
+STATUSES = ("ACTIVE", "SOLD_OUT", "DELETED")
 
 
 def oversize(df: DataFrame) -> Column:
@@ -23,7 +25,16 @@ def oversize(df: DataFrame) -> Column:
 
 
 def raw_records(posts: DataFrame, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine): of posts of one site and id the last to arrive; posts with a field too long, and which."""
+    """(records, quarantine): of posts of one site and id the last to arrive; posts with a field too long, and which.
+
+    A status that is none of STATUSES is an error; where posts have
+    applied_conditions, derived holds them as JSON.
+    """
+    if "status" in posts.columns:
+        known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce("status", F.lit("null")))).cast("string"))
+        posts = posts.withColumn("status", known)
+    if "applied_conditions" in posts.columns:
+        posts = posts.withColumn("derived", F.to_json(F.struct("applied_conditions")))
     judged = posts.withColumn("violation", oversize(posts))
     others = [c for c in posts.columns if c not in ("site", "post_id")]
     last = F.max_by(F.struct(*others), F.struct(*arrival)).alias("r")

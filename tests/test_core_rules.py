@@ -168,6 +168,16 @@ def test_benchmark_of_params_without_deals(spark):
     assert {tuple(r) for r in benchmark.effective(none, params, now).collect()} == {(5, 6), (6, 12)} and deals is not None
 
 
+def test_raw_records(spark):
+    rows = [("s", "1", "a", "ACTIVE", ["x"], 1), ("s", "1", "b", "SOLD_OUT", [], 2), ("s", "2", "y" * 301, "ACTIVE", None, 1), ("t", "1", None, "DELETED", None, 1)]
+    posts = spark.createDataFrame(rows, "site string, post_id string, title string, status string, applied_conditions array<string>, at int")
+    kept, out = records.raw_records(posts, ["at"])
+    assert sorted((r.site, r.post_id, r.status, r.derived) for r in kept.collect()) == [("s", "1", "SOLD_OUT", '{"applied_conditions":[]}'), ("t", "1", "DELETED", "{}")]
+    assert [(r.post_id, r.violation) for r in out.collect()] == [("2", "title")]
+    with pytest.raises(Exception, match="unknown status: GONE"):
+        records.raw_records(posts.withColumn("status", F.lit("GONE")), ["at"])[0].collect()
+
+
 def test_risk_and_extraction(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     words = F.array(F.lit("단 순변심"), F.lit("택배"))
