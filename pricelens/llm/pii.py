@@ -10,7 +10,6 @@ Bayes over features of the span, which decides on the candidates.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from operator import add
 
@@ -222,8 +221,11 @@ def trusted(counts: DataFrame) -> DataFrame:
         return F.aggregate(ps, F.lit(0.0), lambda acc, x: acc + f(x))
 
     def step(s: Column, _: Column) -> Column:
-        # one pass over the patterns: their probabilities, then weighted counts
+        # the patterns' probabilities, once for all that is counted from them
         qs = F.transform("ps", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(x["v"], s).alias("q")))
+        return F.get(F.transform(F.array(qs), counted_anew), F.lit(0))
+
+    def counted_anew(qs: Column) -> Column:
         weight = {"yes": lambda x: x["n"] * x["q"], "no": lambda x: x["n"] * (1 - x["q"])}
 
         def rate(j: int, which: str) -> Column:
@@ -269,19 +271,21 @@ def find_pii(docs: DataFrame, text_col: str = "text", sure: float = SURE, withou
     df = spans(docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))), text, base, more)
     df = saved(df.drop(text, *without), "pii-spans")
     counts = saved(counted(df.select(F.col(base).alias("base"), F.col(more).alias("more"))), "pii-votes")
-    table_ = [[0.0] * (1 + FEATURES * BUCKETS) for _ in KINDS]
-    for r in weights(counts).collect():  # at most as many rows as table_ has cells
-        table_[r.kind][0 if r.t < 0 else 1 + r.t * BUCKETS + r.bucket] = r.w
-    w = F.from_json(F.lit(json.dumps(table_)), "array<array<double>>")
-    weigh = lambda x: reduce(add, (F.get(F.get(w, x["kind"]), F.get(x["features"], F.lit(t)) + 1 + t * BUCKETS) for t in range(FEATURES)), F.get(F.get(w, x["kind"]), F.lit(0)))
+    # one row of bounded size, which a subquery puts beside each row: no weight is written into the plan
+    size = 1 + FEATURES * BUCKETS
+    place = F.col("kind") * size + F.when(F.col("t") < 0, 0).otherwise(1 + F.col("t") * BUCKETS + F.col("bucket"))
+    known = F.map_from_entries(F.collect_list(F.struct(place, "w")))
+    learned = weights(counts).agg(known.alias("w")).select(F.transform(F.sequence(F.lit(0), F.lit(len(KINDS) * size - 1)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0))).alias("w"))
+    w, runs = unused([*df.columns, pii_col], "weights", "runs")
+    df = df.withColumn(w, saved(learned, "pii-weights").scalar())
+    weigh = lambda x: reduce(add, (F.get(F.col(w), x["kind"] * size + 1 + t * BUCKETS + F.get(x["features"], F.lit(t))) for t in range(FEATURES)), F.get(F.col(w), x["kind"] * size))
     # a candidate also needs its own check: no classifier overrules a failed checksum
     told = F.transform(F.filter(more, lambda x: F.floor(x["code"] / 3) % 3 == 2), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("base"), (1 / (1 + F.exp(-weigh(x)))).alias("p")))
     first = lambda a, b: (a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["start"] < b["start"]))
-    (runs,) = unused([*df.columns, pii_col], "runs")
     df = df.withColumn(more, F.filter(told, lambda x: x["p"] >= sure)).withColumn(runs, ranged(by_start(F.col(more))))
     kept = F.filter(more, lambda b: ~met(b, F.col(runs), lambda a: first(a, b)))
     own = F.transform(base, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("p")))
-    return df.withColumn(pii_col, by_start(F.concat(own, kept))).drop(runs, base, more)
+    return df.withColumn(pii_col, by_start(F.concat(own, kept))).drop(w, runs, base, more)
 
 
 def listed(pii: Column) -> Column:
