@@ -10,8 +10,9 @@ from .minhash_dedup import OP8_SQL, op8_minhash_dedup
 from .ngram_lm import op4_ngram_lm
 from .packing import op7_packing
 from .pii import op1_pii
+from .toxicity import op11_toxicity
 from .voronoi_topk import OP5_SQL, op5_voronoi_topk
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_language_id, op4_ngram_lm, op5_voronoi_topk, op6_warc, op7_packing, op8_minhash_dedup, op9_chat_format, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_language_id, op4_ngram_lm, op5_voronoi_topk, op6_warc, op7_packing, op8_minhash_dedup, op9_chat_format, op10_license_scan, op11_toxicity)}
 SQL = {"op5_voronoi_topk": OP5_SQL, "op6_warc": OP6_SQL, "op8_minhash_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
