@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
 from .decontaminate import op2_decontaminate
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .language_id import op3_language_id
 from .license_scan import op10_license_scan
 from .minhash_dedup import OP8_SQL, op8_minhash_dedup
@@ -14,5 +15,5 @@ from .toxicity import op11_toxicity
 from .voronoi_topk import OP5_SQL, op5_voronoi_topk
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_language_id, op4_ngram_lm, op5_voronoi_topk, op6_warc, op7_packing, op8_minhash_dedup, op9_chat_format, op10_license_scan, op11_toxicity)}
-SQL = {"op5_voronoi_topk": OP5_SQL, "op6_warc": OP6_SQL, "op8_minhash_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_language_id, op4_ngram_lm, op5_voronoi_topk, op6_warc, op7_packing, op8_minhash_dedup, op9_chat_format, op10_license_scan, op11_toxicity, op12_filter_audit)}
+SQL = {"op5_voronoi_topk": OP5_SQL, "op6_warc": OP6_SQL, "op8_minhash_dedup": OP8_SQL, "op9_chat_format": OP9_SQL, "op12_filter_audit": OP12_SQL}
