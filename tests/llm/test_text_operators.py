@@ -206,6 +206,25 @@ def test_leaks_in_parts_are_those_in_one(spark, monkeypatch):
     whole = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "WINDOWS_A_PART", 100)
     assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == whole and len(whole) == 8
+    monkeypatch.setattr(decontaminate, "MOST_PARTS", 0)  # by a shuffle of windows, and with nothing broadcast
+    monkeypatch.setattr(decontaminate, "SENT", 0)
+    assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == whole
+
+
+def test_repeated_tokens_on_both_sides(spark):
+    """Long runs of one token, with an odd one among them, and of three: each diagonal once, whatever the windows in it."""
+    docs = [(1, "a " * 20_000), (2, "a " * 3000 + "b " + "a " * 3000), (3, "x y z " * 2000), (4, "q " * 8), (5, "a " * 8)]
+    items = [(7, "a " * 4096), (8, "a " * 500 + "c " + "a " * 700), (9, "x y z " * 300)]
+    got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 7): (4096, 4096, 0, 4096), (1, 8): (1198, 1200, 0, 1201), (2, 7): (4093, 4095, 0, 4096), (2, 8): (1198, 1200, 0, 1201), (3, 9): (900, 900, 0, 900)}
+
+
+def test_repeated_tokens_against_all_diagonals(spark):
+    rng = random.Random(21)
+    docs = [(i, " ".join(rng.choices("ab", weights=(9, 1), k=rng.randint(5, 60)))) for i in range(25)]
+    items = [(i, " ".join(rng.choices("ab", weights=(9, 1), k=rng.randint(9, 40)))) for i in range(8)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items)
 
 
 def test_forward_backward_against_all_paths():
