@@ -6,6 +6,8 @@ and times are column expressions over these.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -19,137 +21,166 @@ from pricelens.functions.rules import board_time
 ROW = "page_id long, site string, post_id string, title string, url string, status string, reaction long, time_text string, price_text string, shipping_text string"
 #: Elements without an end.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements whose text isn't shown.
+SILENT = {"script", "style", "template", "rt", "rp"}
 
 
-class Node:
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.classes = set((attrs.get("class") or "").split())
-        self.children: list[Node | str] = []
-
-    def walk(self) -> Iterator[Node]:
-        """All elements below, in order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
-
-    def texts(self, but: Node | None = None) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c is not but:
-                yield from c.texts(but)
-
-    def text(self) -> str:
-        """Stripped texts, joined."""
-        return "".join(t.strip() for t in self.texts())
-
-    def first(self, ok: Callable[[Node], bool]) -> Node | None:
-        return next(filter(ok, self.walk()), None)
-
-    def by_class(self, name: str) -> Node | None:
-        return self.first(lambda n: name in n.classes)
-
-    def within(self, ok: Callable[[Node], bool]) -> bool:
-        """Whether an element above is ok."""
-        n = self.parent
-        while n and not ok(n):
-            n = n.parent
-        return n is not None
+class Page(HTMLParser):
+    """A page's elements in the order they begin, as lists: an element's number, its parent's, where its descendants end, and its texts.
 
+    Elements that never end hold all that follows. Nothing here recurses, so
+    elements may be nested as deep as the page is long; the first descendant
+    of a kind is found by bisection.
+    """
 
-class Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__()
-        self.root = self.at = Node("", {}, None)
+        self.tags, self.attrs, self.classes, self.parent, self.end, self.text_from, self.text_to = [], [], [], [], [], [], []
+        self.texts, self.open, self.names, self.hidden = [], [], Counter(), 0
+        self.feed(html)
+        self.close()
+        self.shut(0)
+
+    def shut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            n = self.open.pop()
+            self.end[n], self.text_to[n] = len(self.tags), len(self.texts)
+            self.names[self.tags[n]] -= 1
+            self.hidden -= self.tags[n] in SILENT
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+        attrs = dict(attrs)
+        self.parent.append(self.open[-1] if self.open else -1)
+        self.open.append(len(self.tags))
+        for column, x in ((self.tags, tag), (self.attrs, attrs), (self.classes, frozenset((attrs.get("class") or "").split())), (self.end, 0), (self.text_from, len(self.texts)), (self.text_to, 0)):
+            column.append(x)
+        self.names[tag] += 1
+        self.hidden += tag in SILENT
+        if tag in VOID:
+            self.shut(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, dict(attrs), self.at))
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.shut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.parent and n.tag != tag:
-            n = n.parent
-        if n.parent:
-            self.at = n.parent
+        if self.names[tag]:  # else nothing of that name is open
+            depth = len(self.open) - 1
+            while self.tags[self.open[depth]] != tag:
+                depth -= 1
+            self.shut(depth)
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        if not self.hidden:
+            self.texts.append(data)
 
+    def unknown_decl(self, data):
+        if data.upper().startswith("CDATA["):
+            self.handle_data(data[6:])
 
-def link(node: Node | None) -> Node | None:
-    return node and node.first(lambda n: n.tag == "a")
+    def where(self, ok: Callable[[int], bool]) -> list[int]:
+        return [n for n in range(len(self.tags)) if ok(n)]
 
+    def of_class(self, name: str, below: list[bool] | None = None) -> list[int]:
+        return self.where(lambda n: name in self.classes[n] and (below is None or below[n]))
 
-def number(text: str) -> int:
-    text = text.replace(",", "").strip()
-    return int(text) if text.isdigit() else 0
+    def below(self, ok: Callable[[int], bool]) -> list[bool]:
+        """Whether an element above each is ok."""
+        out = []
+        for p in self.parent:
+            out.append(p >= 0 and (out[p] or ok(p)))
+        return out
 
+    def within(self, n: int, found: list[int]) -> list[int]:
+        """Those of found that are below n."""
+        return found[bisect_right(found, n) : bisect_left(found, self.end[n])]
 
-def text_of(node: Node | None) -> str | None:
-    return node.text() if node else None
+    def first(self, n: int, found: list[int]) -> int | None:
+        """The first of found that is below n."""
+        at = bisect_right(found, n)
+        return found[at] if at < len(found) and found[at] < self.end[n] else None
 
+    def text(self, n: int | None) -> str | None:
+        """Stripped texts below n, joined."""
+        return None if n is None else "".join(t.strip() for t in self.texts[self.text_from[n] : self.text_to[n]])
 
-# Fixed values below: the classes, marks and addresses of the boards' pages.
-def ppomppu(root: Node) -> Iterator[tuple]:
-    for row in root.walk():
-        if row.tag != "tr" or "baseList" not in row.classes or not any(c.startswith("bbs_new") for c in row.classes):
-            continue
-        title = row.first(lambda n: n.tag == "a" and "baseList-title" in n.classes)
-        post = text_of(row.by_class("baseList-numb")) or ""
-        if title is None or "id=ppomppu" not in (title.attrs.get("href") or "") or not post.isdigit():
-            continue  # another board's row, or one without a number
-        votes = (text_of(row.by_class("baseList-rec")) or "").split("-", 1)[0]
-        yield post, title.text(), f"https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no={post}", row.by_class("end2") is not None, number(votes), text_of(row.by_class("baseList-time")), title.text(), None
+    def outside(self, n: int, but: int | None) -> str:
+        """Texts below n, joined, without those below but."""
+        a, b = self.text_from[n], self.text_to[n]
+        return "".join(self.texts[a:b] if but is None else self.texts[a : self.text_from[but]] + self.texts[self.text_to[but] : b])
 
+    def href(self, n: int) -> str:
+        return self.attrs[n].get("href") or ""
 
-def ruliweb(root: Node) -> Iterator[tuple]:
-    for row in root.walk():
-        if row.tag != "tr" or not {"table_body", "normal"} <= row.classes or row.classes & {"best", "notice"} or not row.within(lambda n: n.tag == "table" and "board_list_table" in n.classes):
-            continue
-        post = row.by_class("info_article_id")
-        if post is None or not post.attrs.get("value"):
-            continue
-        wrapper = row.by_class("title_wrapper")
-        title = link(wrapper)
-        outside = "".join(wrapper.texts(title)) if wrapper else ""
-        over = any(m in outside for m in ("[품절]", "[종료]", "[매진]", "[마감]"))
-        votes = row.first(lambda n: n.tag == "strong" and n.parent is not None and "recomd" in n.parent.classes)
-        yield post.attrs["value"], title.text() if title else "", (title.attrs.get("href") or "") if title else "", over, number(text_of(votes) or ""), text_of(row.by_class("time")), title.text() if title else "", None
 
+def number(text: str | None) -> int:
+    """0 for what is no number, or none that a long holds."""
+    text = (text or "").strip()
+    return int(text) if text.isdecimal() and len(text) <= 18 else 0
 
-def fmkorea(root: Node) -> Iterator[tuple]:
-    for item in root.walk():
-        if item.tag != "li" or not item.within(lambda n: n.tag == "ul" and n.within(lambda m: "fm_best_widget" in m.classes and m.within(lambda k: k.attrs.get("id") == "content"))):
+
+# Fixed values below: the classes, marks and addresses of the boards' pages.
+def ppomppu(page: Page) -> Iterator[tuple]:
+    titles = page.where(lambda n: page.tags[n] == "a" and "baseList-title" in page.classes[n])
+    posts, votes, times, ends = (page.of_class(c) for c in ("baseList-numb", "baseList-rec", "baseList-time", "end2"))
+    for row in page.where(lambda n: page.tags[n] == "tr" and "baseList" in page.classes[n] and any(c.startswith("bbs_new") for c in page.classes[n])):
+        title = page.first(row, titles)
+        if title is None or "id=ppomppu" not in page.href(title):
+            continue  # another board's row
+        post = page.text(page.first(row, posts)) or ""
+        if not post.isdigit():
             continue
-        title = link(item.by_class("title"))
-        post = ((title.attrs.get("href") or "") if title else "").strip("/").split("/")[-1]
+        vote = (page.text(page.first(row, votes)) or "").split("-", 1)[0]
+        name = page.text(title)
+        yield post, name, f"https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no={post}", page.first(row, ends) is not None, number(vote), page.text(page.first(row, times)), name, None
+
+
+def ruliweb(page: Page) -> Iterator[tuple]:
+    listed = page.below(lambda n: page.tags[n] == "table" and "board_list_table" in page.classes[n])
+    wrapped = page.below(lambda n: "title_wrapper" in page.classes[n])
+    posts, wrappers, times = (page.of_class(c) for c in ("info_article_id", "title_wrapper", "time"))
+    links = page.where(lambda n: page.tags[n] == "a")
+    titles = [n for n in links if wrapped[n]]
+    votes = page.where(lambda n: page.tags[n] == "strong" and page.parent[n] >= 0 and "recomd" in page.classes[page.parent[n]])
+    for row in page.where(lambda n: page.tags[n] == "tr" and listed[n] and {"table_body", "normal"} <= page.classes[n] and not page.classes[n] & {"best", "notice"}):
+        post = page.first(row, posts)
+        if post is None or not page.attrs[post].get("value"):
+            continue
+        wrapper, title = page.first(row, wrappers), page.first(row, titles)
+        outside = "" if wrapper is None else page.outside(wrapper, page.first(wrapper, links))
+        over = any(m in outside for m in ("[품절]", "[종료]", "[매진]", "[마감]"))
+        name = page.text(title) or ""
+        yield page.attrs[post]["value"], name, page.href(title) if title is not None else "", over, number((page.text(page.first(row, votes)) or "").replace(",", "")), page.text(page.first(row, times)), name, None
+
+
+def fmkorea(page: Page) -> Iterator[tuple]:
+    content = page.below(lambda n: page.attrs[n].get("id") == "content")
+    widget = page.below(lambda n: content[n] and "fm_best_widget" in page.classes[n])
+    listed = page.below(lambda n: widget[n] and page.tags[n] == "ul")
+    titled, counted = page.below(lambda n: "title" in page.classes[n]), page.below(lambda n: "pc_voted_count" in page.classes[n])
+    links = page.where(lambda n: page.tags[n] == "a")
+    titles, votes = [n for n in links if titled[n]], page.of_class("count", counted)
+    infos, ends, times = (page.of_class(c) for c in ("hotdeal_info", "hotdeal_var8Y", "regdate"))
+    for item in page.where(lambda n: page.tags[n] == "li" and listed[n]):
+        title = page.first(item, titles)
+        post = "" if title is None else page.href(title).strip("/").split("/")[-1]
         if not post:
             continue
-        votes = item.by_class("pc_voted_count")
-        info = item.by_class("hotdeal_info")
-        cells = [a.text() for a in info.walk() if a.tag == "a"] if info else []
+        info = page.first(item, infos)
+        cells = [page.text(n) for n in page.within(info, links)[:3]] if info is not None else []
         price, shipping = (cells[1], cells[2] if len(cells) > 2 else "") if len(cells) > 1 else (None, None)
-        yield post, title.text(), f"https://www.fmkorea.com/{post}", item.by_class("hotdeal_var8Y") is not None, number(text_of(votes and votes.by_class("count")) or ""), text_of(item.by_class("regdate")), price, shipping
+        yield post, page.text(title), f"https://www.fmkorea.com/{post}", page.first(item, ends) is not None, number(page.text(page.first(item, votes))), page.text(page.first(item, times)), price, shipping
 
 
 BOARDS = {"ppomppu": ppomppu, "ruliweb": ruliweb, "fmkorea": fmkorea}
 
 
 def rows_of(html: str | None, site: str | None) -> list[tuple]:
-    """What each deal row of a page says; none of an unknown board, a null or a broken page."""
+    """What each deal row of a page says; none of an unknown board or a null. A page that breaks off says what came before."""
     if not html or site not in BOARDS:
         return []
-    tree = Tree()
-    tree.feed(html)
-    return [(post, title, url, "SOLD_OUT" if over else "ACTIVE", votes, *texts) for post, title, url, over, votes, *texts in BOARDS[site](tree.root)]
+    return [(post, title, url, "SOLD_OUT" if over else "ACTIVE", votes, *texts) for post, title, url, over, votes, *texts in BOARDS[site](Page(html))]
 
 
 def scan_rows(pages: DataFrame) -> DataFrame:

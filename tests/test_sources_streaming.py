@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pricelens.functions import rules
 from pricelens.operators import fold, polls, titles
 from pricelens.sources import listings
-from pricelens.sources.html import scan_boards
+from pricelens.sources.html import rows_of, scan_boards
 from pricelens.streaming.polls import cursor_stream
 
 NOW = dt.datetime(2026, 7, 15)
@@ -26,6 +26,7 @@ def test_cursors_as_a_stream_are_those_in_batch(spark, tmp_path):
     assert last == {r.site: tuple(r) for r in want}
 
 
+# Pages of the boards' shape.
 PAGES = [
     (1, "ppomppu", '<table><tr class="baseList bbs_new1"><td class="baseList-numb">123</td><td><a class="baseList-title" href="view.php?id=ppomppu&page=1&no=123">[11번가] <b>라면</b> (13,490원/3,000원)</a></td><td class="baseList-rec">5 - 0</td><td><time class="baseList-time">21:10:11</time></td></tr>'
      '<tr class="baseList bbs_new1"><td class="baseList-numb">124</td><td class="end2"><a class="baseList-title" href="view.php?id=ppomppu&no=124">끝난 딜 카할 9,900원</a><td class="baseList-time">26/07/03</td></tr><tr class="baseList bbs_new1"><td class="baseList-numb">9</td><td><a class="baseList-title" href="view.php?id=other&no=9">다른 게시판</a></td></tr>'
@@ -49,6 +50,26 @@ def test_boards(spark):
     assert [r.url for r in rows][:3] == ["https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no=123", "https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no=124", "https://b/read/55"]
 
 
+def test_no_page_breaks_a_scan():
+    """Deep, unclosed, huge and cut pages, and marks without an end or a beginning."""
+    row = '<tr class="baseList bbs_new1"><td class="baseList-numb">7</td><td><a class="baseList-title" href="?id=ppomppu&no=7">산딜 5,000원</a></td><td class="baseList-rec">²</td></tr>'
+    want = [("7", "산딜 5,000원", "https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no=7", "ACTIVE", 0, None, "산딜 5,000원", None)]
+    for page in ("<div>" * 100_000 + row, row + "<b>" * 100_000 + "</i>" * 100_000, "</td>" * 100_000 + row, "<table>" + "<p>x" * 50_000 + row + "</p>" * 60_000, row + "<a href='", row + "<!-- no end", row + "<![CDATA[ x", "<script>if (a < b) '<tr>'</script>" + row):
+        assert rows_of(page, "ppomppu") == want
+    assert rows_of("<tr class='baseList bbs_new1'>" * 20_000, "ppomppu") == [] and rows_of("<ul><li>" * 50_000, "fmkorea") == [] and rows_of("<table class=board_list_table>" + "<tr class='table_body normal'>" * 50_000, "ruliweb") == []
+    many = rows_of("<table>" + row * 20_000, "ppomppu")
+    assert len(many) == 20_000 and set(many) == set(want)
+
+
+def test_elements_that_never_end_hold_what_follows():
+    page = '<tr class="baseList bbs_new1"><td class="baseList-numb">7<td><a class="baseList-title" href="?id=ppomppu">a <script>b</script><b>c<td class="baseList-rec">3 - 1<span class="end2">'
+    assert rows_of(page, "ppomppu") == []  # the number's text goes on to the end
+    (row,) = rows_of(page.replace("7<td>", "7</td><td>"), "ppomppu")
+    assert row[:5] == ("7", "ac3 - 1", "https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no=7", "SOLD_OUT", 3)
+    (row,) = rows_of('<table class="board_list_table"><tr class="table_body normal"><td class="info_article_id" value="9"><div class="title_wrapper">x</div><div class="title_wrapper"><a href="/r">t<![CDATA[u]]></a>[종료]', "ruliweb")
+    assert row[:4] == ("9", "tu", "/r", "ACTIVE")  # marks count in the first wrapper only
+
+
 def test_board_times(spark):
     now = F.lit(dt.datetime(2026, 7, 14, 15, 30)).cast("timestamp_ntz")  # half past midnight in Korea
     want = {"21:10": dt.datetime(2026, 7, 14, 12, 10), " 날짜 00:29:59 ": dt.datetime(2026, 7, 14, 15, 29, 59), "26/07/03": dt.datetime(2026, 7, 3, 14, 59), "2026.7.3": dt.datetime(2026, 7, 3, 14, 59), "25:99": None, "12:30:60": None, "13/45/99": None, "2026-07-03": None, "": None, "어제": None}
