@@ -75,6 +75,12 @@ class Page(HTMLParser):
         if not self.hidden:
             self.texts.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no section that the parser knows: a comment up to the next ">"
+            return self.parse_bogus_comment(i)
+
     def unknown_decl(self, data):
         if data.upper().startswith("CDATA["):
             self.handle_data(data[6:])

@@ -54,7 +54,7 @@ def test_no_page_breaks_a_scan():
     """Deep, unclosed, huge and cut pages, and marks without an end or a beginning."""
     row = '<tr class="baseList bbs_new1"><td class="baseList-numb">7</td><td><a class="baseList-title" href="?id=ppomppu&no=7">산딜 5,000원</a></td><td class="baseList-rec">²</td></tr>'
     want = [("7", "산딜 5,000원", "https://www.ppomppu.co.kr/zboard/view.php?id=ppomppu&no=7", "ACTIVE", 0, None, "산딜 5,000원", None)]
-    for page in ("<div>" * 100_000 + row, row + "<b>" * 100_000 + "</i>" * 100_000, "</td>" * 100_000 + row, "<table>" + "<p>x" * 50_000 + row + "</p>" * 60_000, row + "<a href='", row + "<!-- no end", row + "<![CDATA[ x", "<script>if (a < b) '<tr>'</script>" + row):
+    for page in ("<div>" * 100_000 + row, row + "<b>" * 100_000 + "</i>" * 100_000, "</td>" * 100_000 + row, "<table>" + "<p>x" * 50_000 + row + "</p>" * 60_000, row + "<a href='", row + "<!-- no end", row + "<![CDATA[ x", "<![x[<!<?>" + row, "<![ ]if>" + row, "<script>if (a < b) '<tr>'</script>" + row):
         assert rows_of(page, "ppomppu") == want
     assert rows_of("<tr class='baseList bbs_new1'>" * 20_000, "ppomppu") == [] and rows_of("<ul><li>" * 50_000, "fmkorea") == [] and rows_of("<table class=board_list_table>" + "<tr class='table_body normal'>" * 50_000, "ruliweb") == []
     many = rows_of("<table>" + row * 20_000, "ppomppu")
