@@ -6,7 +6,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.common import saved, ship, table, unused
@@ -35,8 +35,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def row_key() -> Column:
-    """A hash of id and text, never null: ids may be absent, or stand on several texts. The flags tell a null from a value of the same bytes."""
-    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
+    """256 bits of id and text, never null: ids may be absent, or stand on several texts. An id's text has no line break, and the marks tell a null from a value."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(mark("doc_id"), F.lit("\n"), mark("text")), 256))
+
+
+def short_key(key: Column) -> Column:
+    """63 bits of a row key, never negative."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1)
+
+
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs and a long for each row, alike for rows alike in id and text and for no others.
+
+    It is the short key; where one stands for several row keys, which are few
+    however many the rows, each of these has a negative number of its own.
+    """
+    key, own = unused([*docs.columns, number], "key", "own")
+    keyed = docs.withColumn(key, row_key()).withColumn(number, short_key(F.col(key)))
+    shared = keyed.groupBy(number).agg(F.min(key).alias("least"), F.max(key).alias("most")).filter("least <> most").select(number)
+    several = keyed.select(key, number).join(F.broadcast(shared), number, "left_semi").select(key).distinct()
+    several = saved(several.select(key, (-F.row_number().over(Window.orderBy(key))).cast("long").alias(own)), "keys")
+    return keyed.join(F.broadcast(several), key, "left").withColumn(number, F.coalesce(own, number)).select(*docs.columns, number)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +65,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is an id (or none) with a text: rows alike in both become one,
     several texts of one id are judged each by itself. Null and empty texts are
     like no others. Other columns pass through, whatever their names; of rows
-    alike in id and text, which differ in others, any one stays.
+    alike in id and text, which differ in others, the least stays, by the text
+    of the others in their order, a null before all.
     """
     ship(spark)
     (key,) = unused([*docs.columns, "component_id"], "row_key")
-    keyed = docs.withColumn(key, row_key())
+    keyed = numbered(docs, key)
     groups = near_duplicates(keyed, size=5, num=80, den=100, id_col=key).select(F.col("doc_id").alias(key), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
     kept = groups.join(keyed.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias(key))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    others = [x for c in docs.columns if c not in ("doc_id", "text") for x in (F.col(c).isNotNull(), F.col(c).cast("string"))]
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *others))
+    return keyed.join(kept, key, "left_semi").groupBy(key).agg(least.alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
