@@ -65,9 +65,14 @@ def unused(names: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of value, which is worked out once for a row however often use names it, within functions over arrays too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_runs(c: Column, size: int = 64) -> Column:
     """An array as arrays of size items; one empty array of an empty one."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(c) - 1) / size).cast("int"), F.lit(0))), lambda k: F.slice(c, k * size + 1, F.lit(size)))
+    return let(c, lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(c) - 1) / size).cast("int"), F.lit(0))), lambda k: F.slice(c, k * size + 1, F.lit(size))))
 
 
 def lower_ascii(col):

@@ -16,7 +16,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_runs, query, saved, table, unused
+from .common import in_runs, let, query, saved, table, unused
 
 #: The kinds that have base patterns, then those that only the method finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -109,13 +109,10 @@ def found(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"))
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("m"))
-    runs = in_runs(pairs)
-    lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + size(x)))
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    both = F.arrays_zip(runs.alias("run"), starts.alias("at"))
-    out = F.transform(both, lambda r: F.aggregate(F.coalesce(r["run"], F.slice(pairs, 1, 0)), F.struct(r["at"].alias("at"), spans_.alias("out")), step)["out"])
-    return F.when(F.size(hits) > 0, F.flatten(out)).otherwise(spans_)
+    lengths = lambda runs: F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + size(x)))
+    starts = lambda runs: F.aggregate(lengths(runs), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    walked = lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), spans_.alias("out")), step)["out"]
+    return let(in_runs(F.arrays_zip(gaps.alias("gap"), hits.alias("m"))), lambda runs: F.flatten(F.transform(F.arrays_zip(runs.alias("run"), F.slice(starts(runs), F.lit(1), F.size(runs)).alias("at")), walked)))
 
 
 def votes(kind: str, x: Column, strict: bool) -> list[Column]:
@@ -150,46 +147,59 @@ def features(k: int, kind: str, x: Column, vs: list[Column]) -> list[Column]:
 
 def judged(k: int, kind: str, x: Column, strict: bool) -> Column:
     vs = votes(kind, x, strict)
-    return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(strict).alias("strict"), code(vs).alias("code"), F.array(*features(k, kind, x, vs)).alias("features"))
+    return F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.lit(strict).alias("strict"), code(vs).alias("code"), F.array(*features(k, kind, x, vs)).alias("features"))
 
 
-def meets(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def below(xs: Column, v: Column) -> Column:
+    """How many of xs, in ascending order, are less than v, by bisection."""
 
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        less = F.get(xs, mid) < v
+        done = acc["lo"] >= acc["hi"]
+        return F.struct(F.when(done | ~less, acc["lo"]).otherwise(mid + 1).alias("lo"), F.when(done | less, acc["hi"]).otherwise(mid).alias("hi"))
 
-def by_start(spans: Column) -> Column:
-    return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs) + 1.0)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(xs).alias("hi")), halve)["lo"]
 
 
-def ranged(spans: Column) -> Column:
-    """Spans in runs, each with where it begins and ends, so that a search passes over runs that are elsewhere."""
-    return F.transform(in_runs(spans), lambda r: F.struct(F.array_min(F.transform(r, lambda x: x["start"])).alias("start"), F.array_max(F.transform(r, lambda x: x["end"])).alias("end"), r.alias("spans")))
+def ends_of(spans: Column) -> Column:
+    """Where each of spans begins and ends. Of one pattern's spans, none of which overlap, both ascend."""
+    return F.struct(F.transform(spans, lambda x: x["start"]).alias("starts"), F.transform(spans, lambda x: x["end"]).alias("ends"))
 
 
-def met(a: Column, runs: Column, also=lambda b: F.lit(True)) -> Column:
-    """Whether one of ranged spans meets a, and also holds."""
-    return F.exists(runs, lambda r: F.coalesce(meets(a, r), F.lit(False)) & F.exists(r["spans"], lambda b: meets(a, b) & also(b)))
+def of_kind(spans: Column, k: int, strict: bool) -> Column:
+    return F.filter(spans, lambda x: (x["kind"] == k) & (x["strict"] == strict))
+
+
+def met(own: Column, start: Column, until: Column) -> Column:
+    """Whether one of a pattern's spans, as ends_of() has them, begins before until and ends behind start."""
+    n = below(own["starts"], until)
+    return (F.size(own["starts"]) > 0) & (n > 0) & (F.get(own["ends"], n - 1) > start)
+
+
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def spans(docs: DataFrame, text: str, base_name: str, more_name: str) -> DataFrame:
     """docs with two arrays of spans (kind, start, end, ...): base, and more, which holds candidates clear of base spans."""
     df, base, more = docs, [], []
-    names = dict(zip([*BASE_KINDS, *(f"{k}_loose" for k in KINDS)], unused([*docs.columns, base_name, more_name], *BASE_KINDS, *(f"{k}_loose" for k in KINDS), "runs")))
-    (runs,) = unused([*docs.columns, base_name, more_name, *names.values()], "runs")
+    names = dict(zip([*BASE_KINDS, *(f"{k}_loose" for k in KINDS)], unused([*docs.columns, base_name, more_name], *BASE_KINDS, *(f"{k}_loose" for k in KINDS))))
     none = F.array().cast("array<struct<start:int,end:int,m:string,before:string>>")
-    for x, name in names.items():
-        kind, _, loose = x.partition("_")
-        # most texts hold no digit and no mark, and are passed over once
-        ok = F.col(text).rlike(MARKS[x]) if x in MARKS else F.col(text).rlike("[0-9]")
-        df = df.withColumn(name, F.when(ok, found(F.col(text), (LOOSE if loose else BASE)[kind])).otherwise(none))
+    # most texts hold no digit and no mark, and are passed over once
+    marked = lambda x: F.col(text).rlike(MARKS.get(x, "[0-9]"))
+    pattern = lambda x: (LOOSE if "_" in x else BASE)[x.partition("_")[0]]
+    df = df.select("*", *(F.when(marked(x), found(F.col(text), pattern(x))).otherwise(none).alias(name) for x, name in names.items()))
     for k, kind in enumerate(KINDS):  # Spark calls these functions at once, so each sees its own kind
         if kind in BASE_KINDS:
             base.append(F.transform(F.filter(names[kind], lambda x: valid(kind, x["m"])), lambda x: judged(k, kind, x, True)))
             more.append(F.transform(F.filter(names[kind], lambda x: ~valid(kind, x["m"])), lambda x: judged(k, kind, x, True)))
         more.append(F.transform(names[f"{kind}_loose"], lambda x: judged(k, kind, x, False)))
-    df = df.withColumn(base_name, by_start(F.concat(*base))).withColumn(runs, ranged(F.col(base_name)))
-    df = df.withColumn(more_name, F.filter(F.concat(*more), lambda a: ~met(a, F.col(runs))))
-    return df.drop(runs, *names.values())
+    df = df.withColumn(base_name, F.array_sort(F.concat(*base)))
+    ends = F.struct(*(ends_of(of_kind(F.col(base_name), k, True)).alias(kind) for k, kind in enumerate(BASE_KINDS)))
+    clear = lambda own: F.filter(F.concat(*more), lambda a: ~any_of([met(own[kind], a["start"], a["end"]) for kind in BASE_KINDS]))
+    return df.withColumn(more_name, let(ends, clear)).drop(*names.values())
 
 
 def counted(df: DataFrame) -> DataFrame:
@@ -276,16 +286,20 @@ def find_pii(docs: DataFrame, text_col: str = "text", sure: float = SURE, withou
     place = F.col("kind") * size + F.when(F.col("t") < 0, 0).otherwise(1 + F.col("t") * BUCKETS + F.col("bucket"))
     known = F.map_from_entries(F.collect_list(F.struct(place, "w")))
     learned = weights(counts).agg(known.alias("w")).select(F.transform(F.sequence(F.lit(0), F.lit(len(KINDS) * size - 1)), lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0))).alias("w"))
-    w, runs = unused([*df.columns, pii_col], "weights", "runs")
+    (w,) = unused([*df.columns, pii_col], "weights")
     df = df.withColumn(w, saved(learned, "pii-weights").scalar())
     weigh = lambda x: reduce(add, (F.get(F.col(w), x["kind"] * size + 1 + t * BUCKETS + F.get(x["features"], F.lit(t))) for t in range(FEATURES)), F.get(F.col(w), x["kind"] * size))
     # a candidate also needs its own check: no classifier overrules a failed checksum
-    told = F.transform(F.filter(more, lambda x: F.floor(x["code"] / 3) % 3 == 2), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("base"), (1 / (1 + F.exp(-weigh(x)))).alias("p")))
-    first = lambda a, b: (a["kind"] < b["kind"]) | ((a["kind"] == b["kind"]) & (a["start"] < b["start"]))
-    df = df.withColumn(more, F.filter(told, lambda x: x["p"] >= sure)).withColumn(runs, ranged(by_start(F.col(more))))
-    kept = F.filter(more, lambda b: ~met(b, F.col(runs), lambda a: first(a, b)))
-    own = F.transform(base, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("base"), F.lit(1.0).alias("p")))
-    return df.withColumn(pii_col, by_start(F.concat(own, kept))).drop(w, runs, base, more)
+    told = F.transform(F.filter(more, lambda x: F.floor(x["code"] / 3) % 3 == 2), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["strict"].alias("strict"), (1 / (1 + F.exp(-weigh(x)))).alias("p")))
+    df = df.withColumn(more, F.filter(told, lambda x: x["p"] >= sure))
+    lists = [(k, strict) for k in range(len(KINDS)) for strict in (True, False)[k >= len(BASE_KINDS) :]]
+    ends = F.struct(*(ends_of(of_kind(F.col(more), k, s)).alias(f"{KINDS[k]}_{s}") for k, s in lists))
+    # one of an earlier kind that overlaps, or one of the same kind that began before
+    beaten = lambda own, b: any_of([(b["kind"] >= k) & met(own[f"{KINDS[k]}_{s}"], b["start"], F.when(b["kind"] == k, b["start"]).otherwise(b["end"])) for k, s in lists])
+    kept = let(ends, lambda own: F.filter(more, lambda b: ~beaten(own, b)))
+    span = lambda x, base, p: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"), p.alias("p"))
+    every = F.array_sort(F.concat(F.transform(base, lambda x: span(x, True, F.lit(1.0))), F.transform(kept, lambda x: span(x, False, x["p"]))))
+    return df.withColumn(pii_col, F.transform(every, lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "base", "p"))))).drop(w, base, more)
 
 
 def listed(pii: Column) -> Column:
@@ -304,20 +318,27 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
     # spans in runs; where all spans before a run end: the text of a run is cut out once, and its pieces from that
-    last = F.aggregate(ranged(F.col(pii)), F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.coalesce(r["end"], F.lit(0))))))
+    farthest = lambda r: F.coalesce(F.array_max(F.transform(r, lambda x: x["end"])), F.lit(0))
+    last = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), farthest(r)))))
     df = df.withColumn(runs, in_runs(F.col(pii))).withColumn(ends, last)
     zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts"))
+    part = lambda c, a, n: F.struct(F.substring(c["text"], a - c["at"] + 1, n).alias("text"), a.alias("at"))
 
-    def piece(r: Column, i: Column) -> Column:
-        at = F.get(ends, i)
-        cut = F.substring(text, at + 1, F.get(ends, i + 1) - at)
+    def piece(r: Column, c: Column) -> Column:
         step = lambda acc, x: F.struct(
             F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.substring(cut, acc["at"] - at + 1, x["start"] - acc["at"]), F.get(names, x["kind"])))).alias("parts"),
+            F.when(x["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part(c, acc["at"], x["start"] - acc["at"])["text"], F.get(names, x["kind"])))).alias("parts"),
         )
-        return F.array_join(F.aggregate(r, zero(at), step)["parts"], "")
+        return F.array_join(F.aggregate(r, zero(c["at"]), step)["parts"], "")
+
+    def pieces(rs: Column, i: Column) -> Column:
+        """Of 64 runs together, whose text is cut out before that of each."""
+        at = lambda j: F.get(ends, F.least(i * 64 + j, F.size(ends) - 1))
+        whole = F.struct(text.alias("text"), F.lit(0).alias("at"))
+        own = lambda c: F.transform(rs, lambda r, j: let(part(c, at(j), at(j + 1) - at(j)), lambda x: piece(r, x)))
+        return let(part(whole, at(F.lit(0)), at(F.lit(64)) - at(F.lit(0))), lambda c: F.array_join(own(c), ""))
 
-    clean = F.concat(F.array_join(F.transform(runs, piece), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    clean = F.concat(F.array_join(F.transform(in_runs(F.col(runs)), pieces), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
     return df.withColumn(text_col, F.when(text.isNull() | (F.size(pii) == 0), text).otherwise(clean)).select(*docs.columns)
 
 

@@ -65,6 +65,31 @@ def test_rows_without_an_id_and_ids_on_several_texts(spark, tmp_path):
     assert decided(corpus_pipeline.decontaminate, rows) == sorted([(None, b), (7, d), (8, e), (8, e)], key=str)
 
 
+def test_keys_that_meet_lose_no_document(spark, tmp_path, monkeypatch):
+    """All short keys alike: numbers still differ, and both stages decide as ever."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices([f"k{a}{b}m" for a in "aeiou" for b in "rstlnd"], k=n))
+    item = text(30)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, text(40)) for i in range(8)] + [(20, None), (None, None), (21, ""), (22, item), (5, "5"), (5, "=5\n=5")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in [*rows, *rows[:3], (30, rows[4][1])]], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    monkeypatch.setattr(corpus_pipeline, "short_key", lambda key: F.lit(7).cast("long") + 0 * F.length(key))
+    numbers = {(r.doc_id, r.text): r.n for r in corpus_pipeline.numbered(docs, "n").collect()}
+    assert len(numbers) == len(set(numbers.values())) == len(rows) + 1
+    told = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert told(corpus_pipeline.deduplicate) == sorted(rows, key=str)
+    assert told(corpus_pipeline.decontaminate) == sorted([r for r in [*rows, *rows[:3], (30, rows[4][1])] if r != (22, item)], key=str)
+
+
+def test_rows_alike_but_for_other_columns(spark, tmp_path):
+    rows = [(1, "one text of a few words", "xx", s, n) for s, n in (("b", 1), (None, 9), ("a", 2), (None, 5))] + [(2, "another text that is not alike", None, "z", None), (2, "another text that is not alike", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: tuple(r)[2:] for r in corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect()}
+    assert got == {1: ("xx", None, 5), 2: (None, None, None)}
+
+
 def test_stages_pass_columns_of_any_name_through(spark, tmp_path):
     """Columns named as those that the operators make, nulls in all of them, repeated rows, and texts below and above the language threshold."""
     names = ["row_key", "base", "more", "pii", "score", "lang_pred", "n_words", "n_switches", "told", "h", "seed", "component_id", "__text", "runs", "TEXT_"]
