@@ -31,7 +31,8 @@ def drift(polls: DataFrame) -> DataFrame:
     """site, event_id, reason of new alerts: no deals or no prices STREAK times running, or a low rate of success in a full window.
 
     A site alerts once, until a healthy poll; blocked polls are left out. A
-    site's log is sorted in one task; streaming keeps the same numbers as state.
+    site's log is sorted in one task; drift_stream of streaming.polls keeps four
+    numbers a site instead.
     """
     order = Window.partitionBy("site").orderBy("seen_at", "event_id")
     df = polls.filter(F.col("outcome") != "BLOCKED").withColumn("n", F.row_number().over(order))
