@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def normalize(title: Column) -> Column:
@@ -20,20 +26,61 @@ def tokens(title: Column) -> Column:
     return F.array_distinct(F.split(F.trim(normalize(title)), r"\s+"))
 
 
+#: Aliases that go to every task, as an automaton; more are joined by their beginnings.
+MOST_ALIASES = 500_000
+#: Lengths of beginnings; an alias is joined by the longest that it has.
+HEADS = (1, 2, 4, 8, 16)
+
+
 def alias_hits(posts: DataFrame, keys: DataFrame) -> DataFrame:
     """post_id, n, product_id: how many products the aliases within a title (column j) name, and the least.
 
-    A title's places are joined with the aliases on as many characters as the
-    shortest alias has; where these are equal the whole alias is compared. So a
-    title gives a row for each character, whatever the number of aliases.
+    Up to MOST_ALIASES aliases are one automaton, which reads a title once
+    whatever their number and lengths. Beyond that a title's places are joined
+    with the aliases' beginnings, and where these are equal the whole alias is
+    compared: a row for each character and length of beginning.
     """
-    least = keys.agg(F.min(F.length("key"))).first()[0] or 1
-    cut = F.transform(F.sequence(F.lit(1), F.length("j") - least + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("j"), i, F.lit(least)).alias("head")))
-    places = posts.filter(F.length("j") >= least).select("post_id", "j", F.explode(cut).alias("at")).select("post_id", "j", "at.*")
-    met = places.join(keys.withColumn("head", F.substring("key", 1, least)), "head").filter(F.substring(F.col("j"), F.col("i"), F.length("key")) == F.col("key"))
+    few = keys.limit(MOST_ALIASES + 1).count() <= MOST_ALIASES
+    met = alias_scan(posts, keys) if few else alias_join(posts, keys)
     return met.groupBy("post_id").agg(F.count_distinct("product_id").alias("n"), F.min("product_id").alias("product_id"))
 
 
+def alias_scan(posts: DataFrame, keys: DataFrame) -> DataFrame:
+    """post_id and product_id of aliases within j, by an automaton in each task: only titles go to Python, no title is shuffled."""
+    kind = keys.schema["product_id"].dataType
+    known = sorted({(r.key, r.product_id) for r in keys.select("key", "product_id").collect()}, key=lambda x: x[0])  # MOST_ALIASES at most
+    sent = posts.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf(T.ArrayType(kind))
+    def products(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for key, rows in groupby(sent.value, key=lambda x: x[0]):
+            found.add_word(key, [p for _, p in rows])
+        if len(found):
+            found.make_automaton()
+        for column in columns:
+            titles = (x.as_py() for x in column)
+            yield pa.array([sorted({p for _, ps in found.iter(t) for p in ps}) if t and len(found) else [] for t in titles], to_arrow_type(T.ArrayType(kind)))
+
+    return posts.select("post_id", F.explode(products("j")).alias("product_id"))
+
+
+def alias_join(posts: DataFrame, keys: DataFrame) -> DataFrame:
+    """post_id and product_id of aliases within j, by joins of beginnings."""
+    size = F.length("key")
+    head = lambda n: (size >= n) & ((size < 2 * n) if n < HEADS[-1] else F.lit(True))
+    sizes = [n for n in HEADS if not keys.filter(head(n)).isEmpty()]
+    out = None
+    for n in sizes:
+        places = F.transform(F.sequence(F.lit(1), F.length("j") - n + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("j"), i, F.lit(n)).alias("head")))  # noqa: B023  Spark calls it at once
+        at = posts.filter(F.length("j") >= n).select("post_id", "j", F.explode(places).alias("at")).select("post_id", "j", "at.*")
+        met = at.join(keys.filter(head(n)).withColumn("head", F.substring("key", 1, n)), "head").filter(F.substring(F.col("j"), F.col("i"), F.length("key")) == F.col("key")).select("post_id", "product_id")
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else posts.join(keys, F.lit(False)).select("post_id", "product_id")
+
+
 def match_products(posts: DataFrame, aliases: DataFrame, catalog: DataFrame) -> DataFrame:
     """post_id, tier, product: CONFIRMED where the aliases in a title are all one product's, else CANDIDATE with the least product a token of whose name is a token of the title, else REJECTED.
 
