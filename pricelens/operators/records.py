@@ -145,21 +145,6 @@ def asof_snapshots(purchases: DataFrame, deals: DataFrame, months: int = 6, k: i
     )
 
 
-def rate_limited(events: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """key, accepted, rejected of events (key, at in microseconds) under windows that begin at the first event after the last window's end and take limit events each."""
-    df = events.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("ts"))
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("used"), F.lit(0).cast("long").alias("accepted"))
-
-    def step(s: Column, t: Column) -> Column:
-        fresh = s["start"].isNull() | (t - s["start"] >= window_us)
-        used = F.when(fresh, 0).otherwise(s["used"])
-        take = used < limit
-        return F.struct(F.when(fresh, t).otherwise(s["start"]).alias("start"), F.when(take, used + 1).otherwise(used).alias("used"), F.when(take, s["accepted"] + 1).otherwise(s["accepted"]).alias("accepted"))
-
-    df = df.select("key", F.size("ts").alias("n"), F.aggregate("ts", zero, step)["accepted"].alias("accepted"))
-    return df.select("key", "accepted", (F.col("n") - F.col("accepted")).alias("rejected"))
-
-
 def opportunities(deals: DataFrame, start: Column, end: Column) -> DataFrame:
     """variant_id, in_window, ever, best: a digest's counts and its cheapest chance in [start, end): the last price of a deal on, the least of one over."""
     df = occurrence_set(deals)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.operators import records
+from pricelens.operators import limits, records
 
 from .queries import OCCURRED, PRICING, WITH, deals, registered
 from .views import PURCHASES, relation
@@ -97,7 +97,7 @@ c AS (SELECT w.key, w.s, count(*) AS n FROM w JOIN e ON e.key = w.key AND e.t >=
 SELECT key, CAST(sum(least(n, 2)) AS BIGINT) AS accepted, CAST(sum(n - least(n, 2)) AS BIGINT) AS rejected FROM c GROUP BY 1""")
 def rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     events = relation(spark, sf, "SELECT user_id AS key, unix_micros(CAST(ts AS TIMESTAMP)) AS at FROM events")
-    return records.rate_limited(events, 2, 86_400_000_000)
+    return limits.rate_limited(events, 2, 86_400_000_000)
 
 
 @registered(f"""{WITH} SELECT variant_id, count(*) FILTER (first_seen >= TIMESTAMP '2001-02-01' AND first_seen < TIMESTAMP '2001-03-01') AS in_window, count(*) AS ever,
