@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.functions.lineage import new_folder
+from pricelens.operators import message
 from pricelens.sources import catalog
 
 from .queries import deals, registered
+from .review_queries import MOVES, digest_flows, digest_transitions
 from .views import DEALS, relation
 
 SEARCHES = "SELECT p_partkey AS id, CASE p_size % 2 WHEN 0 THEN 'BUNJANG' ELSE 'OTHER' END AS platform, {list} AS keywords FROM part"
@@ -34,3 +36,38 @@ def live_deals_of(spark: SparkSession, sf: str) -> DataFrame:
     catalog.laid_out(deals(spark, sf), path, "variant_id")
     asked = [r.v for r in relation(spark, sf, "SELECT p_partkey AS v FROM part WHERE p_size = 7").collect()]
     return catalog.others(catalog.scan(spark, path, variant_id=asked), status="ENDED").select("deal_event_id", "variant_id", "price_first")
+
+
+NAMES = "SELECT p_partkey AS variant_id, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_name END AS product, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS variant, p_size % 3 <> 0 AS active, CASE WHEN p_size % 5 = 0 THEN p_type END AS basis, p_size % 17 = 0 AS missed FROM part"
+WAITING = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'deal ' || o_orderkey END AS subject, CAST(o_orderkey % 6 AS INTEGER) AS digest_appearances FROM orders WHERE o_orderstatus = 'P'"
+COLOR = lambda c: f"CASE {c} WHEN 'GREEN' THEN '🟢GREEN' WHEN 'YELLOW' THEN '🟡YELLOW' WHEN 'RED' THEN '🔴RED' WHEN 'GRAY' THEN '⚪GRAY' ELSE '-' END"
+LINES = f"""nm AS ({NAMES}), dl AS (SELECT variant_id, in_window > 0 OR reportable AS moved, CASE WHEN in_window > 0 OR best IS NOT NULL OR reportable OR missed THEN concat_ws(' · ', CASE WHEN product IS NULL AND variant IS NULL THEN '대상 미상' ELSE concat_ws(' ', product, variant) END,
+  CASE WHEN best IS NOT NULL THEN CASE WHEN active THEN '🟢' ELSE '⛔' END || ' 최고 기회 ' || format('{{:,}}', best) || '원(basis=' || coalesce(basis, '전체') || ')' END, CASE WHEN reportable THEN '🔁 ' || {COLOR("was")} || ' → ' || {COLOR("now")} END,
+  '관찰 이번 창 +' || in_window || ' / 누적 ' || ever, CASE WHEN missed THEN '📌 놓쳤어요' END) END AS line FROM fl JOIN mv USING (variant_id) JOIN nm USING (variant_id)),
+wt AS ({WAITING})"""
+
+
+def digest_lines(spark: SparkSession, sf: str) -> DataFrame:
+    df = digest_flows(spark, sf).join(digest_transitions(spark, sf), "variant_id").join(relation(spark, sf, NAMES), "variant_id")
+    pins = F.when(F.col("missed"), F.array(F.lit("MISSED"))).otherwise(F.array().cast("array<string>"))
+    line = message.variant_line(*(F.col(c) for c in ("product", "variant", "best", "active", "basis", "was", "now", "reportable", "in_window", "ever")), pins)
+    return df.select("variant_id", line.alias("line"), ((F.col("in_window") > 0) | F.col("reportable")).alias("moved"))
+
+
+@registered(MOVES + f""", {LINES} SELECT 0 AS step, CAST(0 AS BIGINT) AS n, '📋 주간 다이제스트 (발송 시점 현재 지식 기준)' AS line UNION ALL SELECT 1, variant_id, line FROM dl WHERE line IS NOT NULL AND (SELECT bool_or(moved) FROM dl)
+UNION ALL SELECT 2, 0, CASE WHEN NOT (SELECT bool_or(moved) FROM dl) THEN '이번 주는 조용했습니다 — 가격 변동·신호 전환 없음.' ELSE '· 나머지 ' || count(*) || '개 항목은 변동 없음' END FROM dl WHERE line IS NULL
+UNION ALL SELECT 3, 0, '⑤ 검토 대기 ' || count(*) || '건(대상 미상 ' || count(*) FILTER (subject IS NULL) || '건 포함) · 최다 ' || max(digest_appearances + 1) || '회째 미확인' FROM wt""")
+def digest_message(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole digest, line by line."""
+    return message.assembled(digest_lines(spark, sf), message.queue_line(relation(spark, sf, WAITING))).select("place.step", "place.n", "line")
+
+
+@registered("""WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL AND lang = 'es'),
+l AS (SELECT list(line ORDER BY doc_id, i) AS ls FROM w),
+p AS (SELECT list_reduce(list_transform(ls[2:], lambda x: {'c': 0, 'k': 0, 'n': length(x), 'x': CAST([] AS BIGINT[])}), lambda acc, x: CASE WHEN acc.n + x.n + 1 <= 3990 THEN {'c': acc.c, 'k': acc.k + 1, 'n': acc.n + x.n + 1, 'x': acc.x} ELSE {'c': acc.c + 1, 'k': 1, 'n': x.n, 'x': list_append(acc.x, acc.k)} END, {'c': 1, 'k': 1, 'n': length(ls[1]), 'x': CAST([] AS BIGINT[])}) AS s FROM l)
+SELECT CAST(unnest(range(1, s.c + 1)) AS BIGINT) AS i, CAST(s.c AS BIGINT) AS n, CAST(unnest(list_append(s.x, s.k)) AS BIGINT) AS lines FROM p""")
+def message_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines of a language's documents in messages of under 4,000 characters: how many each holds."""
+    df = relation(spark, sf, "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND lang = 'es'").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    parts = message.message_parts(df.select(F.struct("doc_id", "i").alias("place"), "line"), 4000)
+    return parts.select("i", "n", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
