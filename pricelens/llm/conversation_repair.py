@@ -43,8 +43,8 @@ def after(state: int, initial: str) -> int | None:
     return NEXT[state] if initial and initial == NAMES[NEXT[state]][0] else None
 
 
-def ways(initial: str, deleted: bool) -> list[tuple[int, int, int, str]]:
-    """(state, next state, cost, edits) of one turn: insertions before it, then an edit of it; of two that lead from one state to another only the better.
+def ways(initial: str, deleted: bool, extra: int) -> list[tuple[int, int, int, str]]:
+    """(state, next state, cost, edits) of one turn: insertions before it, then an edit of it, which costs extra unless it deletes; of two that lead from one state to another only the better.
 
     Insertions before a deletion are left out: after it they cost the same and read less.
     """
@@ -54,15 +54,15 @@ def ways(initial: str, deleted: bool) -> list[tuple[int, int, int, str]]:
         at = state
         for n in range(0 if deleted else 3):
             to = after(at, initial)
-            found += [] if to is None else [(to, KEEP + n * INSERT, n * "I" + "K")]
-            found.append((NEXT[at], REROLE + n * INSERT, n * "I" + "R"))
+            found += [] if to is None else [(to, KEEP + n * INSERT + extra, n * "I" + "K")]
+            found.append((NEXT[at], REROLE + n * INSERT + extra, n * "I" + "R"))
             at = NEXT[at]
         for to, cost, edits in found:
             best[state, to] = min(best.get((state, to), (cost, edits)), (cost, edits))
     return [(state, to, cost, edits) for (state, to), (cost, edits) in sorted(best.items())]
 
 
-WAYS = {(initial, deleted): ways(initial, deleted) for initial in ("s", "u", "a", "") for deleted in (False, True)}
+WAYS = {(initial, deleted, extra): ways(initial, deleted, extra) for initial in ("s", "u", "a", "") for deleted in (False, True) for extra in (0, TRUNCATED)}
 #: Insertions at the end, by state.
 LAST = {START: "", SYSTEM: "II", USER: "I", ASSISTANT: ""}
 EDITS = ["D", "K", "IK", "IIK", "R", "IR", "IIR"]
@@ -131,10 +131,10 @@ class Repair:
 
     def step(self, initial: str, deleted: bool, extra: int, role: str, text: str) -> None:
         best = {}
-        for state, to, cost, edits in WAYS[initial, deleted]:
+        for state, to, cost, edits in WAYS[initial, deleted, extra]:
             if state in self.states:
                 so_far, rank, _ = self.states[state]
-                way = (so_far + cost + (0 if edits == "D" else extra), rank, edits, state)
+                way = (so_far + cost, rank, edits, state)
                 if to not in best or way < best[to]:
                     best[to] = way
         order = {to: i for i, to in enumerate(sorted(best, key=lambda to: best[to][1:3]))}

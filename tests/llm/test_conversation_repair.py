@@ -75,6 +75,21 @@ def test_every_short_run_of_turns_as_by_brute_force():
             assert repair.row()[5:] == (cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()), rows
 
 
+def test_a_cut_turn_whose_deletion_costs_as_much_as_an_insertion_before_it():
+    """Two users, the second cut: to insert an assistant and keep it costs 3, as deleting does, and D reads less; all short runs with cut turns of each role as by brute force."""
+    repair = C.Repair()
+    for role, text in (("user", "u."), ("user", "cut"), ("assistant", "a.")):
+        repair.add(len(text), role, text, False)
+    assert repair.row()[5:7] == (3, "KDK")
+    kinds = [("user", "u.", False, 0), ("assistant", "a.", False, 0), ("user", "cut", False, 1), ("assistant", "off", False, 1), ("system", "s", False, 1), ("system", "s.", False, 0)]
+    for rows in product(kinds, repeat=3):
+        repair = C.Repair()
+        for role, text, gone, cut in rows:
+            repair.step(role[:1], gone, cut, role, text)
+        cost, audit, out = brute(rows)
+        assert repair.row()[5:] == (cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()), rows
+
+
 ROLES = ["user", "assistant", "user", "assistant", "system", "tool", "", None, "User"]
 TEXTS = ["Hello there.", "Fine!", "Why?", "cut off", "", None, " \t\n", "x. ", "énd.  ", "\U0001f600"]
 
