@@ -79,12 +79,12 @@ def chained(window: int):
 
 def counted(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """How many of a block's events each window holds."""
+        """How many of a block's events (what 2) each window holds; before them come the window open before the block (0) and the start of the first within it (1), where there are such."""
         for g in groups(frames):
-            t = g["at"].to_numpy()
-            begins, since = g["begins"].iat[0], g["since"].iat[0]
-            a = len(t) if pd.isna(begins) else int(np.searchsorted(t, int(begins)))
-            rows = [(int(since), a)] if a else []
+            what, at = g["what"].to_numpy(), g["at"].to_numpy()
+            t, since, begins = at[what == 2], at[what == 0], at[what == 1]
+            a = int(np.searchsorted(t, begins[0])) if len(begins) else len(t)
+            rows = [(int(since[0]), a)] if a else []
             while a < len(t):
                 z = int(np.searchsorted(t, t[a] + window))
                 rows.append((int(t[a]), z - a))
@@ -106,7 +106,10 @@ def rate_limited(events: DataFrame, limit: int, window_us: int) -> DataFrame:
     dealt = df.repartition("k", "block").sortWithinPartitions("k", "block", "at")
     first = dealt.mapInPandas(beginnings(window_us), "k string, block long, at long, last long")
     starts = first.repartition("k").sortWithinPartitions("k", "block", "at").mapInPandas(chained(window_us), "k string, block long, begins long, since long")
-    parts = df.join(starts, ["k", "block"]).repartition("k", "block").sortWithinPartitions("k", "block", "at").mapInPandas(counted(window_us), "k string, start long, n long")
+    # a union, not a join by the same columns: that would stand for the repartition, and where it is broadcast as it runs its rows stay with the tasks that wrote them
+    told = starts.select("k", "block", F.inline(F.array(F.struct(F.lit(0).alias("what"), F.col("since").alias("at")), F.struct(F.lit(1).alias("what"), F.col("begins").alias("at"))))).filter("at IS NOT NULL")
+    rows = df.select("k", "block", F.lit(2).alias("what"), "at").unionByName(told)
+    parts = rows.repartition("k", "block").sortWithinPartitions("k", "block", "what", "at").mapInPandas(counted(window_us), "k string, start long, n long")
     windows = parts.groupBy("k", "start").agg(F.sum("n").alias("n"))
     out = windows.groupBy("k").agg(F.sum(F.least("n", F.lit(limit))).alias("accepted"), F.sum("n").alias("n"))
     key = F.when(F.col("k") != "-", F.expr("substring(k, 2)")).cast(kind)

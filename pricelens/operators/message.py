@@ -146,9 +146,9 @@ def message_parts(lines: DataFrame, most: int) -> DataFrame:
     df = cut(df)
     sorted_ = lambda d: d.repartition("part").sortWithinPartitions("part", "k")
     first = sorted_(df).select("part", "n").mapInPandas(openings(room), "part int, at int, before long, n long, last long, whole long")
-    # a few rows a range, whatever the text
+    # a few rows a range, whatever the text; broadcast from the start, as a shuffled join by part would stand for the repartition, and need not keep a part whole
     open_ = first.coalesce(1).sortWithinPartitions("part", "at").mapInPandas(carried(room), "part int, open long")
-    told = sorted_(df.join(open_, "part", "left")).select("part", "k", "n", "line", "open").mapInPandas(begins(room), "part int, k long, line string, fresh boolean")
+    told = sorted_(df.join(F.broadcast(open_), "part", "left")).select("part", "k", "n", "line", "open").mapInPandas(begins(room), "part int, k long, line string, fresh boolean")
     told = cut(told)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = told.groupBy("part").agg(F.count_if("fresh").alias("c")).withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0))).select("part", "offset")

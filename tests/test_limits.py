@@ -37,3 +37,19 @@ def test_one_key_of_many_events_is_no_row(spark):
     (r,) = limits.rate_limited(df, 3, 1000).collect()
     want = replay([("hot", i * 37) for i in range(600_000)], 3, 1000)
     assert (r.accepted, r.rejected) == want["hot"]
+
+
+def test_no_key_is_split_where_a_join_is_broadcast_as_it_runs(spark):
+    """A sort-merge join that turns out small reads its shuffles locally, by the task that wrote them: each window is counted once, whole."""
+    df = spark.range(40_000).selectExpr("id % 5 AS key", "id * 7919 % 100003 AS at").repartition(8)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10k"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        out = limits.rate_limited(df, 50, 1000)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.key: (r.accepted, r.rejected) for r in out.collect()}
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert got == replay([(r.key, r.at) for r in df.collect()], 50, 1000)
