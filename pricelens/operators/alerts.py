@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.numbers import in_quiet_hours
 
-COLD_START = 0.30
+COLD_START = 30  # percent
 #: Which alerts stay on in each state of a purchase.
 ENABLED = {"OBSERVING": ("JACKPOT", "TARGET", "PAID_PRICE"), "REPORT_PENDING": ("JACKPOT", "TARGET"), "CLOSED": ("JACKPOT", "TARGET", "RELATIVE"), "ARCHIVED": ()}
 TRIGGERS = ("JACKPOT", "TARGET", "PAID_PRICE", "RELATIVE")
@@ -34,7 +34,7 @@ def alert_decisions(deals: DataFrame, view: DataFrame, policies: DataFrame, hour
     bought = purchases.groupBy("variant_id").agg(F.max(F.when(F.col("state") == "OBSERVING", F.col("paid_price"))).alias("paid"), F.bool_and(F.col("state") == "ARCHIVED").alias("archived"))
     df = deals.filter(F.col("status") != "ENDED").join(view.select("variant_id", "tier", "n", "benchmark_price", "good_deal_line", "lowest_case", "current_price"), "variant_id").join(policies, "variant_id").join(bought, "variant_id", "left")
     price, open_ = F.col("price_first"), ~F.coalesce("archived", F.lit(False))
-    good = (price <= F.col("benchmark_price")) | (price <= F.col("lowest_case")) | ((F.col("tier") == "NONE") & (price <= F.col("current_price") * (1 - COLD_START)))
+    good = (price <= F.col("benchmark_price")) | (price <= F.col("lowest_case")) | ((F.col("tier") == "NONE") & (price * 100 <= F.col("current_price") * (100 - COLD_START)))
     kinds = F.array_compact(F.array(
         F.when(open_ & (F.col("outlier_flag") == "LOWER"), "JACKPOT"), F.when(price <= F.col("good_deal_line"), "SPECIAL"), F.when(open_ & (price <= F.col("target_price")), "TARGET"), F.when(good, "GOOD"), F.when(price < F.col("paid"), "PAID_PRICE"),
     ))

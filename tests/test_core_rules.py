@@ -131,6 +131,15 @@ def test_alert_decisions(spark):
     assert {k: v for k, v in got.items() if k in "abc"} == {"a": ("SPECIAL", "GOOD", "SENT"), "b": ("GOOD", "", "SENT")}
 
 
+def test_a_cold_start_is_exact_at_seven_tenths(spark):
+    """0.7 * 90 is 62.99... in doubles; a price of 63 alerts all the same."""
+    view = spark.createDataFrame([(1, "NONE", 0, None, None, None, 90)], "variant_id long, tier string, n long, benchmark_price long, good_deal_line long, lowest_case long, current_price long")
+    policies = spark.createDataFrame([(1, None, None, None)], "variant_id long, target_price long, quiet_start int, quiet_end int")
+    deals = spark.createDataFrame([("a", 1, 63, "NONE", 1, "ACTIVE"), ("b", 1, 64, "NONE", 1, "ACTIVE")], "deal_event_id string, variant_id long, price_first long, outlier_flag string, n_sites int, status string")
+    got = alerts.alert_decisions(deals, view, policies, F.lit(9), spark.createDataFrame([], "variant_id long, state string, paid_price long"))
+    assert [r.deal_event_id for r in got.collect()] == ["a"]
+
+
 def test_snapshots_stand_as_of_the_purchase(spark):
     day = lambda m, d: dt.datetime(2026, m, d)
     deal = lambda p, at, sites=1: (1, p, sites, "NONE", False, False, False, False, at)
