@@ -101,6 +101,20 @@ def test_fold_of_one_hot_variant(spark):
     assert fold.fold_deals(df.filter("false")).collect() == []
 
 
+def test_cells_find_what_a_scan_of_all_deals_finds():
+    """Prices round powers of two, the floor and zero; times round the window's bounds; deals that move."""
+    rng = random.Random(2)
+    price = lambda: max(0, rng.choice([0, 4096, 5000, 250_000, 262_144, 2**20, 10**7]) + rng.randint(-9000, 9000)) if rng.random() < 0.7 else int(10 ** rng.uniform(0, 8))
+    for _ in range(40):
+        cells, held = fold.Cells(), []
+        for _ in range(60):
+            at = rng.randrange(len(held) + 1)
+            held[at : at + 1] = [(price(), rng.randint(-2, 2) * fold.WINDOW_S + rng.randint(-2, 2))]
+            cells.put(at, *held[at])
+            p, t = price(), rng.randint(-2, 2) * fold.WINDOW_S + rng.randint(-2, 2)
+            assert cells.near(p, t) == [i for i, (q, s) in enumerate(held) if abs(q - p) <= max((q * 2 + 50) // 100, 5000) and abs(s - t) <= fold.WINDOW_S]
+
+
 def test_cheaper_deals_of_one_hot_variant(spark):
     rng = random.Random(2)
     prices, paid = [rng.randint(0, 9000) for _ in range(800)], [(i, rng.randint(0, 9500)) for i in range(300)]
