@@ -121,15 +121,16 @@ def used_match(listings: DataFrame, searches: DataFrame) -> DataFrame:
 def asof_snapshots(purchases: DataFrame, deals: DataFrame, months: int = 6, k: int = 5) -> DataFrame:
     """purchase_id, unobserved, n, m, benchmark_price, tier, sparse_lowest, paid_gap, basis: the benchmark, with its expansion, as it stood at each purchase.
 
-    Purchases and deals meet by variant and month: a purchase looks into its
-    own month and the twelve before. One from before the variant's first deal
-    is unobserved and has no figures.
+    Purchases and deals meet by variant and year: a purchase looks into its
+    own year and the one before, where the widest window begins. Spark's
+    estimate knows nothing of the rows that explode adds, so the join is told
+    to sort: a broadcast would pass all purchases through the driver. One from
+    before the variant's first deal is unobserved and has no figures.
     """
-    month = lambda c: F.year(c) * 12 + F.month(c)
     at = F.col("purchased_at")
-    d = pricing_set(deals).select("variant_id", "first_seen", "price_first", "n_sites", month(F.col("first_seen")).alias("mon"))
-    p = purchases.select("purchase_id", "variant_id", "purchased_at").withColumn("mon", F.explode(F.sequence(month(months_before(at, EXPAND_LIMIT)), month(at))))
-    met = p.join(d, ["variant_id", "mon"]).filter(F.col("first_seen") <= at)
+    d = pricing_set(deals).select("variant_id", "first_seen", "price_first", "n_sites", F.year("first_seen").alias("year"))
+    p = purchases.select("purchase_id", "variant_id", "purchased_at").withColumn("year", F.explode(F.sequence(F.year(months_before(at, EXPAND_LIMIT)), F.year(at))))
+    met = p.hint("merge").join(d, ["variant_id", "year"]).filter(F.col("first_seen") <= at)
     met = met.withColumn("age", F.coalesce(*(F.when(F.col("first_seen") >= months_before(at, w), w) for w in range(1, EXPAND_LIMIT + 1)))).filter("age IS NOT NULL")
     width = met.groupBy("purchase_id").agg(counts_by_width().alias("held")).select("purchase_id", chosen_width(F.col("held"), F.lit(months), F.lit(k)).alias("width"))
     got = met.join(width, "purchase_id").filter("age <= width").groupBy("purchase_id").agg(F.count("*").alias("n"), F.count_if(F.col("n_sites") >= 2).alias("m"), percentile_won(F.col("price_first"), 0.5).alias("median"), F.min("price_first").alias("least"))
