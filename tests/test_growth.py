@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pricelens.functions.price_text import normalize_price
 from pricelens.operators import records
 
 
@@ -30,3 +31,11 @@ def test_purchases_are_not_broadcast_by_month(spark):
     assert "Generate explode" in plan and all("Aggregate" in x for x in sent)  # what is summed by purchase may be small
     # from 2027-01-01 (day 365) to 2027-07-01 (day 546), every second day
     assert [tuple(r)[:6] for r in df.collect()] == [(0, False, 91, 0, 556, "SUFFICIENT")]
+
+
+def test_prices_are_no_functions_within_functions(spark):
+    """Spark interprets these; numbers that no long holds are no prices."""
+    df = spark.createDataFrame([(0, "x 99999999999999999999만"), (1, "x 1만9999999999999999천원 12,000원"), (2, "x (1,000원/3,000원)"), (3, "x 9223372036854775807원 배송비 1원")], "i int, t string")
+    got = df.select("i", normalize_price(F.col("t")).alias("p"))
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.p and r.p.won for r in got.collect()} == {0: None, 1: 12000, 2: 4000, 3: None}
