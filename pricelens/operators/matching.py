@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .titles import alias_hits, joined, tokens
+from .titles import alias_hits, few, found, joined, normalize, tokens
 
 
 def catalog(products: DataFrame, variants: DataFrame, axes: DataFrame) -> DataFrame:
@@ -29,6 +32,25 @@ def alias_keys(aliases: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by("product_id", "id").alias("product_id"))
 
 
+def fitting(known: DataFrame) -> Callable[[str, object], tuple]:
+    """What tells of a title without spaces and its product the one variant all of whose wanted values are there and, beside it, the one demand value there; None without or with several. known, a few products of catalog(), goes to every task."""
+    held = {}
+    for r in known.select("product_id", "variants", "demand").collect():
+        wanted = [(v.variant_id, v.wanted) for v in r.variants or () if v.wanted is not None and None not in v.wanted]
+        held[r.product_id] = [(v, w[0]) for v, w in wanted if len(w) == 1], [(v, w) for v, w in wanted if len(w) != 1], [(d.key, d.value) for d in r.demand or ()]
+    sent = known.sparkSession.sparkContext.broadcast(held)
+
+    def one(j: str, product) -> tuple:
+        single, several, demand = sent.value.get(product, ((), (), ()))
+        fits = [v for v, w in single if w in j] + [v for v, ws in several if all(w in j for w in ws)]
+        if len(fits) != 1:
+            return None, None
+        values = [value for key, value in demand if key in j]
+        return fits[0], values[0] if len(values) == 1 else None
+
+    return one
+
+
 def match(posts: DataFrame, aliases: DataFrame, products: DataFrame, variants: DataFrame, axes: DataFrame) -> DataFrame:
     """post_id, tier, variant_id, candidates, demand_axis_value of posts (post_id, title).
 
@@ -37,15 +59,26 @@ def match(posts: DataFrame, aliases: DataFrame, products: DataFrame, variants: D
     there). UNKNOWN: the product alone is known. CANDIDATE: no product by
     alias, but tokens of product names are tokens of the title. REJECTED: none.
     The demand value is set for confirmed posts whose title holds exactly one
-    of the product's. Null titles are rejected; post_id must be unique.
+    of the product's. Null titles are rejected; post_id must be unique. A
+    small catalog is looked up in place, a larger one joined.
     """
+    keys, words = alias_keys(aliases), products.select("product_id", F.explode(tokens(F.col("name"))).alias("w"))
+    values = axes.filter(F.col("axis_type") == "DEMAND").select(F.explode("allowed_values"))
+    if few(keys, words, variants, values, products):
+        fields = T.StructField("variant_id", variants.schema["variant_id"].dataType), T.StructField("value", T.StringType())
+        df = posts.select("post_id", found(normalize(F.col("title")), keys, words, fitting(catalog(products, variants, axes)), fields).alias("f"))
+        own, near, variant = F.col("f.own"), F.col("f.near"), F.col("f.variant_id")
+        tier = F.when(variant.isNotNull(), "CONFIRMED").when(own.isNotNull(), "UNKNOWN").when(F.size(near) > 0, "CANDIDATE").otherwise("REJECTED")
+        candidates = F.when(variant.isNotNull(), None).when(own.isNotNull(), F.array(own)).when(F.size(near) > 0, near)
+        return df.select("post_id", tier.alias("tier"), variant.alias("variant_id"), candidates.alias("candidates"), F.col("f.value").alias("demand_axis_value"))
     t = posts.select("post_id", joined(F.col("title")).alias("j"), tokens(F.col("title")).alias("words"))
     known = catalog(products, variants, axes)
-    hits = alias_hits(t, alias_keys(aliases)).filter("n = 1").drop("n")
+    hits = alias_hits(t, keys).filter("n = 1").drop("n")
     named = t.join(hits, "post_id", "left")
     has = lambda v: F.col("j").contains(v)
     sure = named.filter("product_id IS NOT NULL").join(known.drop("tokens"), "product_id", "left")
-    fits = F.filter("variants", lambda v: F.forall(v["wanted"], has))
+    sure = sure.withColumn("fits", F.filter("variants", lambda v: F.forall(v["wanted"], has)))
+    fits = F.col("fits")
     values = F.filter("demand", lambda d: has(d["key"]))
     one = F.size(fits) == 1
     sure = sure.select(
@@ -55,9 +88,9 @@ def match(posts: DataFrame, aliases: DataFrame, products: DataFrame, variants: D
     rest = named.filter("product_id IS NULL")
     words = known.select("product_id", F.explode("tokens").alias("w"))
     near = rest.select("post_id", F.explode("words").alias("w")).join(words, "w").groupBy("post_id").agg(F.array_sort(F.collect_set("product_id")).alias("candidates"))
-    found = F.col("candidates").isNotNull()
+    some = F.col("candidates").isNotNull()
     none = F.lit(None)
-    rest = rest.select("post_id").join(near, "post_id", "left").select("post_id", F.when(found, "CANDIDATE").otherwise("REJECTED").alias("tier"), none.cast(sure.schema["variant_id"].dataType).alias("variant_id"), "candidates", none.cast("string").alias("demand_axis_value"))
+    rest = rest.select("post_id").join(near, "post_id", "left").select("post_id", F.when(some, "CANDIDATE").otherwise("REJECTED").alias("tier"), none.cast(sure.schema["variant_id"].dataType).alias("variant_id"), "candidates", none.cast("string").alias("demand_axis_value"))
     return sure.unionByName(rest)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -32,6 +33,61 @@ MOST_ALIASES = 500_000
 HEADS = (1, 2, 4, 8, 16)
 
 
+#: White space as the patterns above have it.
+WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def few(*tables: DataFrame) -> bool:
+    """Whether the tables together have at most MOST_ALIASES rows, so that a task may hold them."""
+    left = MOST_ALIASES
+    for t in tables:
+        left -= t.limit(left + 1).count()
+        if left < 0:
+            return False
+    return True
+
+
+def found(title: Column, keys: DataFrame, words: DataFrame, more: Callable[[str, object], tuple] = lambda j, own: (), fields: tuple[T.StructField, ...] = ()) -> Column:
+    """struct(own, near) of normal forms of titles: the product that all aliases within one (keys: key, product_id) name, null without or with several; near, where own is null, the products that its tokens (words: w, product_id) name, sorted; then fields, which more tells of a title without spaces and its own, null where own is.
+
+    Both tables, MOST_ALIASES rows at most, go to every task; titles are read
+    where they are, without a shuffle.
+    """
+    kind = keys.schema["product_id"].dataType
+    known = sorted({(r.key, r.product_id) for r in keys.select("key", "product_id").collect()}, key=lambda x: x[0])
+    sent = keys.sparkSession.sparkContext.broadcast((known, words.select("w", "product_id").distinct().collect()))
+    out = T.StructType([T.StructField("own", kind), T.StructField("near", T.ArrayType(kind)), *fields])
+    none = (None,) * len(fields)
+
+    @F.arrow_udf(out)
+    def read(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        keys, tokens = ahocorasick.Automaton(), {}
+        for key, rows in groupby(sent.value[0], key=lambda x: x[0]):
+            keys.add_word(key, [p for _, p in rows])
+        if len(keys):
+            keys.make_automaton()
+        for w, p in sent.value[1]:
+            tokens.setdefault(w, set()).add(p)
+
+        def one(t: str | None) -> tuple:
+            if t is None:
+                return None, [], *none
+            j = WHITE.sub("", t)
+            own = {p for _, ps in keys.iter(j) for p in ps} if j and len(keys) else ()
+            if len(own) == 1:
+                (p,) = own
+                return p, None, *more(j, p)
+            return None, sorted(set().union(*(tokens.get(w, ()) for w in WHITE.split(t.strip(" "))))), *none
+
+        for column in columns:
+            rows = [one(t) for t in column.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in rows], to_arrow_type(f.dataType)) for i, f in enumerate(out)], out.names)
+
+    return read(title)
+
+
 def alias_hits(posts: DataFrame, keys: DataFrame) -> DataFrame:
     """post_id, n, product_id: how many products the aliases within a title (column j) name, and the least.
 
@@ -40,8 +96,7 @@ def alias_hits(posts: DataFrame, keys: DataFrame) -> DataFrame:
     with the aliases' beginnings, and where these are equal the whole alias is
     compared: a row for each character and length of beginning.
     """
-    few = keys.limit(MOST_ALIASES + 1).count() <= MOST_ALIASES
-    met = alias_scan(posts, keys) if few else alias_join(posts, keys)
+    met = alias_scan(posts, keys) if few(keys) else alias_join(posts, keys)
     return met.groupBy("post_id").agg(F.count_distinct("product_id").alias("n"), F.min("product_id").alias("product_id"))
 
 
@@ -84,14 +139,21 @@ def alias_join(posts: DataFrame, keys: DataFrame) -> DataFrame:
 def match_products(posts: DataFrame, aliases: DataFrame, catalog: DataFrame) -> DataFrame:
     """post_id, tier, product: CONFIRMED where the aliases in a title are all one product's, else CANDIDATE with the least product a token of whose name is a token of the title, else REJECTED.
 
-    An alias hit is found as in alias_hits, whatever the number of aliases.
+    post_id must be unique. A catalog of few aliases and tokens is looked up
+    in place; of a larger one an alias hit is found as in alias_hits, and both
+    are joined.
     """
     keys = aliases.filter(F.col("product").isNotNull()).select(joined(F.col("alias")).alias("key"), F.col("product").alias("product_id")).filter("key <> ''").distinct()
-    hits = alias_hits(posts.select("post_id", joined(F.col("title")).alias("j")), keys).withColumnRenamed("product_id", "own")
-    words = posts.select("post_id", F.explode(tokens(F.col("title"))).alias("w"))
-    names = catalog.select("product", F.explode(tokens(F.col("name"))).alias("w")).distinct()
-    near = words.join(names, "w").groupBy("post_id").agg(F.min("product").alias("near"))
-    df = posts.select("post_id").join(hits, "post_id", "left").join(near, "post_id", "left")
+    # of a token's products only the least can be the title's
+    names = catalog.select("product", F.explode(tokens(F.col("name"))).alias("w")).groupBy("w").agg(F.min("product").alias("product_id"))
+    if few(keys, names):
+        df = posts.select("post_id", found(normalize(F.col("title")), keys, names).alias("f"))
+        df = df.select("post_id", F.when(F.col("f.own").isNotNull(), 1).alias("n"), F.col("f.own").alias("own"), F.get("f.near", F.lit(0)).alias("near"))
+    else:
+        hits = alias_hits(posts.select("post_id", joined(F.col("title")).alias("j")), keys).withColumnRenamed("product_id", "own")
+        words = posts.select("post_id", F.explode(tokens(F.col("title"))).alias("w"))
+        near = words.join(names, "w").groupBy("post_id").agg(F.min("product_id").alias("near"))
+        df = posts.select("post_id").join(hits, "post_id", "left").join(near, "post_id", "left")
     tier = F.when(F.col("n") == 1, "CONFIRMED").when(F.col("near").isNotNull(), "CANDIDATE").otherwise("REJECTED")
     return df.select("post_id", tier.alias("tier"), F.when(F.col("n") == 1, F.col("own")).otherwise(F.col("near")).alias("product"))
 

@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.functions.price_text import normalize_price
-from pricelens.operators import records
+from pricelens.operators import matching, records, titles
 
 
 def below(plan: str, node: str) -> list[str]:
@@ -39,3 +40,25 @@ def test_prices_are_no_functions_within_functions(spark):
     got = df.select("i", normalize_price(F.col("t")).alias("p"))
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.i: r.p and r.p.won for r in got.collect()} == {0: None, 1: 12000, 2: 4000, 3: None}
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_titles_meet_a_small_catalog_in_place(spark, monkeypatch, most):
+    """A large catalog, which is joined, gives the same."""
+    monkeypatch.setattr(titles, "MOST_ALIASES", most)
+    products = spark.createDataFrame([(1, "red box"), (2, "blue box"), (3, "box"), (4, "lamp")], "product_id long, name string")
+    aliases = spark.createDataFrame([(1, 1, "red box"), (2, 2, "blue  box"), (3, None, "lamp"), (4, 9, "gone")], "id long, product_id long, alias string")
+    variants = spark.createDataFrame([(10, 1, ["2G"]), (11, 1, ["4G"]), (20, 2, [])], "variant_id long, product_id long, axis_values array<string>")
+    axes = spark.createDataFrame([(1, 1, "DEMAND", ["new", "old"]), (2, 2, "COLOR", ["new"])], "id long, product_id long, axis_type string, allowed_values array<string>")
+    posts = spark.createDataFrame([(1, "red box 2G new"), (2, " red\tbox 2G 4G"), (3, "blue box new"), (4, "box\tlamp"), (5, "red box blue box"), (6, "gone"), (7, None), (8, ""), (9, "redbox 4GB old new")], "post_id long, title string")
+    got = matching.match(posts, aliases, products, variants, axes)
+    named = titles.match_products(posts, aliases.withColumnRenamed("product_id", "product"), products.withColumnRenamed("product_id", "product"))
+    if most > 3:
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and "Exchange" not in named._jdf.queryExecution().executedPlan().toString()
+    assert {r.post_id: tuple(r)[1:] for r in got.collect()} == {
+        1: ("CONFIRMED", 10, None, "new"), 2: ("UNKNOWN", None, [1], None), 3: ("CONFIRMED", 20, None, None), 4: ("CANDIDATE", None, [1, 2, 3, 4], None), 5: ("CANDIDATE", None, [1, 2, 3], None),
+        6: ("UNKNOWN", None, [9], None), 7: ("REJECTED", None, None, None), 8: ("REJECTED", None, None, None), 9: ("CONFIRMED", 11, None, None),
+    }
+    assert {r.post_id: tuple(r)[1:] for r in named.collect()} == {
+        1: ("CONFIRMED", 1), 2: ("CONFIRMED", 1), 3: ("CONFIRMED", 2), 4: ("CANDIDATE", 1), 5: ("CANDIDATE", 1), 6: ("CONFIRMED", 9), 7: ("REJECTED", None), 8: ("REJECTED", None), 9: ("CONFIRMED", 1),
+    }
