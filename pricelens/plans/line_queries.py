@@ -35,8 +35,8 @@ def live_deals_of(spark: SparkSession, sf: str) -> DataFrame:
     """Deals on of asked variants, read from files by ranges of variant."""
     path = new_folder(spark, "deals")
     catalog.laid_out(deals(spark, sf), path, "variant_id")
-    asked = [r.v for r in relation(spark, sf, "SELECT p_partkey AS v FROM part WHERE p_size = 7").collect()]
-    return catalog.others(catalog.scan(spark, path, variant_id=asked), status="ENDED").select("deal_event_id", "variant_id", "price_first")
+    asked = relation(spark, sf, "SELECT p_partkey AS v FROM part WHERE p_size = 7")
+    return catalog.others(catalog.scan_those(spark, path, "variant_id", asked), status="ENDED").select("deal_event_id", "variant_id", "price_first")
 
 
 NAMES = "SELECT p_partkey AS variant_id, CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_name END AS product, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS variant, p_size % 3 <> 0 AS active, CASE WHEN p_size % 5 = 0 THEN p_type END AS basis, p_size % 17 = 0 AS missed FROM part"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.price_text import normalize_price
 from pricelens.operators import matching, records, titles
+from pricelens.sources import catalog
 
 
 def below(plan: str, node: str) -> list[str]:
@@ -62,3 +63,14 @@ def test_titles_meet_a_small_catalog_in_place(spark, monkeypatch, most):
     assert {r.post_id: tuple(r)[1:] for r in named.collect()} == {
         1: ("CONFIRMED", 1), 2: ("CONFIRMED", 1), 3: ("CONFIRMED", 2), 4: ("CANDIDATE", 1), 5: ("CANDIDATE", 1), 6: ("CONFIRMED", 9), 7: ("REJECTED", None), 8: ("REJECTED", None), 9: ("CONFIRMED", 1),
     }
+
+
+def test_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """No file, nor the task that sorts it, holds much more than FILE_ROWS, even of one key; values asked for are a condition or, where many, joined."""
+    monkeypatch.setattr(catalog, "FILE_ROWS", 1000, raising=False)
+    catalog.laid_out(spark.range(40_000).selectExpr("CASE WHEN id < 20000 THEN 7 ELSE id END AS k", "id"), f"{tmp_path}/x", "k")
+    assert spark.read.parquet(f"{tmp_path}/x").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 4000
+    asked = spark.createDataFrame([(7,), (7,), (30_000,), (None,)], "v long")
+    for most in (10, 1):
+        monkeypatch.setattr(catalog, "MOST_ASKED", most)
+        assert catalog.scan_those(spark, f"{tmp_path}/x", "k", asked).count() == 20_001
