@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .price_text import WHITE
 
 # The sites whose posts are of new products; hours that Korean time is ahead.
 NEW_SITES, KST_HOURS = ("ppomppu", "ruliweb", "fmkorea"), 9
 BOARD_FLOOR_S, MARKET_FLOOR_S = 60, 600
+#: A board's times: the word before them, a time of day, a date.
+DATE_MARK = re.compile(r"^[ \t\n\x0b\f\r]*날짜[ \t\n\x0b\f\r]*")
+CLOCK, DAY = re.compile(r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?"), re.compile(r"([0-9]{4}|[0-9]{2})[/.]([0-9]{1,2})[/.]([0-9]{1,2})")
+EPOCH = dt.date(1970, 1, 1).toordinal()
+TOLD = T.StructType([T.StructField("clock", T.IntegerType()), T.StructField("day", T.IntegerType())])
 
 
 def allowed_site(site: Column) -> Column:
@@ -68,22 +80,40 @@ def split_list(text: Column) -> Column:
     return normalized_keywords(F.split(text, r"[,\n]"))
 
 
-def board_time(text: Column, now: Column) -> Column:
-    """A board's time as UTC, with now in UTC: 21:10 or 21:10:11 of today's Korean date - yesterday's if that is more than 12 hours ahead - or the end of a day, 26/07/03 or 2026.07.03; null for all else."""
-    t = F.regexp_replace(F.regexp_replace(text, r"^\s*날짜\s*", ""), r"(?U)^\s+|\s+$", "")
-    part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).try_cast("int")
-    clock, date = r"^(\d{1,2}):(\d{2})(?::(\d{2}))?$", r"^(\d{4}|\d{2})[/.](\d{1,2})[/.](\d{1,2})$"
+def time_told(text: str | None) -> tuple[int | None, int | None]:
+    """What a board's time says: seconds of a day, 21:10 or 21:10:11, or days since 1970, 26/07/03 or 2026.07.03; none of all else. 60 seconds are no time here."""
+    t = DATE_MARK.sub("", text or "", count=1).strip(WHITE)
+    if m := CLOCK.fullmatch(t):
+        h, minute, s = (int(x or 0) for x in m.groups())
+        return (h * 3600 + minute * 60 + s, None) if h < 24 and minute < 60 and s < 60 else (None, None)
+    if m := DAY.fullmatch(t):
+        y, month, d = map(int, m.groups())
+        try:
+            return None, dt.date(y + 2000 if y < 100 else y, month, d).toordinal() - EPOCH
+        except ValueError:
+            return None, None
+    return None, None
+
+
+@F.arrow_udf(TOLD)
+def told_times(text: pa.Array) -> pa.Array:
+    told = [time_told(t) for t in text.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in told], pa.int32()) for i in (0, 1)], ["clock", "day"])
+
+
+def time_at(clock: Column, day: Column, now: Column) -> Column:
+    """A time told by time_told as UTC, with now in UTC: of today's Korean date - yesterday's if that is more than 12 hours ahead - or the end of a day; null for neither."""
     ahead = F.make_dt_interval(F.lit(0), F.lit(KST_HOURS))
-    today = now + ahead
-    second = F.coalesce(part(clock, 3), F.lit(0)).cast("decimal(8,6)")
-    # 60 seconds are no time here
-    at = F.when(second < 60, F.try_make_timestamp_ntz(F.year(today), F.month(today), F.day(today), part(clock, 1), part(clock, 2), second)) - ahead
-    late = at > now + F.make_dt_interval(F.lit(0), F.lit(12))
-    at = F.when(late, at - F.make_dt_interval(F.lit(1))).otherwise(at)
-    year = part(date, 1)
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    day = F.try_make_timestamp_ntz(year, part(date, 2), part(date, 3), F.lit(23), F.lit(59), F.lit(0).cast("decimal(8,6)")) - ahead
-    return F.when(t.rlike(clock), at).when(t.rlike(date), day)
+    midnight = (now + ahead).cast("date").cast("timestamp_ntz") - ahead
+    at = midnight + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), clock.cast("decimal(18,6)"))
+    at = F.when(at > now + F.make_dt_interval(F.lit(0), F.lit(12)), at - F.make_dt_interval(F.lit(1))).otherwise(at)
+    return F.coalesce(at, F.date_from_unix_date(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59)) - ahead)
+
+
+def board_time(text: Column, now: Column) -> Column:
+    """A board's time as UTC: what time_told finds, as time_at has it."""
+    told = told_times(text)
+    return time_at(told["clock"], told["day"], now)
 
 
 def korean_date(ts: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pricelens.functions import rules
 from pricelens.operators import fold, polls, titles
-from pricelens.sources import listings
+from pricelens.sources import html, listings
 from pricelens.sources.html import rows_of, scan_boards
 from pricelens.streaming.polls import cursor_stream
 
@@ -132,3 +132,21 @@ def test_titles(spark):
     assert df.filter(titles.joined(F.col("t")) != F.col("j")).count() == 0
     (parts,) = spark.range(1).select(titles.split_digest(F.lit("a" * 10 + "\n" + "b" * 10 + "\n" + "c" * 10), 32)).first()
     assert parts == ["(1/2) " + "a" * 10 + "\n" + "b" * 10, "(2/2) " + "c" * 10]
+
+
+def test_plain_pages_need_no_general_parser(spark, monkeypatch):
+    """Tags that are written plainly are told once each; times and prices are taken in the same pass. What isn't plain gives what the parser gives."""
+    fed = []
+    feed = html.HTMLParser.feed
+    monkeypatch.setattr(html.HTMLParser, "feed", lambda self, data: (fed.append(data), feed(self, data))[1])
+    row = '<tr class="baseList bbs_new1"><td class="baseList-numb">{0}</td><td><a class="baseList-title" href="view.php?id=ppomppu&no={0}">a {0}</a></td></tr>'
+    head = '<!DOCTYPE html><title>x</title><script src="x">if (a<b) "<td>";</script><!-- a --><table>'
+    assert [r[0] for r in rows_of(head + "".join(row.format(n) for n in range(50)), "ppomppu")] == [str(n) for n in range(50)] and not fed
+    for odd in ("<a title='<b>'>", "<br/ x>", "<script><!-- </script>", "a < b", "<p =x>", "<title>&amp;<b></title>", "</ x>"):
+        pages = [html.Page(odd + row.format(1)), html.Page.__new__(html.Page)]
+        monkeypatch.setattr(html.Page, "plain", lambda self, page: 0)
+        pages[1].__init__(odd + row.format(1))
+        monkeypatch.undo()
+        assert all([getattr(p, k) for k in ("kinds", "parent", "end", "texts")] == [getattr(pages[0], k) for k in ("kinds", "parent", "end", "texts")] for p in pages)
+    plan = scan_boards(spark.createDataFrame(PAGES, "page_id long, site string, html string"), F.current_timestamp().cast("timestamp_ntz"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "ArrowEvalPython" not in plan
