@@ -52,16 +52,18 @@ def count_below(purchases: DataFrame, sample: DataFrame) -> DataFrame:
 
     Prices are counted by variant and bucket first. A purchase takes the whole
     buckets below its own from one array of totals for each variant, and meets
-    distinct prices in its own bucket alone.
+    distinct prices in its own bucket alone. Deals of variants that no purchase
+    asks for are left out first, and no array goes through a shuffle by purchase.
     """
     bucket = lambda c: F.shiftright(c, PRICE_BITS)
+    sample = sample.join(purchases.select("variant_id"), "variant_id", "left_semi")
     prices = sample.groupBy("variant_id", "price_min").agg(F.count("*").alias("n")).withColumn("bucket", bucket(F.col("price_min")))
     totals = prices.groupBy("variant_id", "bucket").agg(F.sum("n").alias("n")).groupBy("variant_id").agg(F.collect_list(F.struct("bucket", "n")).alias("totals"))
     asked = purchases.select("purchase_id", "variant_id", "paid_price", bucket(F.col("paid_price")).alias("bucket"))
     near = asked.join(prices, ["variant_id", "bucket"]).filter(F.col("price_min") < F.col("paid_price")).groupBy("purchase_id").agg(F.sum("n").alias("near"))
-    df = asked.join(totals, "variant_id").join(near, "purchase_id", "left")
     below = F.aggregate(F.filter("totals", lambda t: t["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
-    return df.select("purchase_id", (below + F.coalesce("near", F.lit(0))).alias("chances")).filter("chances > 0")
+    df = asked.join(totals, "variant_id").select("purchase_id", below.alias("below")).join(near, "purchase_id", "left")
+    return df.select("purchase_id", (F.col("below") + F.coalesce("near", F.lit(0))).alias("chances")).filter("chances > 0")
 
 
 def issued_cards(purchases: DataFrame, deals: DataFrame, issued: DataFrame, now: Column) -> DataFrame:
@@ -84,13 +86,13 @@ def observation_context(purchases: DataFrame, deals: DataFrame, now: Column) ->
 
     Where a deal is on, the cheapest last price against the price paid; where
     none is, the day of observation (from 1) and how many sample deals were
-    ever cheaper.
+    ever cheaper, which is counted for these purchases alone.
     """
     on = signal_set(deals).groupBy("variant_id").agg(F.min("price_last").alias("lowest"))
     open_ = purchases.filter(F.col("state") != "CLOSED")
-    chances = count_below(open_, pricing_set(deals))
-    df = open_.join(on, "variant_id", "left").join(chances, "purchase_id", "left")
     kind = F.when(F.col("state") == "REPORT_PENDING", "REPORT_PENDING").when(F.col("lowest").isNotNull(), "ACTIVE_DEAL").otherwise("NO_ACTIVE_DEAL")
+    stood = open_.join(on, "variant_id", "left")
+    df = stood.join(count_below(stood.filter(kind == "NO_ACTIVE_DEAL"), pricing_set(deals)), "purchase_id", "left")
     active = F.when(kind == "ACTIVE_DEAL", F.col("lowest"))
     won, none = F.col("paid_price") - active, kind == "NO_ACTIVE_DEAL"
     return df.select(

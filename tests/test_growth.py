@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelens.functions.price_text import normalize_price
-from pricelens.operators import matching, records, titles
+from pricelens.operators import matching, purchases, records, titles
 from pricelens.sources import catalog
 
 
@@ -74,3 +74,16 @@ def test_files_grow_in_number(spark, tmp_path, monkeypatch):
     for most in (10, 1):
         monkeypatch.setattr(catalog, "MOST_ASKED", most)
         assert catalog.scan_those(spark, f"{tmp_path}/x", "k", asked).count() == 20_001
+
+
+def test_chances_are_counted_only_where_they_are_told(spark, monkeypatch):
+    """Purchases that a deal is on for, that wait for a report or are closed tell none; of deals only those of variants asked for are counted."""
+    deals = spark.sql("""SELECT v AS variant_id, p AS price_min, p AS price_last, 'NONE' AS outlier_flag, s AS status, false AS permanently_excluded, false AS unclassified, false AS shipping_unknown, false AS free_price
+      FROM VALUES (1L, 50L, 'ACTIVE'), (1L, 70L, 'ENDED'), (2L, 50L, 'ENDED'), (2L, 60L, 'ENDED'), (2L, 2000L, 'ENDED'), (3L, 1L, 'ENDED') d(v, p, s)""")
+    asked = spark.sql("""SELECT id AS purchase_id, v AS variant_id, 1500L AS paid_price, TIMESTAMP_NTZ '2026-01-01 00:00:00' AS purchased_at, s AS state
+      FROM VALUES (1L, 1L, 'OBSERVING'), (2L, 2L, 'OBSERVING'), (3L, 2L, 'REPORT_PENDING'), (4L, 3L, 'CLOSED'), (5L, 9L, 'OBSERVING') p(id, v, s)""")
+    counted, count = [], purchases.count_below
+    monkeypatch.setattr(purchases, "count_below", lambda p, sample: (counted.append(p), count(p, sample))[1])
+    got = purchases.observation_context(asked, deals, F.expr("TIMESTAMP_NTZ '2026-01-03 00:00:00'"))
+    assert {r.purchase_id: (r.kind, r.active_lowest, r.day, r.cheaper_chances) for r in got.collect()} == {1: ("ACTIVE_DEAL", 50, None, None), 2: ("NO_ACTIVE_DEAL", None, 3, 2), 3: ("REPORT_PENDING", None, None, None), 5: ("NO_ACTIVE_DEAL", None, 3, 0)}
+    assert {r.purchase_id for r in counted[0].collect()} == {2, 5} and "LeftSemi" in count(counted[0], deals)._jdf.queryExecution().optimizedPlan().toString()
