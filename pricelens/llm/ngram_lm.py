@@ -250,11 +250,11 @@ class Lookup:
             if have and len(next(iter(have.values()))):
                 yield s, have, order[cuts[s] : cuts[s + 1]]
 
-    def find(self, name: str, shard: np.ndarray, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
-        """The columns of the table's rows with these keys; 0 where it has none."""
+    def find(self, name: str, shard: np.ndarray, keys: np.ndarray, *columns: str, order: np.ndarray | None = None) -> list[np.ndarray]:
+        """The columns of the table's rows with these keys; 0 where it has none. order sorts the keys."""
         out = [np.zeros(len(keys), np.int64) for _ in columns]
         # in the order of keys: a search for sorted keys passes over the array once
-        order = np.argsort(keys)
+        order = np.argsort(keys) if order is None else order
         for _, have, rows in self.each(name, shard[order]):
             rows = order[rows]
             i = np.minimum(np.searchsorted(have["key"], keys[rows]), len(have["key"]) - 1)
@@ -300,19 +300,17 @@ class Lookup:
         n = np.where(ids == self.m.begin, self.m.texts, self.of_ids("words", "n", ids))
         return n > self.m.hot
 
-    def level(self, k: int, context: tuple[np.ndarray, ...], word: np.ndarray, spread: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities of n-grams of order k, interpolated with the lower order's."""
-        key = mix(*context)
+    def level(self, k: int, contexts: np.ndarray, back: np.ndarray, word: np.ndarray, spread: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of n-grams of order k, interpolated with the lower order's; contexts has each context's hash once, back its place there for each n-gram."""
+        key = contexts[back]
         (n,) = self.find(f"grams-{k}", self.m.shard(key, word, spread), mix(key, word), "n")
-        once, back = np.unique(key, return_inverse=True)
-        at = (once >> U(64 - self.m.bits)).astype(np.int64)
-        single, whole, spread = (self.find(f"{kind}-{k}", at, once, *names) for kind, names in (("single", ("word",)), ("whole", CONTEXT), ("spread", CONTEXT)))
-        total, n1, n2, n3 = (x[back] + y[back] for x, y in zip(whole, spread))  # a context is in one of the tables
-        only = single[0][back]
-        n, total, n1 = n + ((only > 0) & (only - 1 == word)), total + (only > 0), n1 + (only > 0)
+        at, order = (contexts >> U(64 - self.m.bits)).astype(np.int64), np.argsort(contexts)
+        (only,), whole, spread = (self.find(f"{kind}-{k}", at, contexts, *names, order=order) for kind, names in (("single", ("word",)), ("whole", CONTEXT), ("spread", CONTEXT)))
+        total, n1, n2, n3 = (x + y for x, y in zip(whole, spread))  # a context is in one of the tables
+        n, total, n1 = n + (only[back] == word + 1), total + (only > 0), n1 + (only > 0)
         d = np.array(self.m.discounts[k])
         backoff = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
-        return np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + backoff * lower
+        return np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1)[back] + backoff[back] * lower
 
     def texts(self, batches: Iterator[pa.RecordBatch], known: Hashes) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
         """(first row, its batch, hashes of tokens, tokens of each text) of runs of texts."""
@@ -349,8 +347,9 @@ class Lookup:
         ones = self.of_ids("ones", "n", ids)
         d = np.array(m.discounts[1])
         p = (np.maximum(ones - d[np.minimum(ones, 3)], 0) / max(m.pairs, 1) + m.rest)[c]
-        p = self.level(2, (ids[b],), word, hot[b], p)
-        p = self.level(3, (ids[a], ids[b]), word, hot[a] & hot[b], p)
+        p = self.level(2, mix(ids), b, word, hot[b], p)
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])  # n-grams are sorted, so those of a pair lie together
+        p = self.level(3, mix(ids[a[new]], ids[b[new]]), np.cumsum(new) - 1, word, hot[a] & hot[b], p)
         starts, n_of = np.cumsum(n) - n, counts[c]
         base = np.log10((n_of + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
         per_text = lambda v: np.add.reduceat(v[at], starts)

@@ -19,10 +19,17 @@ def hash63(word: bytes) -> int:
 
 
 class Hashes(dict):
+    """word -> hash63 of it."""
+
+    def __init__(self):
+        from xxhash import xxh64_intdigest
+
+        self.digest = xxh64_intdigest
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        h = self[word] = hash63(word)
+        h = self[word] = self.digest(word) >> 1
         return h
 
 

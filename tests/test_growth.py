@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelens.functions.price_text import normalize_price
+from pricelens.llm import ngram_lm
 from pricelens.operators import matching, purchases, records, titles
 from pricelens.sources import catalog
 
@@ -87,3 +88,20 @@ def test_chances_are_counted_only_where_they_are_told(spark, monkeypatch):
     got = purchases.observation_context(asked, deals, F.expr("TIMESTAMP_NTZ '2026-01-03 00:00:00'"))
     assert {r.purchase_id: (r.kind, r.active_lowest, r.day, r.cheaper_chances) for r in got.collect()} == {1: ("ACTIVE_DEAL", 50, None, None), 2: ("NO_ACTIVE_DEAL", None, 3, 2), 3: ("REPORT_PENDING", None, None, None), 5: ("NO_ACTIVE_DEAL", None, 3, 0)}
     assert {r.purchase_id for r in counted[0].collect()} == {2, 5} and "LeftSemi" in count(counted[0], deals)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contexts_are_looked_up_once(spark, tmp_path, monkeypatch):
+    """However many n-grams a context has, its counts are asked for once, contexts being sorted once a level; texts scored together score as each by itself."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(["a b", w]) for w in words] + ["a b", "b a b", "c"]
+    model = ngram_lm.train(spark.createDataFrame([(t.encode(),) for t in texts], "raw binary"), uri=f"file://{tmp_path}/lm")
+    asked, orders, find = {}, {}, ngram_lm.Lookup.find
+    monkeypatch.setattr(ngram_lm.Lookup, "find", lambda self, name, shard, keys, *columns, **more: (asked.__setitem__(name, len(keys)), orders.__setitem__(name, more.get("order")), find(self, name, shard, keys, *columns, **more))[2])
+    rows = [["a", "b", w] for w in [*words, "a", "b", "c", "never"]] + [["a", "b"]]
+    hashes, n = ngram_lm.hashed([[w.encode() for w in r] for r in rows], ngram_lm.Hashes())
+    got = ngram_lm.Lookup(model).score(hashes, n)
+    assert asked["whole-3"] <= len(rows) + 3 < asked["grams-3"] and asked["whole-2"] <= len(words) + 7 < asked["grams-2"]
+    assert all(orders[f"whole-{k}"] is not None and orders[f"single-{k}"] is orders[f"whole-{k}"] is orders[f"spread-{k}"] for k in (2, 3))  # sorted once
+    one = ngram_lm.Lookup(model)
+    alone = [float(one.score(hashes[sum(n[:i]) : sum(n[: i + 1])], n[i : i + 1])["score"][0]) for i in range(len(n))]
+    assert alone == pytest.approx(got["score"].tolist(), rel=1e-12)
