@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.operators.fold import WINDOW_S
-from pricelens.operators.ingest import DEAL, POST, Fold, listed
+from pricelens.operators.ingest import DEAL, POST, Fold, absorb, begun, columns_of
 
 #: op: RETRACT (a row told before, as it was) or ASSERT (as it is); taken: the posts that made the change.
 CHANGE = f"op string, {DEAL}, taken array<string>"
 SETS = ("sites", "candidates", "conditions")
+#: What a group is sent of its posts; all are of its variant, so candidates don't count.
+SENT = [c for c in POST if c not in ("variant_id", "candidates")]
 
 
-def stored(deals: list[dict]) -> str:
-    return json.dumps([{k: sorted(v) if isinstance(v, set) else v for k, v in d.items()} for d in deals])
+def stored(deals: list[dict]) -> bytes:
+    """deals as packed JSON: most of it are numbers of posts, which are much alike."""
+    return zlib.compress(json.dumps([{k: sorted(v) if k in SETS else v for k, v in d.items()} for d in deals]).encode(), 1)
 
 
-def restored(text: str) -> list[dict]:
-    return [{k: set(v) if k in SETS else [tuple(m) for m in v] if k == "moves" else v for k, v in d.items()} for d in json.loads(text)]
+def restored(packed: bytes) -> list[dict]:
+    return [{k: set(v) if k in SETS else [tuple(m) for m in v] if k == "moves" else v for k, v in d.items()} for d in json.loads(zlib.decompress(packed))]
 
 
 def deal_changes(posts: DataFrame, late_s: int = 7 * 86400) -> DataFrame:
@@ -39,36 +43,42 @@ def deal_changes(posts: DataFrame, late_s: int = 7 * 86400) -> DataFrame:
     a deal where the deal that it would have joined is no longer held. Posts
     without a variant go to review and make no deals here.
     """
-    names = [c.split()[0] for c in DEAL.split(", ")]
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("post_id", kind="stable").to_dict("records")
+        # columns to plain lists once; a dictionary for each post, not a frame's row
+        lists = [[] for _ in SENT]
+        for frame in frames:
+            for values, name in zip(lists, SENT):
+                values += frame[name].tolist()
         newest, held = (state.get[0], restored(state.get[1])) if state.exists else (0, [])
         fold, known, was, taken = Fold(held), {i for d in held for i in d["post_ids"]}, {}, {}
-        for post in rows:
+        n = len(fold.deals)
+        for values in sorted(zip(*lists), key=lambda r: r[0]):
+            post = dict(zip(SENT, values), variant_id=key[0], candidates=())
             if post["post_id"] in known:
                 continue
             known.add(post["post_id"])
-            for name in ("candidates", "conditions"):
-                post[name] = [x for x in (post[name] if post[name] is not None else ()) if x is not None]
-            # what was told of deals that it may change, before it does
-            n = len(fold.deals)
-            before = {at: dict(fold.deals[at], **{c: set(fold.deals[at][c]) for c in SETS}, moves=list(fold.deals[at]["moves"])) for at in fold.reached(post)[:1]}
-            at = fold.add(post)
-            if at < n and at not in taken:
-                was[at] = before[at]
-            fold.deals[at].setdefault("post_ids", []).append(post["post_id"])
+            tags = post["conditions"]
+            post["conditions"] = () if tags is None else [x for x in tags if x is not None]
+            met = fold.cells.near(int(post["price"]), int(post["seen"]))  # all deals here are of the post's variant
+            if met:
+                at = met[0]
+                d = fold.deals[at]
+                if at < n and at not in taken:  # what was told of it, before it changes
+                    was[at] = dict(d, **{c: set(d[c]) for c in SETS}, moves=list(d["moves"]))
+                absorb(d, post)
+                fold.put(d, at)
+            else:
+                at = fold.put(dict(begun(post), post_ids=[]))
+            fold.deals[at]["post_ids"].append(post["post_id"])
             taken.setdefault(at, []).append(post["post_id"])
         told = [(op, d, taken[at]) for at in sorted(taken) for op, d in (("RETRACT", was.get(at)), ("ASSERT", fold.deals[at])) if d is not None]
-        newest = max(newest, *(int(post["seen"]) for post in rows))
+        newest = max(newest, *map(int, lists[SENT.index("seen")]))
         state.update((newest, stored([d for d in fold.deals if d["first_seen"] >= newest - WINDOW_S - late_s])))
         if told:
-            out = listed([d for _, d, _ in told])[names]
-            out.insert(0, "op", [op for op, _, _ in told])
-            yield out.assign(taken=[t for _, _, t in told])
+            yield pd.DataFrame({"op": [op for op, _, _ in told], **columns_of([d for _, d, _ in told]), "taken": [t for _, _, t in told]})
 
-    known = posts.select(*POST).filter("variant_id IS NOT NULL").withColumn("variant_id", F.col("variant_id").cast("string"))
-    return known.groupBy("variant_id").applyInPandasWithState(run, CHANGE, "newest long, deals string", "update", "NoTimeout")
+    known = posts.filter("variant_id IS NOT NULL").select(F.col("variant_id").cast("string").alias("variant_id"), *SENT)
+    return known.groupBy("variant_id").applyInPandasWithState(run, CHANGE, "newest long, deals binary", "update", "NoTimeout")
 
 
 def write_changes(changes: DataFrame, path: str, checkpoint: str):

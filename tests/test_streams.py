@@ -4,8 +4,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricelens.operators import ingest, polls
+from pricelens.plans import stream_queries
 from pricelens.streaming import deals
 from pricelens.streaming.polls import drift_stream, health_stream
 from tests.test_ingest import SCHEMA, plain, posts, told
@@ -93,3 +95,21 @@ def test_drift_and_health_on_any_cut(spark, tmp_path, cuts):
     kept(health_stream(read(spark, schema, f"{tmp_path}/checks")), f"{tmp_path}/alarms", f"{tmp_path}/cp2", "append")
     want = sorted(map(tuple, polls.health_alarms(spark.createDataFrame(checks, schema)).collect()))
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/alarms").select("component", "check_id").collect())) == want and len(want) > 5
+
+
+def test_many_tasks_write_a_stretch_and_it_is_one_micro_batch(spark, tmp_path):
+    """The log of a query is not written by one task, and the stream takes each of its stretches whole, in their order."""
+    rows = posts(300, 8, variants=("a", "b", "c"))
+    df = spark.createDataFrame(rows, SCHEMA).select(*ingest.POST)
+    out = f"{tmp_path}/out"
+    stream_queries.streamed(df.repartition(4), f"{tmp_path}/log", F.col("post_id"), ["p00100", "p00200"], lambda log: deals.write_changes(deals.deal_changes(log, late_s=30 * 86_400), out, f"{tmp_path}/cp"))
+    assert len(list(tmp_path.glob("log/*.parquet"))) == 12
+    taken = spark.read.parquet(out).filter("op = 'ASSERT'").select("batch", F.explode("taken").alias("post_id")).groupBy("batch").agg(F.min("post_id"), F.max("post_id"), F.count("*")).collect()
+    assert sorted(map(tuple, taken)) == [(0, "p00000", "p00099", 100), (1, "p00100", "p00199", 100), (2, "p00200", "p00299", 100)]
+    assert told(deals.deals_told(spark, out)) == plain(rows)
+
+
+def test_what_is_held_is_packed():
+    held = [dict(ingest.begun(dict(zip(ingest.POST, r[:12]), post_id=r[0], variant_id="a", candidates=(), price=r[3], seen=r[4], site=r[5], url=r[6], origin=r[7], status=r[8], excluded=r[9], conditions=r[10] or (), demand_axis_value=r[11])), post_ids=[f"{r[0]}-{k}-200-300" for k in range(60)]) for r in posts(50, 1)]
+    packed = deals.stored(held)
+    assert deals.restored(packed) == held and len(packed) * 4 < sum(len(i) for d in held for i in d["post_ids"])
